@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,15 @@ from pyspark.sql import functions as F
 from .values import AGING_BOUNDS, AGING_OPEN_END, DATE_PATTERNS
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Inside higher-order functions Spark does not share common subexpressions, so an expression that is
+    used several times there would be evaluated several times, and nested uses multiply.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- safe casts -----------------------------------------------------------------------------
 
 def to_amount(c: Column, precision: int = 12, scale: int = 2) -> Column:
@@ -28,8 +38,14 @@ def to_iso_date(c: Column) -> Column:
 
 
 def to_any_date(c: Column) -> Column:
-    """The first of the known date forms that fits; NULL if none does."""
-    return F.coalesce(*[F.try_to_date(c, p) for p in DATE_PATTERNS])
+    """The first of the known date forms that fits; NULL if none does.
+
+    A failed parse is slow (an exception inside), so a form is tried only on texts of its shape.
+    """
+    def first_fit(text: Column) -> Column:
+        return F.coalesce(*[F.when(text.rlike(shape), F.try_to_date(text, form)) for form, shape in DATE_PATTERNS])
+
+    return let(F.regexp_replace(c, r"\s+", " "), first_fit)
 
 
 # --- numbers ----------------------------------------------------------------------------------
@@ -55,8 +71,7 @@ def correlation(x: Column, y: Column) -> Column:
 def plain_number(c: Column) -> Column:
     """A double as text with at least one decimal and never an exponent: ``5.0``, ``10000000.0``."""
     digits = c.cast("string").try_cast("decimal(38,10)").cast("string")
-    trimmed = F.regexp_replace(digits, r"0+$", "")
-    return F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
+    return F.regexp_replace(F.regexp_replace(digits, r"0+$", ""), r"\.$", ".0")
 
 
 def money_text(c: Column) -> Column:

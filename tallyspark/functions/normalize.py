@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import lookup, to_any_date
+from .core import let, lookup, to_any_date
 from .values import AMOUNT_LIMIT, COMPANY_NAMES, NULL_WORDS, ORDINAL_SUFFIX, UNITS
 
 
@@ -21,7 +21,7 @@ def normalize_date(text: Column) -> Column:
 
 def normalize_number(text: Column) -> Column:
     digits = F.regexp_replace(F.regexp_replace(text, UNITS, ""), r"[^0-9.\-]", "")
-    return F.when(digits.isin("", ".", "-"), F.lit("0")).otherwise(digits)
+    return let(digits, lambda x: F.when(x.isin("", ".", "-"), F.lit("0")).otherwise(x))
 
 
 def normalize(value: Column, ftype: Column) -> Column:
@@ -30,15 +30,16 @@ def normalize(value: Column, ftype: Column) -> Column:
     NUMBER: digits, dot and minus; ``"0"`` when missing. DATE: ISO, or the text unchanged when no
     form fits. Anything else: trimmed text. Missing and null words give NULL except for NUMBER.
     """
-    text = _strip(value)
-    missing = text.isNull() | F.lower(text).isin(*NULL_WORDS)
-    return (
-        F.when(missing & (ftype == "NUMBER"), F.lit("0"))
-        .when(missing, F.lit(None).cast("string"))
-        .when(ftype == "NUMBER", normalize_number(text))
-        .when(ftype == "DATE", normalize_date(text))
-        .otherwise(text)
-    )
+    def canonical(text: Column) -> Column:
+        present = (
+            F.when(ftype == "NUMBER", normalize_number(text))
+            .when(ftype == "DATE", normalize_date(text))
+            .otherwise(text)
+        )
+        missing = text.isNull() | F.lower(text).isin(*NULL_WORDS)
+        return F.when(missing, F.when(ftype == "NUMBER", F.lit("0"))).otherwise(present)
+
+    return let(_strip(value), canonical)
 
 
 def company_name(value: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.core import clean_amount, json_map, json_number_text, to_iso_date
+from ..functions.core import clean_amount, json_map, json_number_text, let, to_iso_date
 from ..functions.normalize import company_name, normalize
 from . import validate
 from .config import FIRST_LINE, parsed, plain_label
@@ -32,11 +32,13 @@ def _logical_lines(text: Column) -> Column:
 
 def _label_value(line: Column) -> Column:
     """(label, value) of ``Label: value``; a label alone on its line takes the lines below it."""
+    def value(parts: Column) -> Column:
+        below = F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: p != "")
+        return F.when(F.get(parts, F.lit(0)) != "", F.get(parts, F.lit(0))).otherwise(F.array_join(below, ", "))
+
     parts = F.transform(F.split(F.regexp_replace(line, r"^[^:]*:", ""), _JOIN), lambda p: F.trim(p))
-    first = F.get(parts, F.lit(0))
-    rest = F.array_join(F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: p != ""), ", ")
     label = plain_label(F.element_at(F.split(F.substring_index(line, ":", 1), _JOIN), -1))
-    return F.struct(label.alias("label"), F.when(first != "", first).otherwise(rest).alias("value"))
+    return F.struct(label.alias("label"), let(parts, value).alias("value"))
 
 
 def entities(docs: DataFrame, config: DataFrame) -> DataFrame:
@@ -45,22 +47,23 @@ def entities(docs: DataFrame, config: DataFrame) -> DataFrame:
     The text is read once into labels and values; each field then looks up its labels in order.
     A field that is not printed gives NULL.
     """
-    lines = _logical_lines(F.col("text"))
-    first = F.trim(F.substring_index(F.get(lines, F.lit(0)), _JOIN, 1))
-    labelled = F.transform(F.filter(lines, lambda x: x.rlike("^[^:|]*[A-Za-z][^:|]*:")), _label_value)
-    read = docs.withColumn("_kv", F.concat(
-        labelled, F.array(F.struct(F.lit(FIRST_LINE).alias("label"), first.alias("value")))))
-
-    def answer(spec: Column) -> Column:
-        found = F.transform(spec["labels"], lambda x: F.nullif(F.get(
-            F.col("_kv.value"), (F.array_position(F.col("_kv.label"), x) - 1).cast("int")), F.lit("")))
-        return F.struct(spec["name"].alias("k"), F.get(F.array_compact(found), F.lit(0)).alias("v"))
-
-    return (
-        read.join(parsed(config), "doc_type")
-        .withColumn("response", F.map_from_entries(F.transform("specs", answer)))
-        .drop("_kv")
-    )
+    def read(lines: Column) -> Column:
+        first = F.trim(F.substring_index(F.get(lines, F.lit(0)), _JOIN, 1))
+        labelled = F.transform(F.filter(lines, lambda x: x.rlike("^[^:|]*[A-Za-z][^:|]*:")), _label_value)
+        return F.concat(labelled, F.array(F.struct(F.lit(FIRST_LINE).alias("label"), first.alias("value"))))
+
+    def answers(kv: Column) -> Column:
+        return let(kv["label"], lambda labels: let(kv["value"], lambda texts: F.transform(
+            F.col("specs"), lambda spec: _answer(spec, labels, texts))))
+
+    kv = let(_logical_lines(F.col("text")), read)
+    return docs.join(parsed(config), "doc_type").withColumn("response", F.map_from_entries(let(kv, answers)))
+
+
+def _answer(spec: Column, labels: Column, texts: Column) -> Column:
+    found = F.transform(spec["labels"], lambda x: F.nullif(
+        F.get(texts, (F.array_position(labels, x) - 1).cast("int")), F.lit("")))
+    return F.struct(spec["name"].alias("k"), F.get(F.array_compact(found), F.lit(0)).alias("v"))
 
 
 def tables(docs: DataFrame) -> DataFrame:
@@ -69,8 +72,9 @@ def tables(docs: DataFrame) -> DataFrame:
     The first such line is the header; columns are taken by position.
     """
     lines = F.filter(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n"), lambda x: x.contains("|"))
-    rows = F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: F.split(F.trim(x), r"\s*\|\s*"))
-    cells = F.transform("table_cols", lambda _, i: F.transform(rows, lambda r: F.get(r, i)))
+    rows = let(lines, lambda x: F.transform(
+        F.slice(x, 2, F.greatest(F.size(x), F.lit(1))), lambda line: F.split(F.trim(line), r"\s*\|\s*")))
+    cells = let(rows, lambda r: F.transform(F.col("table_cols"), lambda _, i: F.transform(r, lambda cell: F.get(cell, i))))
     return docs.withColumn("line_items", F.map_from_arrays("table_cols", cells))
 
 
@@ -107,24 +111,30 @@ def response_json(response: Column) -> Column:
 def post_process(df: DataFrame) -> DataFrame:
     """``response`` to normalised fields, warnings, confidence and the payload to store."""
     def canonical(spec: Column) -> Column:
-        value = normalize(F.try_element_at(F.col("response"), spec["name"]), spec["ftype"])
-        named = F.when(spec["name"].isin(V.NAME_FIELDS), company_name(value)).otherwise(value)
-        return F.struct(spec["name"].alias("name"), spec["ftype"].alias("ftype"), named.alias("value"))
-
-    return (
-        df.withColumn("normalized", F.transform("specs", canonical))
-        .withColumn("values", validate.values_map(F.col("normalized")))
-        .withColumn("warnings", validate.warnings(F.col("values"), F.col("types"), F.col("rules")))
-        .withColumn("confidence", validate.confidence(F.col("normalized"), F.col("warnings")))
-        .withColumn("raw_extraction", payload(F.col("values"), F.col("confidence"), F.col("warnings")))
-    )
+        def named(value: Column) -> Column:
+            return F.struct(
+                spec["name"].alias("name"), spec["ftype"].alias("ftype"),
+                F.when(spec["name"].isin(V.NAME_FIELDS), company_name(value)).otherwise(value).alias("value"))
+
+        return let(normalize(F.try_element_at(F.col("response"), spec["name"]), spec["ftype"]), named)
+
+    def checked(n: Column) -> Column:
+        return let(validate.values_map(n), lambda v: let(
+            validate.warnings(v, F.col("types"), F.col("rules")),
+            lambda w: F.struct(n.alias("normalized"), v.alias("values"), w.alias("warnings"),
+                               validate.confidence(n, w).alias("confidence"))))
+
+    parts = ["normalized", "values", "warnings", "confidence"]
+    done = df.withColumn("_p", let(F.transform("specs", canonical), checked))
+    done = done.withColumns({p: F.col(f"_p.{p}") for p in parts}).drop("_p")
+    return done.withColumn("raw_extraction", payload(F.col("values"), F.col("confidence"), F.col("warnings")))
 
 
 def payload(values: Column, confidence: Column, found: Column) -> Column:
     """JSON of all values (NULL kept), with scores and, if there are any, warnings."""
-    base = F.to_json(values)
     flags = F.when(F.size(found) > 0, F.concat(F.lit(',"_validation_warnings":'), F.to_json(found))).otherwise("")
-    return F.concat(F.left(base, F.length(base) - 1), F.lit(',"_confidence":'), F.to_json(confidence), flags, F.lit("}"))
+    return F.concat(F.regexp_replace(F.to_json(values), r"\}\z", ""), F.lit(',"_confidence":'), F.to_json(confidence),
+                    flags, F.lit("}"))
 
 
 def field_columns(normalized: Column) -> list[Column]:
@@ -147,9 +157,13 @@ def stored_fields(df: DataFrame, now: Column) -> DataFrame:
 
 
 def long_fields(df: DataFrame) -> DataFrame:
-    """One row per document and field: position, raw and normalised text, score."""
+    """One row per document and field: position, raw and normalised text, score.
+
+    The outer form of explode, because for the inner form Spark adds a filter on the array's size, and
+    pushing that filter down would evaluate the whole extraction a second time.
+    """
     return df.select(
-        "file_name", "doc_type", "response", "confidence", F.posexplode("normalized").alias("i", "n"),
+        "file_name", "doc_type", "response", "confidence", F.posexplode_outer("normalized").alias("i", "n"),
     ).select(
         "file_name", "doc_type", (F.col("i") + 1).alias("pos"), F.col("n.name").alias("field"),
         F.col("n.ftype").alias("ftype"), F.try_element_at("response", F.col("n.name")).alias("raw"),
@@ -197,7 +211,7 @@ def shred_lines(df: DataFrame, columns: list[str] = LINE_COLUMNS) -> DataFrame:
     arrays = [F.try_element_at("_items", F.lit(c)) for c in columns]
     rows = (
         df.withColumn("_items", line_arrays(F.col("extraction")))
-        .withColumn("_x", F.explode(zip_shortest(arrays, names)))
+        .withColumn("_x", F.explode_outer(zip_shortest(arrays, names))).where("_x IS NOT NULL")
     )
     cell = lambda i: F.col(f"_x.c{i}")
     return rows.select(
@@ -222,7 +236,7 @@ def rows_by_first_column(df: DataFrame, mapping: str = "named") -> DataFrame:
     ``"named"`` picks description, category, quantity, unit price and total by name.
     """
     first = F.try_element_at("line_items", F.get("table_cols", F.lit(0)))
-    rows = df.select("*", F.posexplode(first).alias("_i", "_first"))
+    rows = df.select("*", F.posexplode_outer(first).alias("_i", "_first")).where("_i IS NOT NULL")
     cells = F.transform("table_cols", lambda c: F.get(F.try_element_at(F.col("line_items"), c), F.col("_i")))
     rows = rows.withColumn("_row", F.map_from_arrays("table_cols", cells))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import plain_number, to_iso_date
+from ..functions.core import let, plain_number, to_iso_date
 
 WARNING = "struct<field:string,rule:string,message:string>"
 
@@ -24,21 +24,28 @@ def _rule_warnings(field: Column, rule: Column, value: Column, ftype: Column) ->
         text = F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message])
         return F.when(condition, F.struct(field.alias("field"), F.lit(name).alias("rule"), text.alias("message")))
 
-    number = F.when(ftype == "NUMBER", value.try_cast("double"))
-    day = F.when(ftype == "DATE", to_iso_date(value))
-    empty = value.isNull() | (F.trim(value) == "") | ((value == "0") & (ftype != "NUMBER"))
-    return F.array_compact(F.array(
-        warn(rule["required"] & empty, "required", field, " is required but missing or empty"),
-        warn(number < rule["min"].try_cast("double"), "min",
-             field, "=", plain_number(number), " is below minimum ", rule["min"]),
-        warn(number > rule["max"].try_cast("double"), "max",
-             field, "=", plain_number(number), " exceeds maximum ", rule["max"]),
-        warn(day < to_iso_date(rule["date_min"]), "date_min", field, "=", value, " is before ", rule["date_min"]),
-        warn(day > to_iso_date(rule["date_max"]), "date_max", field, "=", value, " is after ", rule["date_max"]),
-        # a pattern counts from the start of the value but need not reach its end
-        warn(~value.rlike(F.concat(F.lit("^(?:"), rule["pattern"], F.lit(")"))), "pattern",
-             field, "=", value, " does not match pattern ", rule["pattern"]),
-    ))
+    def checks(x: Column) -> Column:
+        v, number, day = x["v"], x["number"], x["day"]
+        empty = v.isNull() | (F.trim(v) == "") | ((v == "0") & (ftype != "NUMBER"))
+        return F.array_compact(F.array(
+            warn(rule["required"] & empty, "required", field, " is required but missing or empty"),
+            warn(number < rule["min"].try_cast("double"), "min",
+                 field, "=", plain_number(number), " is below minimum ", rule["min"]),
+            warn(number > rule["max"].try_cast("double"), "max",
+                 field, "=", plain_number(number), " exceeds maximum ", rule["max"]),
+            warn(day < to_iso_date(rule["date_min"]), "date_min", field, "=", v, " is before ", rule["date_min"]),
+            warn(day > to_iso_date(rule["date_max"]), "date_max", field, "=", v, " is after ", rule["date_max"]),
+            # a pattern counts from the start of the value but need not reach its end
+            warn(~F.regexp_like(v, F.concat(F.lit("^(?:"), rule["pattern"], F.lit(")"))), "pattern",
+                 field, "=", v, " does not match pattern ", rule["pattern"]),
+        ))
+
+    def typed(v: Column) -> Column:
+        number = F.when(ftype == "NUMBER", v.try_cast("double"))
+        day = F.when(ftype == "DATE", to_iso_date(v))
+        return let(F.struct(v.alias("v"), number.alias("number"), day.alias("day")), checks)
+
+    return let(value, typed)
 
 
 def warnings(values: Column, types: Column, rules: Column) -> Column:
@@ -56,17 +63,19 @@ def score(value: Column, ftype: Column, warning_count: Column) -> Column:
     def minus(condition: Column, part: str) -> Column:
         return F.when(condition, F.lit(part).cast("decimal(4,2)")).otherwise(F.lit("0").cast("decimal(4,2)"))
 
-    number = value.try_cast("double")
-    is_number, is_date = ftype == "NUMBER", ftype == "DATE"
-    lost = (
-        minus(is_number & (number == 0), "0.10")
-        + minus(is_number & number.isNull(), "0.30")
-        + minus(is_date & ~value.rlike(r"^\d{4}-\d{2}-\d{2}$"), "0.20")
-        + warning_count * F.lit("0.30").cast("decimal(4,2)")
-    )
-    left = F.greatest(F.lit(1) - lost, F.lit(0).cast("decimal(4,2)")).cast("decimal(4,2)")
-    missing = value.isNull() | (F.trim(value) == "")
-    return F.when(missing, F.lit(0.1)).otherwise(left.cast("double"))
+    def scored(v: Column) -> Column:
+        number = F.when(ftype == "NUMBER", v.try_cast("double"))
+        lost = (
+            minus(number == 0, "0.10")
+            + minus((ftype == "NUMBER") & number.isNull(), "0.30")
+            + minus((ftype == "DATE") & ~v.rlike(r"^\d{4}-\d{2}-\d{2}$"), "0.20")
+            + warning_count * F.lit("0.30").cast("decimal(4,2)")
+        )
+        left = F.greatest(F.lit(1) - lost, F.lit(0).cast("decimal(4,2)")).cast("decimal(4,2)")
+        missing = v.isNull() | (F.trim(v) == "")
+        return F.when(missing, F.lit(0.1)).otherwise(left.cast("double"))
+
+    return let(value, scored)
 
 
 def confidence(normalized: Column, found: Column) -> Column:
