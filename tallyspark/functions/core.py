@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .values import AGING_BOUNDS, AGING_OPEN_END, DATE_PATTERNS
 
@@ -57,8 +60,9 @@ def mean_of(c: Column | str, digits: int = 6) -> Column:
 
 
 def rate(part: Column, whole: Column, digits: int) -> Column:
-    """part / whole rounded; NULL where whole is not positive."""
-    return F.when(whole > 0, F.round(part.cast("double") / whole, digits))
+    """part / whole rounded as exact decimals; NULL where whole is not positive."""
+    exact = part.cast("decimal(28,9)") / whole.cast("decimal(20,0)")
+    return F.when(whole > 0, F.round(exact, digits).cast("double"))
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -155,6 +159,14 @@ def pick_amount(lo: str, hi: str, *keys) -> Column:
     return ((pick(hi_c - lo_c + 1, *keys) + F.lit(lo_c)) / 100).cast("decimal(12,2)")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """A few fixed rows as a frame whose size Spark knows, so that joins to it are planned well."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields)]
+    return spark.createDataFrame(pa.table(dict(zip(schema.names, arrays))), schema)
+
+
 # --- rows -------------------------------------------------------------------------------------------
 
 def latest_per(df: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:

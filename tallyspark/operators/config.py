@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import values as V
-from ..functions.core import json_map, lookup
+from ..functions.core import json_map, lookup, small_table
 
 RULE = "struct<required:boolean,min:string,max:string,date_min:string,date_max:string,pattern:string>"
 
@@ -39,7 +39,7 @@ def default_rows() -> list[tuple]:
 
 def default_config(spark: SparkSession) -> DataFrame:
     """The five document types known from the start."""
-    return spark.createDataFrame(default_rows(), schemas.DOC_TYPE_CONFIG)
+    return small_table(spark, default_rows(), schemas.DOC_TYPE_CONFIG)
 
 
 # --- parsing ---------------------------------------------------------------------------------

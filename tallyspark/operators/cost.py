@@ -31,8 +31,8 @@ def calls(usage: DataFrame, function_name: str, as_of: Column, days: int = 90) -
 
 
 def with_queries(call_df: DataFrame, queries: DataFrame) -> DataFrame:
-    text = queries.select("query_id", "query_text", (F.col("total_elapsed_time") / 1000.0).cast("double").alias("elapsed_sec"),
-                          "rows_produced")
+    seconds = (F.col("total_elapsed_time").cast("decimal(18,3)") / 1000).cast("decimal(18,3)")
+    text = queries.select("query_id", "query_text", seconds.alias("elapsed_sec"), "rows_produced")
     return call_df.join(text, "query_id", "left")
 
 
@@ -124,7 +124,7 @@ def by_doc_type(usage: DataFrame, queries: DataFrame, raw: DataFrame, function_n
             F.round(F.sum("ai_credits"), 6).alias("ai_credits"),
             F.sum("tokens").alias("total_tokens"),
             F.round(F.sum("elapsed_sec"), 1).alias("total_elapsed_sec"),
-            F.round(F.avg("elapsed_sec"), 1).alias("avg_elapsed_sec"),
+            mean_of("elapsed_sec", 1).alias("avg_elapsed_sec"),
         )
         .orderBy(F.desc("usage_date"), "doc_type")
     )
@@ -190,7 +190,7 @@ def per_call_detail(usage: DataFrame, queries: DataFrame, raw: DataFrame, field_
 
 
 def drivers(detail: DataFrame) -> DataFrame:
-    avg = lambda c, digits: F.round(F.avg(c), digits)
+    avg = mean_of
     return detail.groupBy("doc_type").agg(
         F.count("*").alias("total_calls"),
         avg("page_count", 1).alias("avg_pages"),
@@ -223,20 +223,21 @@ def token_histogram(call_df: DataFrame) -> DataFrame:
     name = F.get(F.array(*[F.lit(n) for _, n in TOKEN_RANGES]), F.col("sort_order") - 1)
     return call_df.groupBy(position.alias("sort_order")).agg(
         F.count("*").alias("calls"),
-        F.round(F.avg("ai_credits"), 6).alias("avg_credits"),
+        mean_of("ai_credits", 6).alias("avg_credits"),
         F.round(F.min("ai_credits"), 6).alias("min_credits"),
         F.round(F.max("ai_credits"), 6).alias("max_credits"),
-        F.round(F.avg("tokens"), 0).alias("avg_tokens"),
+        mean_of("tokens", 0).alias("avg_tokens"),
     ).withColumn("token_range", name).orderBy("sort_order")
 
 
 def document_confidence(payloads: DataFrame) -> DataFrame:
     """Mean score per document from the stored payload (file_name, doc_type, raw_extraction); row-local."""
     scores = F.map_values(F.from_json(F.get_json_object("raw_extraction", "$._confidence"), "map<string,double>"))
-    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+    # scores have two decimals: an exact sum does not depend on their order
+    total = F.aggregate("_s", F.lit(0).cast("decimal(18,2)"), lambda a, x: (a + x.cast("decimal(4,2)")).cast("decimal(18,2)"))
     return payloads.withColumn("_s", scores).where(F.size("_s") > 0).select(
         "file_name", "doc_type", F.size("_s").alias("n_fields"),
-        F.round(total / F.size("_s"), 6).alias("avg_confidence"))
+        F.round(total.cast("double") / F.size("_s"), 6).alias("avg_confidence"))
 
 
 def confidence_and_cost(conf: DataFrame, detail: DataFrame) -> DataFrame:
@@ -248,7 +249,7 @@ def confidence_and_cost(conf: DataFrame, detail: DataFrame) -> DataFrame:
 def confidence_by_type(joined: DataFrame, low: float = 0.7) -> DataFrame:
     return joined.groupBy("doc_type").agg(
         F.round(F.avg("avg_confidence"), 6).alias("avg_confidence"),
-        F.round(F.avg("ai_credits"), 6).alias("avg_credits"),
+        mean_of("ai_credits").alias("avg_credits"),
         F.count("file_name").alias("doc_count"),
         F.count_if(F.col("avg_confidence") < low).alias("low_confidence"),
     )

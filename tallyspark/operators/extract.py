@@ -110,13 +110,13 @@ def response_json(response: Column) -> Column:
 
 def post_process(df: DataFrame) -> DataFrame:
     """``response`` to normalised fields, warnings, confidence and the payload to store."""
-    def canonical(spec: Column) -> Column:
+    def canonical(response: Column, spec: Column) -> Column:
         def named(value: Column) -> Column:
             return F.struct(
                 spec["name"].alias("name"), spec["ftype"].alias("ftype"),
                 F.when(spec["name"].isin(V.NAME_FIELDS), company_name(value)).otherwise(value).alias("value"))
 
-        return let(normalize(F.try_element_at(F.col("response"), spec["name"]), spec["ftype"]), named)
+        return let(normalize(F.try_element_at(response, spec["name"]), spec["ftype"]), named)
 
     def checked(n: Column) -> Column:
         return let(validate.values_map(n), lambda v: let(
@@ -125,7 +125,9 @@ def post_process(df: DataFrame) -> DataFrame:
                                validate.confidence(n, w).alias("confidence"))))
 
     parts = ["normalized", "values", "warnings", "confidence"]
-    done = df.withColumn("_p", let(F.transform("specs", canonical), checked))
+    # bound first: a column that is merged into a lambda would be evaluated for every element
+    fields = let(F.col("response"), lambda r: F.transform(F.col("specs"), lambda spec: canonical(r, spec)))
+    done = df.withColumn("_p", let(fields, checked))
     done = done.withColumns({p: F.col(f"_p.{p}") for p in parts}).drop("_p")
     return done.withColumn("raw_extraction", payload(F.col("values"), F.col("confidence"), F.col("warnings")))
 

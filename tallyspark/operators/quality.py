@@ -9,9 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.core import json_map, one_row
+from ..functions.core import json_map, one_row, small_table
 
 SCHEMA = "check string, passed boolean, detail string"
 
@@ -170,7 +169,7 @@ def schema_contract(spark: SparkSession, df: DataFrame, expected: list[tuple[str
     rows = [("column_count", len(actual) == len(expected), f"{len(actual)}"),
             ("column_names", [n for n, _ in actual] == [n for n, _ in expected], ",".join(n for n, _ in actual)),
             ("column_types", [t for _, t in actual] == [t for _, t in expected], ",".join(t for _, t in actual))]
-    return spark.createDataFrame(rows, T._parse_datatype_string(SCHEMA))
+    return small_table(spark, rows, SCHEMA)
 
 
 def cardinality(summary: DataFrame, fields: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import json_map
+from ..functions.core import json_map, small_table
 from ..operators import config, docs, ingest
 from . import projections as P
 from .base import CTES, query
@@ -272,7 +272,7 @@ def _(spark, d):
     vendors = P.read(spark, d, "customer").select(
         F.col("c_custkey").alias("vendor_id"), F.col("c_name").alias("vendor_name"),
         F.lit(None).cast("string").alias("address"), F.lit("Net 30").alias("default_terms"))
-    seeds = spark.createDataFrame(P.V.VENDORS, "vendor_name string, address string, default_terms string")
+    seeds = small_table(spark, P.V.VENDORS, "vendor_name string, address string, default_terms string")
     return ingest.seed_if_empty(vendors, seeds)
 
 
@@ -285,7 +285,7 @@ def _(spark, d):
     vendors = P.read(spark, d, "customer").select(
         F.col("c_custkey").alias("vendor_id"), F.col("c_name").alias("vendor_name"),
         F.lit(None).cast("string").alias("address"), F.lit("Net 30").alias("default_terms"))
-    seeds = spark.createDataFrame(P.V.VENDORS[:6], "vendor_name string, address string, default_terms string")
+    seeds = small_table(spark, P.V.VENDORS[:6], "vendor_name string, address string, default_terms string")
     return ingest.seed_missing(vendors, seeds, "vendor_name", "vendor_id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.core import json_map
+from ..functions.core import json_map, small_table
 from ..functions.values import QUESTIONS
 from ..operators import config, cost, docs, extract, ingest, quality, validate
 from ..session import shared_dir
@@ -334,7 +334,7 @@ def _(spark, d):
 
 
 @query("token_estimate", """
-SELECT file_name, doc_type, page_count::BIGINT AS page_count, page_count * 970 + 600 AS estimated_tokens,
+SELECT file_name, doc_type, page_count::BIGINT AS page_count, (page_count * 970 + 600)::BIGINT AS estimated_tokens,
   round((page_count * 970 + 600) * 0.000005::DOUBLE, 6) AS estimated_credits FROM raw_documents""")
 def _(spark, d):
     return cost.estimate(P.raw_documents(spark, d), 0.000005, 200, 400)
@@ -359,7 +359,7 @@ CATEGORY_LISTS = ["Snacks, Frozen", "Tobacco", "Unknown", "Beverages,Candy & Gum
 def _(spark, d):
     """Invoices to order, one per order; one vendor in thirteen is unknown and gives an error row."""
     k = F.col("o_orderkey")
-    vendors = spark.createDataFrame(P.V.VENDORS, "vendor_name string, address string, default_terms string")
+    vendors = small_table(spark, P.V.VENDORS, "vendor_name string, address string, default_terms string")
     names = F.array(*[F.lit(v[0]) for v in P.V.VENDORS], F.lit("Nobody Inc."))
     wanted = P.read(spark, d, "orders").select(
         k.alias("seed"), F.get(names, (k % 13).cast("int")).alias("vendor_name"), (F.lit(3) + k % 8).cast("int").alias("num_items"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.core import small_table
 from ..functions.normalize import safe_date, safe_number, safe_text
 from ..operators import config, extract, review, tables
 from ..sources import files
@@ -256,7 +257,7 @@ def _(spark, d):
 @query("set_active", """
 SELECT doc_type, active, count(*) AS documents FROM (SELECT doc_type, doc_type NOT IN ('LEASE', 'RECEIPT') AS active FROM raw_documents) GROUP BY 1, 2""")
 def _(spark, d):
-    off = spark.createDataFrame([("LEASE", False), ("RECEIPT", False)], "doc_type string, active boolean")
+    off = small_table(spark, [("LEASE", False), ("RECEIPT", False)], "doc_type string, active boolean")
     changed = config.set_active(config.default_config(spark), off).select("doc_type", "active")
     return P.raw_documents(spark, d).join(changed, "doc_type").groupBy("doc_type", "active").agg(F.count("*").alias("documents"))
 
@@ -268,7 +269,7 @@ UNION ALL SELECT 'rejected', 'INVOICE'""")
 def _(spark, d):
     """New types from a list of names, one of which exists already."""
     new = P.read(spark, d, "nation").select(F.concat(F.lit(" "), F.lower("n_name")).alias("doc_type"), F.col("n_name").alias("display_name"))
-    new = new.unionByName(spark.createDataFrame([("invoice ", "Again")], "doc_type string, display_name string"))
+    new = new.unionByName(small_table(spark, [("invoice ", "Again")], "doc_type string, display_name string"))
     base = config.default_config(spark)
     table, rejected = config.add_types(base, new)
     added = table.join(base.select("doc_type"), "doc_type", "left_anti")
@@ -279,7 +280,7 @@ def _(spark, d):
 SELECT r.doc_type, CASE WHEN doc_type = 'LEASE' THEN 'Rental' ELSE replace(upper(left(doc_type, 1)) || lower(substr(doc_type, 2)), '_b', ' B') END AS display_name,
   count(*) AS documents FROM raw_documents r GROUP BY 1, 2""")
 def _(spark, d):
-    change = spark.createDataFrame([("LEASE", "Rental"), ("MEMO", "Memo")], "doc_type string, display_name string")
+    change = small_table(spark, [("LEASE", "Rental"), ("MEMO", "Memo")], "doc_type string, display_name string")
     new = tables.upsert(config.default_config(spark), change, "doc_type")
     return P.raw_documents(spark, d).join(new, "doc_type").groupBy("doc_type", "display_name").agg(F.count("*").alias("documents"))
 
@@ -335,7 +336,7 @@ def _(spark, d):
 # --- field names and overflow ----------------------------------------------------------------------
 
 @query("field_overflow", """
-SELECT file_name, v.doc_type, pos, field AS field_name, CASE WHEN normalized IS NULL AND pos > 10 THEN NULL ELSE normalized END AS value
+SELECT file_name, v.doc_type, pos::BIGINT AS pos, field AS field_name, CASE WHEN normalized IS NULL AND pos > 10 THEN NULL ELSE normalized END AS value
 FROM doc_value v WHERE v.doc_type IN ('UTILITY_BILL', 'LEASE')""")
 def _(spark, d):
     """All fields of the types with more than ten, from columns and payload."""
