@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import correlation, mean_of, one_row, rate, since
+from ..functions.core import correlation, let, mean_of, one_row, rate, since
 from ..functions.values import TOKENS_PER_PAGE
 
 UNKNOWN = "UNKNOWN"
@@ -38,22 +38,25 @@ def with_queries(call_df: DataFrame, queries: DataFrame) -> DataFrame:
 
 # --- which documents a call is about ---------------------------------------------------------------
 
-def _anchors(text: Column, lengths: list[int]) -> Column:
+def _anchors(text: Column, lengths: Column) -> Column:
     """Every piece of the text with one of the lengths, with the position it ends at."""
-    def at(end: Column) -> Column:
-        return F.transform(F.array(*map(F.lit, lengths)), lambda k: F.struct(
-            end.alias("end"), F.substring(text, end - k + 1, k).alias("anchor"), k.alias("k")))
+    def pieces(t: Column, ks: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), lambda end: F.transform(
+            F.filter(ks, lambda k: k <= end),
+            lambda k: F.struct(end.alias("end"), F.substring(t, end - k + 1, k).alias("anchor")))))
 
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length(text)), at))
-    return F.filter(pieces, lambda x: x["end"] >= x["k"])
+    return let(text, lambda t: let(lengths, lambda ks: pieces(t, ks)))
 
 
-def _windows(texts: DataFrame, forms: DataFrame, lengths: list[int]) -> DataFrame:
+def _windows(texts: DataFrame, forms: DataFrame) -> DataFrame:
     """Pieces of the texts that have the form of a name, masked like one."""
-    found = texts.select("query_id", "_t", F.explode(_anchors(F.col("_t"), lengths)).alias("_a"))
+    # the lengths that occur: at most five numbers
+    lengths = forms.agg(F.collect_set(F.length("_anchor"))).scalar()
+    found = texts.withColumn("_ks", lengths).select(
+        "query_id", "_t", F.explode_outer(_anchors(F.col("_t"), F.col("_ks"))).alias("_a"))
     placed = (
-        found.withColumn("_anchor", F.col("_a.anchor")).join(forms, "_anchor")
-        .withColumn("_start", F.col("_a.end") - F.col("_len") + 1).where("_start >= 1")
+        found.select("query_id", "_t", F.col("_a.end").alias("_end"), F.col("_a.anchor").alias("_anchor")).join(forms, "_anchor")
+        .withColumn("_start", F.col("_end") - F.col("_len") + 1).where("_start >= 1")
     )
     window = F.substring("_t", F.col("_start"), F.col("_len"))
     masked = F.aggregate("_mask", window, lambda w, p: F.overlay(w, F.lit("_"), p, F.lit(1)))
@@ -82,10 +85,8 @@ def match_documents(call_df: DataFrame, raw: DataFrame, columns: list[str], mode
         F.right(F.substring_index("_name", "_", -1), F.lit(4)).alias("_anchor"),
         F.length("_name").alias("_len"), F.array_compact(chars).alias("_mask"),
     ).where("_len > 0").distinct()
-    texts = call_df.where(F.col("query_text").isNotNull()).select("query_id", F.lower("query_text").alias("_t"))
-    full = F.length("_anchor") == 4
-    pieces = _windows(texts, forms.where(full), [4]).unionByName(_windows(texts, forms.where(~full), [0, 1, 2, 3]))
-    found = pieces.distinct().join(docs, "_name").drop("_name")
+    texts = call_df.where(F.length("query_text") > 0).select("query_id", F.lower("query_text").alias("_t"))
+    found = _windows(texts, forms).distinct().join(docs, "_name").drop("_name")
     return call_df.join(found, "query_id", "left")
 
 
@@ -185,7 +186,6 @@ def per_call_detail(usage: DataFrame, queries: DataFrame, raw: DataFrame, field_
                 "tokens", "elapsed_sec", "field_count",
                 rate(F.col("ai_credits"), F.col("page_count"), 6).alias("credits_per_page"),
                 rate(F.col("tokens"), F.col("page_count"), 0).alias("tokens_per_page"))
-        .orderBy(F.desc("start_time"), "query_id")
     )
 
 

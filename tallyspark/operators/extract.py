@@ -84,22 +84,23 @@ def with_model(docs: DataFrame, config: DataFrame,
 
     A document the model fails on gets NULL answers and its error text; the others go on.
     """
-    joined = docs.join(parsed(config), "doc_type")
-    needed = joined.select("file_name", "text", F.col("specs.name").alias("fields"))
+    types = parsed(config)
+    needed = docs.join(types.select("doc_type", F.col("specs.name").alias("fields")), "doc_type").select(
+        "file_name", "doc_type", "text", "fields")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for name, text, fields in zip(batch["file_name"], batch["text"], batch["fields"]):
+            for name, kind, text, fields in batch.itertuples(index=False):
                 try:
                     got = model(name, text, list(fields))
-                    out.append((name, {f: None if got.get(f) is None else str(got[f]) for f in fields}, None))
+                    out.append((name, kind, {f: None if got.get(f) is None else str(got[f]) for f in fields}, None))
                 except Exception as problem:
-                    out.append((name, None, str(problem)[:V.ERROR_TEXT_LENGTH]))
-            yield pd.DataFrame(out, columns=["file_name", "response", "error"])
+                    out.append((name, kind, None, str(problem)[:V.ERROR_TEXT_LENGTH]))
+            yield pd.DataFrame(out, columns=["file_name", "doc_type", "response", "error"])
 
-    answers = needed.mapInPandas(run, "file_name string, response map<string,string>, error string")
-    return joined.join(answers, "file_name")
+    answers = needed.mapInPandas(run, "file_name string, doc_type string, response map<string,string>, error string")
+    return answers.join(types, "doc_type")
 
 
 def response_json(response: Column) -> Column:

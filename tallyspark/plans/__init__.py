@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ap_queries", "doc_queries", "review_queries", "extract_queries", "cost_queries", "stream_queries", "quality_queries"]
+MODULES = ["ap_queries", "doc_queries", "review_queries", "extract_queries", "cost_queries", "stream_queries", "quality_queries", "block_queries"]
 
 
 def load() -> None:

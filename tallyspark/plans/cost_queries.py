@@ -120,7 +120,7 @@ def _(spark, d):
 SELECT query_id, start_time, file_name, doc_type, page_count::BIGINT AS page_count, file_size_bytes, ai_credits::DOUBLE AS ai_credits, tokens,
   elapsed_sec::DOUBLE AS elapsed_sec, field_count::BIGINT AS field_count, credits_per_page, tokens_per_page FROM call_detail""")
 def _(spark, d):
-    return detail(spark, d)
+    return detail(spark, d).orderBy(F.desc("start_time"), "query_id", "file_name")
 
 
 @query("field_counts", """

@@ -102,8 +102,18 @@ def _(spark, d):
     return q.run([q.reconciled(gap("subtotal", 0.2), "line_totals_vs_subtotal"), q.reconciled(gap("total_amount", 0.5), "line_totals_vs_total")])
 
 
-@query("dq_totals_agree", """
-SELECT unnest(['aging_vs_ledger', 'vendors_complete', 'trend_vs_base']) AS "check", true AS passed, '0.0' AS detail""")
+def agree(name: str, left: str, right: str) -> str:
+    """SQL of a check that two sums agree."""
+    return f"""SELECT '{name}' AS "check", abs(l - r) < 0.01 AS passed, round(abs(l - r), 2)::VARCHAR AS detail
+FROM (SELECT ({left})::DOUBLE AS l, ({right})::DOUBLE AS r)"""
+
+
+@query("dq_totals_agree", " UNION ALL ".join([
+    agree("aging_vs_ledger", "SELECT sum(s) FROM (SELECT sum(outstanding_amount) AS s FROM ap_ledger_rows GROUP BY aging_bucket)",
+          "SELECT sum(outstanding_amount) FROM ap_ledger_rows"),
+    agree("vendors_complete", "SELECT count(*) FROM (SELECT vendor_name FROM invoices GROUP BY 1)", "SELECT count(DISTINCT vendor_name) FROM invoices"),
+    agree("trend_vs_base", "SELECT sum(s) FROM (SELECT sum(total_amount) AS s FROM invoices GROUP BY date_trunc('month', invoice_date))",
+          "SELECT sum(total_amount) FROM invoices")]))
 def _(spark, d):
     inv, led = P.invoices(spark, d), ledger(spark, d)
     vendors = ap.spend_by_vendor(inv)
@@ -193,8 +203,9 @@ def _(spark, d):
 
 
 @query("dq_cardinality", """
-SELECT 'one_row_per_record' AS "check", true AS passed, n || ' vs ' || n AS detail FROM (SELECT count(*) AS n FROM fields)
-UNION ALL SELECT 'record_id_unique', true, '0'""")
+SELECT 'one_row_per_record' AS "check", a = b AS passed, a || ' vs ' || b AS detail
+FROM (SELECT (SELECT count(*) FROM summary_rows) AS a, (SELECT count(*) FROM fields) AS b)
+UNION ALL SELECT 'record_id_unique', count(*) = count(DISTINCT record_id), (count(*) - count(DISTINCT record_id))::VARCHAR FROM summary_rows""")
 def _(spark, d):
     """Reviews of unknown records, and many reviews of one record, leave the view's size alone."""
     reviews = P.reviews(spark, d)
@@ -203,8 +214,13 @@ def _(spark, d):
     return q.cardinality(view, P.fields(spark, d))
 
 
-@query("dq_status", """
-SELECT 6 AS checks, 1 AS failed, 'DEGRADED' AS status FROM (SELECT count(*) FROM orders)""".replace("6 AS checks, 1 AS failed", "6::BIGINT AS checks, 1::BIGINT AS failed"))
+@query("dq_status", f"""
+SELECT count(*) AS checks, count(*) FILTER (NOT passed) AS failed, CASE WHEN bool_or(NOT passed AND "check" <> 'due_date_not_null') THEN 'UNHEALTHY'
+  WHEN bool_or(NOT passed) THEN 'DEGRADED' ELSE 'HEALTHY' END AS status
+FROM ({check("invoice_number_unique", "count(*) - count(DISTINCT invoice_number) AS n FROM invoices")} UNION ALL {bad(
+    "invoices", ("vendor_name_not_null", "vendor_name IS NULL"), ("total_amount_not_null", "total_amount IS NULL"),
+    ("due_date_not_null", "due_date IS NULL"), ("status_allowed", "status NOT IN ('PENDING', 'APPROVED', 'PAID')"),
+    ("total_amount_in_range", "total_amount < 0.01"))})""")
 def _(spark, d):
     inv = P.invoices(spark, d)
     checks = q.run([q.unique(inv, "invoice_number"), q.no_nulls(inv, ["vendor_name", "total_amount", "due_date"]),

@@ -84,8 +84,8 @@ SELECT count(*) AS total_files, count(*) FILTER (extracted) AS extracted_ok, cou
 FROM raw_documents"""
 
 
-def health_row(spark, d, column="extracted_at"):
-    return health.health(P.raw_documents(spark, d), P.moment("2001-08-01 00:00:00"), column)
+def health_row(spark, d, column="extracted_at", hours=24):
+    return health.health(P.raw_documents(spark, d), P.moment("2001-08-01 00:00:00"), column, hours)
 
 
 @query("health", HEALTH_SQL.format("extracted_at", "24 HOUR"))
@@ -111,9 +111,14 @@ def _(spark, d):
 @query("alert_rows", f"""
 SELECT 'EXTRACTION_FAILURE_ALERT' AS alert_name, recent_failures AS failed_count, total_files, 'Extraction failure threshold exceeded: ' ||
   recent_failures || ' failures in last 24h out of ' || total_files || ' total files.' AS message
-FROM ({HEALTH_SQL.format('staged_at', '24 HOUR')}) WHERE recent_failures >= 1""")
+FROM ({HEALTH_SQL.format('staged_at', '1000 DAY')}) WHERE recent_failures >= 3
+UNION ALL SELECT 'EXTRACTION_FAILURE_ALERT', recent_failures, total_files, 'none expected' FROM ({HEALTH_SQL.format('extracted_at', '24 HOUR')})
+WHERE recent_failures >= 1000""")
 def _(spark, d):
-    return health.alert(health_row(spark, d, "staged_at"), P.moment("2001-08-01 00:00:00"), 1).drop("fired_at")
+    """Fires for the failures of the last thousand days, not for those of the last day."""
+    now = P.moment("2001-08-01 00:00:00")
+    fires = health.alert(health_row(spark, d, "staged_at", 24000), now)
+    return fires.unionByName(health.alert(health_row(spark, d), now, 1000)).drop("fired_at")
 
 
 @query("reextract", """

@@ -33,9 +33,12 @@ def table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Files that each hold one JSON array of objects."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def json_records(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """Files that each hold one JSON array of objects, or one object per line.
+
+    A file with an array is read by one task, a file with lines can be split.
+    """
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def append(df: DataFrame, path: str) -> None:
