@@ -89,8 +89,9 @@ def registry(spark: SparkSession, base: str) -> DataFrame:
 
 def arriving_files(spark: SparkSession, path: str, glob: str = "*", per_trigger: int = 1000) -> DataFrame:
     """Stream of new files below a folder (name and size); contents are not read."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
     return (
-        spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+        spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", per_trigger).load(path)
         .select(F.substring_index("path", "/", -1).alias("file_name"), F.col("length").alias("file_size_bytes"))
     )
