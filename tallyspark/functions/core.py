@@ -37,7 +37,7 @@ def clean_amount(c: Column, precision: int = 12, scale: int = 2) -> Column:
 
 def to_iso_date(c: Column) -> Column:
     """ISO text to date; NULL for anything else (a bare year is not a date)."""
-    return F.try_to_date(c, "yyyy-M-d")
+    return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(c, "yyyy-M-d"))
 
 
 def to_any_date(c: Column) -> Column:

@@ -238,10 +238,17 @@ def rows_by_first_column(df: DataFrame, mapping: str = "named") -> DataFrame:
     ``mapping="positional"`` puts the first five columns into col_1 .. col_5 whatever they are;
     ``"named"`` picks description, category, quantity, unit price and total by name.
     """
-    first = F.try_element_at("line_items", F.get("table_cols", F.lit(0)))
-    rows = df.select("*", F.posexplode_outer(first).alias("_i", "_first")).where("_i IS NOT NULL")
-    cells = F.transform("table_cols", lambda c: F.get(F.try_element_at(F.col("line_items"), c), F.col("_i")))
-    rows = rows.withColumn("_row", F.map_from_arrays("table_cols", cells))
+    def by_row(items: Column) -> Column:
+        first = F.try_element_at(items, F.get("table_cols", F.lit(0)))
+        return F.transform(first, lambda _, i: F.transform(
+            F.col("table_cols"), lambda c: F.get(F.try_element_at(items, c), i)))
+
+    # turned to rows before the explode: exploded rows must not carry the whole table with them
+    rows = (
+        df.withColumn("_rows", let(F.col("line_items"), by_row)).drop("line_items")
+        .select("*", F.posexplode_outer("_rows").alias("_i", "_cells")).drop("_rows").where("_i IS NOT NULL")
+        .withColumn("_row", F.map_from_arrays("table_cols", "_cells"))
+    )
 
     def source(i: int) -> Column:
         if mapping == "positional":

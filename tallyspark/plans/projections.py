@@ -45,7 +45,18 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def file_name(key: Column | str) -> Column:
-    return F.format_string("invoice_%08d.pdf", key)
+    """``invoice_00000042.pdf``; longer keys keep all their digits."""
+    digits = (F.col(key) if isinstance(key, str) else key).cast("string")
+    return F.concat(F.lit("invoice_"), F.lpad(digits, F.greatest(F.lit(8), F.length(digits)), F.lit("0")), F.lit(".pdf"))
+
+
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Hand documents to all cores before costly row-local work, if their source has fewer files than cores.
+
+    A table of many files already comes in enough splits and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, "file_name") if len(source.inputFiles()) < cores else df
 
 
 def _m(c: str, p: int = 12) -> Column:
@@ -370,8 +381,9 @@ def field_docs(spark, d) -> DataFrame:
     }
     raw = raw_documents(spark, d).select("file_name", "doc_type")
     source_of = F.create_map(*[F.lit(x) for kv in SOURCE.items() for x in kv])
+    printed = spread(inv, read(spark, d, "orders"))
     return (
-        inv.select("file_name", "k", F.create_map(*[x for n, c in src.items() for x in (F.lit(n), c.cast("string"))]).alias("_src"))
+        printed.select("file_name", "k", F.create_map(*[x for n, c in src.items() for x in (F.lit(n), c.cast("string"))]).alias("_src"))
         .join(raw, "file_name")
         .join(cfg.parsed(cfg.default_config(spark)), "doc_type")
         .withColumn("response", F.map_from_entries(F.transform("specs", lambda s: F.struct(
