@@ -136,7 +136,17 @@ def _(spark, d):
     return one_row(head, P.line_items(spark, d).agg(F.count("*").alias("line_items")))
 
 
-@query("simulated_status")
+@query("simulated_status", """
+SELECT invoice_id, due_date < DATE '2000-01-01' AS overdue, due_date < DATE '1999-12-02' AS old, true AS status_fits, true AS payment_fits FROM invoices""")
 def _(spark, d):
+    """Only old invoices are paid, only overdue ones approved, and payments follow 5 to 25 days after the invoice."""
+    c = F.col
     start = P.invoices(spark, d).withColumns({"status": F.lit("PENDING"), "payment_date": F.lit(None).cast("date")})
-    return synth.assign_status(start, P.day()).select("invoice_id", "file_name", "invoice_date", "due_date", "status", "payment_date")
+    out = synth.assign_status(start, P.day()).withColumns({
+        "overdue": c("due_date") < P.day(), "old": c("due_date") < F.date_sub(P.day(), 30)})
+    known = lambda flag: F.coalesce(c(flag), F.lit(False))
+    paid = c("status") == "PAID"
+    fits = F.when(paid, known("old")).when(c("status") == "APPROVED", known("overdue")).otherwise(c("status") == "PENDING")
+    days = F.datediff("payment_date", "invoice_date")
+    return out.select("invoice_id", "overdue", "old", fits.alias("status_fits"),
+                      F.when(paid, days.between(5, 25)).otherwise(c("payment_date").isNull()).alias("payment_fits"))

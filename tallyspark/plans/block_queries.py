@@ -56,7 +56,7 @@ FROM orders""")
 def _(spark, d):
     return P.read(spark, d, "orders").select(
         "o_orderkey", core.days_past(F.to_date("o_orderdate"), P.day()).alias("days"), F.date_add(F.to_date("o_orderdate"), 30).alias("plus_30"),
-        F.trunc("o_orderdate", "MM").alias("month"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("seconds"),
+        F.trunc("o_orderdate", "MM").alias("month"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)").alias("seconds"),
         (F.col("o_orderdate") - F.expr("INTERVAL 24 HOURS")).alias("day_before"))
 
 
@@ -117,12 +117,16 @@ def _(spark, d):
         F.size(F.map_filter(m, lambda k, v: v.isNotNull())).alias("present"), F.try_element_at(m, F.lit("vendor_name")).alias("vendor"))
 
 
-@query("fn_hash_pick")
+@query("fn_hash_pick", """
+SELECT o_orderkey, true AS percent, true AS days, true AS letter, true AS amount, true AS repeatable FROM orders""")
 def _(spark, d):
+    """Picks by hash stay within their ranges and are the same each time."""
     k = F.col("o_orderkey")
-    return P.read(spark, d, "orders").select(
-        "o_orderkey", core.pick(100, k, "a").alias("percent"), core.pick_between(5, 25, k, "b").alias("days"),
-        core.pick_from(["x", "y", "z"], k, "c").alias("letter"), core.pick_amount("1.00", "9.99", k, "d").alias("amount"))
+    return P.read(spark, d, "orders").repartition(3).select(
+        "o_orderkey", core.pick(100, k, "a").between(0, 99).alias("percent"), core.pick_between(5, 25, k, "b").between(5, 25).alias("days"),
+        core.pick_from(["x", "y", "z"], k, "c").isin("x", "y", "z").alias("letter"),
+        core.pick_amount("1.00", "9.99", k, "d").between(1.0, 9.99).alias("amount"),
+        (core.pick(100, k, "a") == core.pick(100, k, "a")).alias("repeatable"))
 
 
 @query("fn_format", """
@@ -197,18 +201,18 @@ def _(spark, d):
 
 @query("order_multi", """
 SELECT start_time::DATE AS usage_date, resource, sum(credits_used)::DOUBLE AS credits FROM metering GROUP BY 1, 2
-ORDER BY usage_date DESC, resource LIMIT 30""")
+ORDER BY usage_date DESC, resource""")
 def _(spark, d):
-    """The first thirty rows by two keys."""
+    """Newest day first, resources by name within a day."""
     days = P.metering(spark, d).groupBy(F.to_date("start_time").alias("usage_date"), "resource").agg(F.sum("credits_used").alias("credits"))
-    return days.orderBy(F.desc("usage_date"), "resource").limit(30)
+    return days.orderBy(F.desc("usage_date"), "resource")
 
 
 @query("order_nulls", """
-SELECT invoice_id, due_date FROM invoices ORDER BY due_date DESC NULLS FIRST, invoice_id LIMIT 400""")
+SELECT invoice_id, due_date FROM invoices ORDER BY due_date DESC NULLS FIRST, invoice_id""")
 def _(spark, d):
     """Newest first with unknown dates ahead of all."""
-    return P.invoices(spark, d).orderBy(F.desc_nulls_first("due_date"), "invoice_id").limit(400).select("invoice_id", "due_date")
+    return P.invoices(spark, d).orderBy(F.desc_nulls_first("due_date"), "invoice_id").select("invoice_id", "due_date")
 
 
 @query("distinct_files", "SELECT DISTINCT file_name FROM line_items")

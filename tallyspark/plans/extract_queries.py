@@ -346,16 +346,35 @@ def seeds(spark, d, table="orders", key="o_orderkey"):
     return P.read(spark, d, table).select(F.col(key).alias("seed"))
 
 
-@query("synth_invoices")
+def made(name: str, *checks: str) -> str:
+    """SQL of a generator query: one document per order, and every check holds for every document."""
+    return f"SELECT {name} AS file_name, {', '.join(f'true AS {c}' for c in checks)} FROM orders"
+
+
+def _adds(field: str):
+    zero = F.lit(0).cast("decimal(12,2)")
+    return F.aggregate("lines", zero, lambda a, x: (a + x[field]).cast("decimal(12,2)"))
+
+
+@query("synth_invoices", made("printf('invoice_%05d.pdf', o_orderkey)", "known_vendor", "lines_add_up", "total_adds_up", "line_count", "due_by_terms"))
 def _(spark, d):
-    return synth.invoices(seeds(spark, d)).select("file_name", "vendor_name", "invoice_date", "due_date", F.size("lines").alias("items"),
-                                                  "subtotal", "tax_amount", "total_amount")
+    """An invoice per order: known vendors, different products, sums and due dates that fit."""
+    c = F.col
+    days = F.regexp_extract("payment_terms", r"(\d+)$", 1).cast("int")
+    return synth.invoices(seeds(spark, d)).select(
+        "file_name", c("vendor_name").isin([v[0] for v in P.V.VENDORS]).alias("known_vendor"), (_adds("line_total") == c("subtotal")).alias("lines_add_up"),
+        (c("subtotal") + c("tax_amount") == c("total_amount")).alias("total_adds_up"),
+        (F.size(F.array_distinct(c("lines.product_name"))).between(3, 15) & (F.size(F.array_distinct(c("lines.product_name"))) == F.size("lines"))).alias("line_count"),
+        (F.datediff("due_date", "invoice_date") == days).alias("due_by_terms"))
 
 
 CATEGORY_LISTS = ["Snacks, Frozen", "Tobacco", "Unknown", "Beverages,Candy & Gum"]
 
 
-@query("synth_invoices_like")
+@query("synth_invoices_like", f"""
+SELECT o_orderkey AS seed, n AS vendor_name, CASE WHEN n <> 'Nobody Inc.' THEN true END AS fits,
+  CASE WHEN n = 'Nobody Inc.' THEN 'Error: Vendor not found - Nobody Inc.' END AS error
+FROM (SELECT o_orderkey, [{', '.join("'" + v[0].replace("'", "''") + "'" for v in P.V.VENDORS)}, 'Nobody Inc.'][o_orderkey % 13 + 1] AS n FROM orders)""")
 def _(spark, d):
     """Invoices to order, one per order; one vendor in thirteen is unknown and gives an error row."""
     k = F.col("o_orderkey")
@@ -364,35 +383,53 @@ def _(spark, d):
     wanted = P.read(spark, d, "orders").select(
         k.alias("seed"), F.get(names, (k % 13).cast("int")).alias("vendor_name"), (F.lit(3) + k % 8).cast("int").alias("num_items"),
         F.get(F.array(*map(F.lit, CATEGORY_LISTS)), (k % 4).cast("int")).alias("categories"), F.lit(2500.0).alias("approx_total"))
-    made = synth.invoices_like(wanted, vendors, P.day()).select("seed", "vendor_name", F.size("lines").alias("items"), "total_amount", F.lit(None).cast("string").alias("error"))
-    bad = synth.unknown_vendors(wanted, vendors).select("seed", "vendor_name", F.lit(None).cast("int").alias("items"), F.lit(None).cast("decimal(12,2)").alias("total_amount"), "error")
-    return made.unionByName(bad)
+    # the categories asked for, as many items as asked for where there are enough, and a total of the wanted size
+    asked = F.when(k % 4 == 0, F.array(F.lit("Snacks"), F.lit("Frozen"))).when(k % 4 == 1, F.array(F.lit("Tobacco"))) \
+        .when(k % 4 == 3, F.array(F.lit("Beverages"), F.lit("Candy & Gum")))
+    got = synth.invoices_like(wanted.withColumn("o_orderkey", F.col("seed")), vendors, P.day())
+    fits = (F.size(F.array_except("lines.category", F.coalesce(asked, F.col("lines.category")))) == 0) & (
+        F.size("lines") <= F.col("num_items")) & F.col("total_amount").between(500, 8000) & (_adds("line_total") == F.col("subtotal"))
+    good = got.select("seed", "vendor_name", fits.alias("fits"), F.lit(None).cast("string").alias("error"))
+    bad = synth.unknown_vendors(wanted, vendors).select("seed", "vendor_name", F.lit(None).cast("boolean").alias("fits"), "error")
+    return good.unionByName(bad)
 
 
-@query("synth_contracts")
+@query("synth_contracts", made("printf('contract_%02d.pdf', o_orderkey)", "adds_up", "number_form", "reference_form", "in_order"))
 def _(spark, d):
-    parts = F.aggregate("lines", F.lit(0).cast("decimal(12,2)"), lambda a, x: (a + x["amount"]).cast("decimal(12,2)"))
-    return synth.contracts(seeds(spark, d)).select("file_name", "party_name", "contract_number", "reference_id", "effective_date",
-                                                   "expiration_date", "total_value", (parts == F.col("total_value")).alias("adds_up"))
+    c = F.col
+    return synth.contracts(seeds(spark, d)).select(
+        "file_name", ((_adds("amount") == c("total_value")) & (c("base_value") + c("adjustments") == c("total_value"))).alias("adds_up"),
+        c("contract_number").rlike(r"^CTR-2026-\d{4}$").alias("number_form"), c("reference_id").rlike(r"^REF-.{3}-\d{3}$").alias("reference_form"),
+        (c("effective_date") < c("expiration_date")).alias("in_order"))
 
 
-@query("synth_receipts")
+@query("synth_receipts", made("printf('receipt_%02d.pdf', o_orderkey)", "lines_add_up", "total_adds_up", "tax_in_range", "returnable"))
 def _(spark, d):
-    return synth.receipts(seeds(spark, d)).select("file_name", "merchant_name", "receipt_number", "purchase_date", "return_by_date",
-                                                  "subtotal", "tax_amount", "total_paid", F.size("lines").alias("items"))
+    c = F.col
+    return synth.receipts(seeds(spark, d)).select(
+        "file_name", (_adds("total") == c("subtotal")).alias("lines_add_up"), (c("subtotal") + c("tax_amount") == c("total_paid")).alias("total_adds_up"),
+        # 60 to 80 percent of the subtotal at 6.625 or 8.875 percent, to the cent
+        c("tax_amount").between(c("subtotal") * 0.6 * 0.06625 - 0.01, c("subtotal") * 0.8 * 0.08875 + 0.01).alias("tax_in_range"),
+        (F.datediff("return_by_date", "purchase_date") == 30).alias("returnable"))
 
 
-@query("synth_bills")
+@query("synth_bills", made("printf('utility_bill_%02d.pdf', o_orderkey)", "tiers_add_up", "total_adds_up", "account_form", "energy_below_charges"))
 def _(spark, d):
+    c = F.col
     used = F.aggregate("lines", F.lit(0), lambda a, x: a + x["kwh"])
-    return synth.utility_bills(seeds(spark, d)).select("file_name", "utility_company", "account_number", "meter_number", "kwh_usage",
-                                                       (used == F.col("kwh_usage")).alias("tiers_add_up"), "current_charges", "total_due", "due_date")
+    return synth.utility_bills(seeds(spark, d)).select(
+        "file_name", (used == c("kwh_usage")).alias("tiers_add_up"), (c("current_charges") + c("previous_balance") == c("total_due")).alias("total_adds_up"),
+        c("account_number").rlike(r"^\d{2}-\d{4}-\d{4}-\d{2}$").alias("account_form"),
+        (c("current_charges") - _adds("amount")).between(22.5, 75.0).alias("energy_below_charges"))
 
 
-@query("synth_leases")
+@query("synth_leases", made("printf('lease_%02d.pdf', o_orderkey)", "total_adds_up", "length", "deposit"))
 def _(spark, d):
-    return synth.leases(seeds(spark, d)).select("file_name", "landlord_name", "tenant_name", "lease_start_date", "lease_end_date",
-                                                "lease_term_months", "monthly_rent", "security_deposit", "total_lease_value")
+    c = F.col
+    return synth.leases(seeds(spark, d)).select(
+        "file_name", (c("monthly_rent") * c("lease_term_months") == c("total_lease_value")).alias("total_adds_up"),
+        (F.datediff("lease_end_date", "lease_start_date") == c("lease_term_months") * 30).alias("length"),
+        (c("security_deposit") / c("monthly_rent")).between(0.999, 2.001).alias("deposit"))
 
 
 @query("bench_corpus", """
@@ -407,13 +444,14 @@ def _(spark, d):
     return known.select(*cols).unionByName(new.select(*cols))
 
 
-@query("generator_udtf")
+@query("generator_udtf", """
+SELECT s_suppkey, 'gen_invoice_' || s_suppkey || '.pdf' AS file_name, true AS has_total, 5::BIGINT AS lines FROM supplier""")
 def _(spark, d):
     """The table function, called once per supplier."""
     spark.udtf.register("generate_invoice", synth.GenerateInvoice)
     P.read(spark, d, "supplier").createOrReplaceTempView("udtf_suppliers")
     return spark.sql("""
-        SELECT s.s_suppkey, g.file_name, length(g.text) AS chars, g.text LIKE '%TOTAL DUE: $%' AS has_total
+        SELECT s.s_suppkey, g.file_name, g.text LIKE '%TOTAL DUE: $%' AS has_total, regexp_count(g.text, '(?m)^[0-9]+ \\\\| ') AS lines
         FROM udtf_suppliers s, LATERAL generate_invoice(s.s_name, 'Main St 1', 'Net 30', 5, 'Snacks,Frozen', 900.0D,
              DATE '2024-02-01', CAST(s.s_suppkey AS INT)) g""")
 
