@@ -308,20 +308,34 @@ def work_list(raw: DataFrame, fields: DataFrame, doc_type: str = "ALL") -> DataF
     return todo.join(fields.select("file_name"), "file_name", "left_anti")
 
 
+def read_documents(docs: DataFrame, config: DataFrame) -> DataFrame:
+    """Documents of all active types, read in one pass: one row each, much smaller than its text.
+
+    Documents without text get an error; documents of types without active configuration are left out.
+    """
+    done = post_process(tables(entities(docs, config)))
+    has_text = F.trim(F.coalesce("text", F.lit(""))) != ""
+    return done.select("file_name", "normalized", "raw_extraction", "table_cols", "line_items",
+                       F.when(~has_text, F.lit("document has no text")).alias("error"))
+
+
+def split_results(done: DataFrame, now: Column, mapping: str = "named") -> dict[str, DataFrame]:
+    """Rows for the fields and line tables, and the errors, from ``read_documents``."""
+    good = done.where("error IS NULL")
+    return {
+        "fields": stored_fields(good, now),
+        "lines": rows_by_first_column(good.select("file_name", "table_cols", "line_items"), mapping),
+        "errors": done.where("error IS NOT NULL").select("file_name", "error", now.alias("failed_at")),
+    }
+
+
 def run(docs: DataFrame, config: DataFrame, now: Column, mapping: str = "named") -> dict[str, DataFrame]:
     """All documents of all active types in one job: stored fields, line rows and errors.
 
-    Documents without text are errors and stay pending; documents of types without active
-    configuration are not touched.
+    Each of the three frames reads the documents when it is used; to read them once, write the result of
+    ``read_documents`` and split that (``streaming.jobs.store`` does).
     """
-    has_text = F.trim(F.coalesce("text", F.lit(""))) != ""
-    done = post_process(tables(entities(docs.where(has_text), config)))
-    lines = rows_by_first_column(done.select("file_name", "table_cols", "line_items"), mapping)
-    errors = (
-        docs.where(~has_text).join(parsed(config).select("doc_type"), "doc_type", "left_semi")
-        .select("file_name", F.lit("document has no text").alias("error"), now.alias("failed_at"))
-    )
-    return {"fields": stored_fields(done, now), "lines": lines, "errors": errors}
+    return split_results(read_documents(docs, config), now, mapping)
 
 
 def message(fields: DataFrame, config: DataFrame, doc_type: str = "ALL") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..functions.core import number_rows
 from ..operators import extract, health, ingest, tables
+from ..session import shared_dir
 
 RESULTS = {
     "fields": "file_name string, field_1 string, field_2 string, field_3 string, field_4 date, field_5 date, "
@@ -37,6 +38,17 @@ def results(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{base}/{name}")
 
 
+def store(docs: DataFrame, config: DataFrame, base: str, now: Column, batch_id: int) -> None:
+    """Extract documents and write their fields, lines and errors as one batch.
+
+    Texts are read once: what they say is written first, and the three tables are made from that.
+    """
+    path = f"{base}/read/batch={batch_id}"
+    extract.read_documents(docs, config).write.mode("overwrite").parquet(path)
+    for name, df in extract.split_results(docs.sparkSession.read.parquet(path), now).items():
+        df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+
+
 def start(writer, checkpoint: str, every: str | None) -> StreamingQuery:
     """Run every interval, or once over all that is new when no interval is given."""
     writer = writer.option("checkpointLocation", checkpoint)
@@ -58,12 +70,7 @@ def extract_stream(feed: DataFrame, config: DataFrame, base: str, now: Column, t
     def process(batch: DataFrame, batch_id: int) -> None:
         docs = (to_documents(batch) if to_documents else batch).dropDuplicates(["file_name"])
         earlier = results(spark, base, "fields").where(F.col("batch") != batch_id).select("file_name")
-        docs = docs.join(earlier, "file_name", "left_anti").persist()
-        try:
-            for name, df in extract.run(docs, config, now).items():
-                df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
-        finally:
-            docs.unpersist()
+        store(docs.join(earlier, "file_name", "left_anti"), config, base, now, batch_id)
 
     return start(feed.writeStream.foreachBatch(process), f"{base}/_checkpoint", every)
 
@@ -143,13 +150,18 @@ def reextract(raw: DataFrame, fields: DataFrame, table_data: DataFrame, texts: D
     """Read all documents of a type (or of all active types) again.
 
     Stored rows are updated in place, so records keep their id and their reviews; line rows are replaced.
+    The new results are written to the shared folder once and every changed table is made from there.
     """
+    spark = raw.sparkSession
+    base = shared_dir(spark, "reextract")
     active = config.where(F.coalesce(F.col("active"), F.lit(False))).select("doc_type")
     chosen = raw.join(active, "doc_type", "left_semi")
     if doc_type != "ALL":
         chosen = chosen.where(F.col("doc_type") == doc_type)
     docs = texts.select("file_name", "text").join(chosen.select("file_name", "doc_type"), "file_name")
-    done = extract.run(docs, config, now)
+    prepare(spark, base)
+    store(docs, config, base, now, 0)
+    done = {name: results(spark, base, name).drop("batch") for name in RESULTS}
     new_fields = tables.upsert(fields, done["fields"], "file_name", "record_id")
     ids = new_fields.select("file_name", F.col("record_id").cast("string").alias("record_id"))
     lines = number_lines(done["lines"].join(ids, "file_name"), table_data)
