@@ -110,3 +110,12 @@ def test_hot_record_is_cut_before_the_exchange(spark):
     df = review.latest(many)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 2000 and df.where("record_id = 0").first().review_id == 19999
+
+
+def test_ledger_order_puts_unknown_dates_first(spark):
+    from tallyspark.operators import ap
+
+    rows = [(1, "V", "PENDING", "Current", dt.date(2024, 1, 1)), (2, "V", "PENDING", "90+ Days", None), (3, "V", "PENDING", "Current", dt.date(2024, 2, 1))]
+    df = spark.createDataFrame(rows, "invoice_id int, vendor_name string, status string, aging_bucket string, due_date date")
+    assert [r.invoice_id for r in ap.filter_ledger(df).collect()] == [2, 3, 1]
+    assert [r.invoice_id for r in ap.filter_ledger(df, vendor="V", aging="Current").collect()] == [3, 1]
