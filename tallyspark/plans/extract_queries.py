@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import json_map, small_table
 from ..functions.values import QUESTIONS
-from ..operators import config, cost, docs, extract, ingest, quality, validate
+from ..operators import config, cost, extract, ingest, quality, validate
 from ..session import shared_dir
 from ..sources import files, render, synth
 from . import projections as P
