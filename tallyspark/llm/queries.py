@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import substring
+from tallyspark.llm import substring, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
 }
 
 ORACLE: dict[str, str] = {}

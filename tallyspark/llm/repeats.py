@@ -77,18 +77,20 @@ def repeated(docs: DataFrame, kernel: Kernel, resolve: Callable[[DataFrame], Dat
     """Rows of ``keyed`` documents with ``windows``: ranges (first, last) of starts of windows that also start elsewhere.
 
     ``resolve`` gets (doc_id, text_hash, text, contexts) with contexts of several-faced anchors as array of
-    (anchor, first, last, n) and returns (doc_id, text_hash, first, last) for those windows that repeat.
+    (anchor, first, last, n, faces) and returns (doc_id, text_hash, first, last) for those windows that repeat.
     """
-    shared = _anchors(docs, kernel, True).groupBy("anchor").count().where("count > 1").select("anchor")
+    # written first, so that both sides of the joins below are plain exchanges, whose hot keys Spark can split
+    shared = stored(_anchors(docs, kernel, True).groupBy("anchor").count().where("count > 1").select("anchor"),
+                    f"{label}-shared")
     found = stored(_anchors(docs, kernel, False).join(shared, "anchor", "left_semi"), f"{label}-anchors")
     faces = stored(found.groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "first", "last")).alias("at")), f"{label}-faces")
-    several = faces.groupBy("anchor").count().where("count > 1").select("anchor")
+    several = stored(faces.groupBy("anchor").agg(F.count("*").alias("faces")).where("faces > 1"), f"{label}-several")
     whole = found.join(faces.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select(
         "doc_id", "text_hash", "first", "last")
-    open_ = faces.join(several, "anchor", "left_semi").select("at.*", "anchor", "n")
+    open_ = faces.join(several, "anchor").select("at.*", "anchor", "n", "faces")
     asked = open_.groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("anchor", "first", "last", "n")).alias("contexts"))
+        F.collect_list(F.struct("anchor", "first", "last", "n", "faces")).alias("contexts"))
     texts = asked.join(docs, same_document(asked, docs)).select(
         asked["doc_id"], asked["text_hash"], docs["text"], asked["contexts"])
     single = resolve(texts)
