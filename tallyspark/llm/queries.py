@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import substring, suffix
+from tallyspark.llm import jaccard, packing, sharding, substring, suffix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": tokens.op1_token_counts,
+    "op2_sharding": sharding.op2_sharding,
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {}
