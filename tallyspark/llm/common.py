@@ -18,6 +18,12 @@ CHUNK_BYTES = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LETTER = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLDED = _LETTER.copy()
+_FOLDED[65:91] = _LETTER[97:123]
+_PLAIN_LETTER = np.zeros(256, bool)
+_PLAIN_LETTER[65:91] = _PLAIN_LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,!?;:*#$%&")] = True
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -83,8 +89,17 @@ class Texts:
         start = np.flatnonzero(first)
         return start, np.flatnonzero(last) + 1, np.searchsorted(start, self.at)
 
-    def byte_values(self) -> np.ndarray:
-        return _LETTER[self.data]
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Like ``words``, but a word also ends where one of .,!?;:*#$%& follows an ASCII letter."""
+        start, end, _ = self.words()
+        cut = np.flatnonzero(_PLAIN_LETTER[self.data[:-1]] & _MARK[self.data[1:]]) + 1
+        if len(cut):  # a text may begin with a mark after another text's last letter: that is no cut of a word
+            cut = cut[~np.isin(cut, self.at)]
+            start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+        return start, end, np.searchsorted(start, self.at)
+
+    def byte_values(self, fold: bool = False) -> np.ndarray:
+        return (_FOLDED if fold else _LETTER)[self.data]
 
 
 def texts_of(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Texts]]:

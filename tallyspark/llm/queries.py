@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import jaccard, packing, sharding, substring, suffix, tokens
+from tallyspark.llm import (decontam, jaccard, packing, quality, secrets, sharding, substring, suffix, tokens,
+                            toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.op1_token_counts,
     "op2_sharding": sharding.op2_sharding,
+    "op3_decontamination": decontam.op3_decontamination,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
