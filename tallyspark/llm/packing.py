@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import documents, keyed, stored, texts_of
-from tallyspark.llm.tokens import Encoder, tokenizer_path
+from tallyspark.llm.tokens import encoder
 
 #: Pieces of one length are numbered in this many blocks.
 BLOCKS = 256
@@ -97,10 +97,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """(doc_id, text_hash, piece, start, length, ids_crc32): every text's ids and ``end_id``, cut at ``capacity``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path(tokenizer))
         for b in batches:
             for lo, _, texts in texts_of(b.column(1)):
-                ids, at = encoder.encode(texts)
+                ids, at = encoder(tokenizer).encode(texts)
                 ids = np.insert(ids, at[1:], end_id).astype("<u4")
                 at = at + np.arange(len(at))
                 n = -(-np.diff(at) // capacity)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,64 +12,87 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import Spans, Texts, documents, texts_of
 
-#: A tokenizer that drops white space, so that a text's ids are those of its words one after another.
+#: A tokenizer that folds case and drops white space, so that a text's ids are those of its parts one after another.
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers at most; beyond that it starts anew.
-REMEMBERED = 1 << 20
+#: Different words whose ids a Python worker remembers at most; beyond that it starts anew.
+REMEMBERED = 1 << 22
 #: Lengths per block of the suffix sums.
 BLOCK = 4096
 
 
 class Encoder:
-    """Encodes texts word by word and each word once."""
+    """Encodes texts part by part and each part once; for tokenizers that fold case and take words, and marks after a
+    letter, apart before they merge."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
         self.forget()
 
     def forget(self):
-        self.known: dict[int, int] = {}
-        self.ids = [np.zeros(0, np.uint32)]
-        self.sizes: list[int] = []
-
-    def words(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word its entry, where the words of each text begin, and the size of each entry."""
-        start, end, at = texts.words()
-        names, first, entry = np.unique(Spans(texts.byte_values()).names(start, end), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
+        self.names, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, names: np.ndarray, words: list[str]):
+        flat, size = [], []
+        for lo in range(0, len(words), 4096):
+            for e in self.tokenizer.encode_batch_fast(words[lo:lo + 4096], add_special_tokens=False):
+                ids = e.ids
+                flat += ids
+                size.append(len(ids))
+        size = np.array(size, np.int64)
+        entry = len(self.size) + np.arange(len(words))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
+        place = np.searchsorted(self.names, names)
+        self.names, self.entry = np.insert(self.names, place, names), np.insert(self.entry, place, entry)
+
+    def parts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """For each part its entry, and where the parts of each text begin."""
+        whole = texts.data.tobytes()
+        start, end, at = texts.parts()
+        fold = b"<|" not in whole  # special tokens are found before case is folded
+        names, first, entry = np.unique(Spans(texts.byte_values(fold)).names(start, end), return_index=True,
+                                        return_inverse=True)
+        if len(self.names) > REMEMBERED:
             self.forget()
-        keys = names.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            whole = texts.data.tobytes()
+        place = np.searchsorted(self.names, names)
+        new = np.ones(len(names), bool)
+        inside = place < len(self.names)
+        new[inside] = self.names[place[inside]] != names[inside]
+        if new.any():
             s, e = start[first[new]].tolist(), end[first[new]].tolist()
-            for lo in range(0, len(new), 4096):
-                got = self.tokenizer.encode_batch([whole[a:b].decode() for a, b in zip(s[lo:lo + 4096], e[lo:lo + 4096])],
-                                                  add_special_tokens=False)
-                for i, g in zip(new[lo:lo + 4096], got):
-                    self.known[keys[i]] = len(self.sizes)
-                    self.sizes.append(len(g.ids))
-                    self.ids.append(np.array(g.ids, np.uint32))
-            self.ids = [np.concatenate(self.ids)]
-        place = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
-        return place[entry], at, np.array(self.sizes, np.int64)
+            self.learn(names[new], [whole[a:b].decode() for a, b in zip(s, e)])
+            place = np.searchsorted(self.names, names)
+        return (self.entry[place][entry] if len(names) else np.zeros(0, np.int64)), at
 
     def counts(self, texts: Texts) -> np.ndarray:
-        entry, at, size = self.words(texts)
-        sums = np.concatenate([[0], np.cumsum(size[entry])]) if len(entry) else np.zeros(1, np.int64)
+        entry, at = self.parts(texts)
+        sums = np.concatenate([[0], np.cumsum(self.size[entry])])
         return np.diff(sums[at])
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text begin."""
-        entry, at, size = self.words(texts)
-        if not len(entry):
-            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
-        begin = np.cumsum(size) - size
-        n = size[entry]
+        entry, at = self.parts(texts)
+        n = self.size[entry]
         sums = np.concatenate([[0], np.cumsum(n)])
-        place = np.arange(sums[-1]) + np.repeat(begin[entry] - sums[:-1], n)
-        return self.ids[0][place], sums[at]
+        place = np.arange(sums[-1]) + np.repeat(self.begin[entry] - sums[:-1], n)
+        return self.ids[place], sums[at]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str | None) -> Encoder:
+    """The encoder of a Python worker, kept from task to task."""
+    path = tokenizer_path(path)
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -79,13 +103,12 @@ def tokenizer_path(path: str | None) -> str:
 
 
 def lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(length): the number of tokens of every text of ``docs``, a null text 0. ``tokenizer``: path of a file whose
-    tokenizer splits at white space; default: a public one."""
+    """(length): the number of tokens of every text of ``docs``, a null text 0. ``tokenizer``: path of a file of
+    a tokenizer as ``Encoder`` takes it; default: a public one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path(tokenizer))
         for b in batches:
             for _, _, texts in texts_of(b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(encoder.counts(texts))], ["length"])
+                yield pa.RecordBatch.from_arrays([pa.array(encoder(tokenizer).counts(texts))], ["length"])
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "length long")
 
 
