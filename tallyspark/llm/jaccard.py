@@ -7,6 +7,10 @@
    posterior probability of reaching the threshold (uniform prior, Beta posterior) is looked up; the pair is dropped when
    it falls below ``tolerance``. This is the condition of the join itself, so dropped pairs are never emitted.
 3. What is left is checked exactly on the sets of shingle names.
+
+A band that more than ``HOT`` texts share would emit their square. Texts that such bands connect form a hot group, whose
+pairs are compared inside tasks, block against block, by the same steps; a task returns a row per text: how many links
+it found, and the least text that they connect it with.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from tallyspark.llm.substring import word_names
 
 WORDS = 5
 VALUES, BAND_VALUES, STEP, BITS = 128, 5, 16, 4
+#: Texts in a band that are paired by the join; texts of a block; shingles of a block that are counted at a time.
+HOT, BLOCK, COLUMNS = 32, 128, 8192
 _FACTOR = np.random.default_rng(31).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -134,21 +140,103 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(small.distinct(), "small-star")
         now = seen(edges)
         if now == state:
-            return edges.groupBy("a").agg(F.min("b").alias("class_id")).withColumnRenamed("a", "node")
+            return edges.unionByName(edges.select(F.col("b").alias("a"), "b")).groupBy("a").agg(
+                F.min("b").alias("class_id")).withColumnRenamed("a", "node")
         state = now
 
 
+def _popcount(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).astype(np.int64)
+
+
+def _survivors(a: np.ndarray, b: np.ndarray, least: list[tuple[int, int]]) -> np.ndarray:
+    """Which pairs of rows of two tables of sketches pass every step."""
+    i, j = (x.ravel() for x in np.indices((len(a), len(b))))
+    same = np.zeros(len(i), np.int64)
+    for k, (_, need) in enumerate(least):
+        x = a[i, k] ^ b[j, k]
+        y = x | (x >> np.uint64(1))
+        y = (y | (y >> np.uint64(2))) & np.uint64(0x1111111111111111)
+        same = same + STEP - _popcount(y)
+        good = same >= need
+        i, j, same = i[good], j[good], same[good]
+    out = np.zeros((len(a), len(b)), bool)
+    out[i, j] = True
+    return out
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many names each set of a shares with each set of b."""
+    names = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), assume_unique=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def places(sets):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        at = np.searchsorted(names, flat)
+        hit = at < len(names)
+        hit[hit] = names[at[hit]] == flat[hit]
+        return row[hit], at[hit]
+    (ra, ca), (rb, cb) = places(a), places(b)
+    for lo in range(0, len(names), COLUMNS):
+        x, y = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
+        for m, r, c in ((x, ra, ca), (y, rb, cb)):
+            here = (c >= lo) & (c < lo + COLUMNS)
+            m[r[here], c[here] - lo] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def _compare(part: Fraction, least: list[tuple[int, int]]):
+    """One block against another (or itself): links per text, and the least text of what they connect."""
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        node = table.column("node").to_numpy()
+        sketch = np.stack([table.column(s).to_numpy().view(np.uint64) for s in SKETCH], 1)
+        sets = [np.array(x, np.int64) for x in table.column("names").to_pylist()]
+        one = np.flatnonzero(side == 0)
+        two = np.flatnonzero(side == 1) if (side == 1).any() else one
+        alone = not (side == 1).any()
+        linked = _survivors(sketch[one], sketch[two], least)
+        if alone:
+            np.fill_diagonal(linked, False)
+        i, j = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+        if len(i):
+            both = _common([sets[k] for k in one[i]], [sets[k] for k in two[j]])
+            total = np.array([len(sets[k]) for k in one[i]])[:, None] + np.array([len(sets[k]) for k in two[j]])
+            exact = both * (part.denominator + part.numerator) >= total * part.numerator
+            linked[np.ix_(i, j)] &= exact
+        n, label = np.zeros(len(node), np.int64), node.copy()
+        n[one] += linked.sum(1)
+        if not alone:
+            n[two] += linked.sum(0)
+        a, b = np.nonzero(linked)
+        a, b = one[a], two[b]
+        while True:  # the least text of each connected part
+            before = label.copy()
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            if (label == before).all():
+                break
+        found = np.flatnonzero(n)
+        return pa.table({"node": node[found], "n_links": n[found], "least": label[found]})
+    return run
+
+
 def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> tuple[DataFrame, DataFrame]:
     """Classes of equal words, and the links between them.
 
     ``docs`` has doc_id and text; other columns are ignored. First: doc_id, text_hash and node, the least doc_id among
     the documents of the same words (documents without a word, or without an id, are left out: they have no links).
-    Second: a < b, similarity, for all nodes whose sets of five-word shingles have a Jaccard similarity of ``threshold``
-    or more; a text of one to four words is one shingle. Words are runs of other characters than white space, unchanged.
+    Second: node, n_links, least: partial counts of the other nodes whose sets of five-word shingles have a Jaccard
+    similarity of ``threshold`` or more, each link counted once at either end, and a node that such links connect it
+    with. A text of one to four words is one shingle. Words are runs of other characters than white space, unchanged.
     """
     docs = keyed(docs).where("doc_id IS NOT NULL")
     fields = "doc_id long, text_hash long, copy long, total long, bands array<long>, " + ", ".join(
         f"{s} long" for s in SKETCH)
+    part, least = Fraction(str(threshold)), least_matches(threshold, tolerance)
     signed = stored(docs.mapInArrow(_signatures, fields), "signatures")
     node = stored(signed.groupBy("copy", "total").agg(F.min("doc_id").alias("node"), F.min(F.struct("doc_id", "text_hash")
                   ).alias("at")), "classes")
@@ -156,32 +244,51 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> t
         "doc_id", "text_hash", "node")
     # a document id that several different texts carry is one node
     heads = signed.join(node.select("at.*", "node"), ["doc_id", "text_hash"]).select("node", "bands", *SKETCH)
-    heads = stored(heads.dropDuplicates(["node", "bands"]), "heads")
+    heads = stored(heads.dropDuplicates(["node"]), "heads")
     keys = heads.select("node", F.explode("bands").alias("band"))
-    shared = stored(keys.groupBy("band").count().where("count > 1").select("band"), "shared-bands")
-    rows = keys.join(shared, "band", "left_semi").join(heads.select("node", *SKETCH), "node")
-    left = rows.select(*[F.col(c).alias(f"a_{c}") for c in ("band", "node", *SKETCH)])
-    right = rows.select(*[F.col(c).alias(f"b_{c}") for c in ("band", "node", *SKETCH)])
-    same, keep = None, F.col("a_node") < F.col("b_node")
-    for (_, least), s in zip(least_matches(threshold, tolerance), SKETCH, strict=True):
+    shared = stored(keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"),
+                    "shared-bands")
+    rows = stored(keys.join(shared, "band"), "rows")
+    group = stored(components(rows.where(F.col("n") > HOT).select(F.col("node").alias("a"), F.col("least").alias("b")))
+                   .withColumnRenamed("class_id", "hot"), "hot-groups")
+
+    # pairs of the bands that few share
+    few = rows.where(F.col("n") <= HOT).select("band", "node").join(heads.select("node", *SKETCH), "node").join(
+        group, "node", "left")
+    left = few.select(*[F.col(c).alias(f"a_{c}") for c in ("band", "node", "hot", *SKETCH)])
+    right = few.select(*[F.col(c).alias(f"b_{c}") for c in ("band", "node", "hot", *SKETCH)])
+    same, keep = None, (F.col("a_node") < F.col("b_node")) & F.coalesce(F.col("a_hot") != F.col("b_hot"), F.lit(True))
+    for (_, need), s in zip(least, SKETCH, strict=True):
         step = alike(F.col(f"a_{s}"), F.col(f"b_{s}"))
         same = step if same is None else same + step
-        keep = keep & (same >= least)
+        keep = keep & (same >= need)
     pairs = left.join(right, (F.col("a_band") == F.col("b_band")) & keep).select(
         F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
     pairs = stored(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(
+        group.select("node")).distinct()
     at = node.join(asked, "node", "left_semi").select("at.*", "node")
-    texts = docs.join(at, same_document(docs, at)).select("node", "text").dropDuplicates(["node", "text"])
+    texts = docs.join(at, same_document(docs, at)).select("node", "text").dropDuplicates(["node"])
     sets = stored(texts.mapInArrow(_sets, "node long, names array<long>"), "sets")
-    part = Fraction(str(threshold))
     both = F.size(F.array_intersect("x", "y"))
-    checked = (pairs.join(sets.select(F.col("node").alias("a"), F.col("names").alias("x")), "a")
-               .join(sets.select(F.col("node").alias("b"), F.col("names").alias("y")), "b")
-               .select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-               .where(F.col("both") * (part.denominator + part.numerator) >= F.col("sum") * part.numerator)
-               .select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity")))
-    return members, stored(checked.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "checked")
+    checked = stored(
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("names").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("names").alias("y")), "b")
+        .select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+        .where(F.col("both") * (part.denominator + part.numerator) >= F.col("sum") * part.numerator)
+        .select("a", "b"), "checked")
+    ends = checked.select(F.col("a").alias("node"), F.col("a").alias("least")).unionByName(
+        checked.select(F.col("b").alias("node"), F.col("a").alias("least")))
+
+    # hot groups, block against block
+    blocks = group.groupBy("hot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = group.join(blocks, "hot").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "node", "hot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"))
+    inside = dealt.join(heads.select("node", *SKETCH), "node").join(sets, "node").groupBy("hot", "i", "j").applyInArrow(
+        _compare(part, least), "node long, n_links long, least long")
+    return members, stored(ends.withColumn("n_links", F.lit(1).cast("long")).unionByName(inside), "links-of")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
@@ -193,9 +300,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     class_id is null.
     """
     members, found = links(docs, threshold, tolerance)
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
-    count = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-    group = components(found)
+    count = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    group = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     member = members.dropDuplicates().join(count, "node", "left").join(group, "node", "left").select(
         F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("node"),
         F.coalesce("class_id", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
