@@ -186,9 +186,6 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in cols])
 
 
-ID_BUCKETS = 4096
-
-
 def id_bucket(key: Column) -> Column:
     """A bucket every engine computes alike: the first 12 bits of the key's md5."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 3), 16, 10).cast("int")

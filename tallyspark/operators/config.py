@@ -127,7 +127,7 @@ def field_table(config: DataFrame) -> DataFrame:
 
 def question(field: Column) -> Column:
     """Known question for a field, else one made from its name."""
-    generic = F.concat(F.lit("What is the "), F.replace(field, F.lit("_"), F.lit(" ")), F.lit("? Return the value."))
+    generic = F.concat(F.lit("What is the "), F.lower(F.replace(field, F.lit("_"), F.lit(" "))), F.lit("? Return the value."))
     return F.coalesce(lookup(V.QUESTIONS, field), generic)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import latest_per, to_amount, to_iso_date
+from ..functions.core import latest_per, number_rows, to_amount, to_iso_date
 from ..functions.normalize import change_text, safe_date, safe_number, safe_text
 from ..functions.values import AMOUNT_LIMIT
 
@@ -160,9 +160,12 @@ def corrections_json(types: dict[str, str]) -> Column:
 
 def review_rows(edits: DataFrame, types: dict[str, str], reviewer: Column, now: Column,
                 first_id: int = 1) -> DataFrame:
-    """Edited documents as rows to append to the review table; status defaults to CORRECTED."""
-    return edits.select(
-        (F.monotonically_increasing_id() + first_id).alias("review_id"), "record_id", "file_name",
+    """Edited documents as rows to append to the review table; status defaults to CORRECTED.
+
+    Ids are dense from ``first_id`` on: pass one more than the highest id in use.
+    """
+    return number_rows(edits, "record_id", "review_id").select(
+        (F.col("review_id") + (first_id - 1)).alias("review_id"), "record_id", "file_name",
         F.coalesce("review_status", F.lit("CORRECTED")).alias("review_status"),
         F.col("reviewer_notes"), reviewer.alias("reviewed_by"), now.alias("reviewed_at"),
         corrections_json(types).alias("corrections"),

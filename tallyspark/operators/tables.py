@@ -49,7 +49,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, id_col: str | None = None,
     A replaced row keeps its id, the columns in ``keep`` and the columns ``new`` does not have.
     Inserted rows get the next free ids. A change set that is small enough is broadcast by Spark,
     so the stored table is not shuffled. ``new`` is read more than once: store it first when it is costly.
+    Of several changes with one key the greatest row counts, compared column by column.
     """
+    rest = [c for c in new.columns if c != key]
+    new = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*") if rest else new.distinct()
+    new = new.select(key, *rest)
     fixed = {key, id_col, *keep}
     changed = [c for c in new.columns if c in old.columns and c not in fixed]
     change = new.select(key, F.struct(*changed).alias("_change"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,8 @@ def with_ctes(body: str) -> str:
     names = _used(body, [])
     if not names:
         return body.strip()
-    head = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in names)
+    uses = Counter(w for t in [body, *(CTES[n] for n in names)] for w in re.findall(r"[a-z_0-9]+", t))
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if uses[n] > 1 else ''}({CTES[n].strip()})" for n in names)
     body = body.strip()
     return f"WITH {head},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {head}\n{body}"
 

@@ -277,7 +277,7 @@ def _(spark, d):
 
 
 @query("seed_missing", f"""
-WITH seeds AS (SELECT * FROM (VALUES {P._values(P.V.VENDORS[:6])}) t(vendor_name, address, default_terms)),
+WITH seeds AS (SELECT * FROM (VALUES {P._values(P.V.VENDORS)}) t(vendor_name, address, default_terms)),
 numbered AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(vendor_name), 1, 3))::INT, vendor_name) AS rn FROM seeds)
 SELECT c_custkey AS vendor_id, c_name AS vendor_name, NULL AS address, 'Net 30' AS default_terms FROM customer
 UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + rn, vendor_name, address, default_terms FROM numbered""")
@@ -285,7 +285,7 @@ def _(spark, d):
     vendors = P.read(spark, d, "customer").select(
         F.col("c_custkey").alias("vendor_id"), F.col("c_name").alias("vendor_name"),
         F.lit(None).cast("string").alias("address"), F.lit("Net 30").alias("default_terms"))
-    seeds = small_table(spark, P.V.VENDORS[:6], "vendor_name string, address string, default_terms string")
+    seeds = small_table(spark, P.V.VENDORS, "vendor_name string, address string, default_terms string")
     return ingest.seed_missing(vendors, seeds, "vendor_name", "vendor_id")
 
 

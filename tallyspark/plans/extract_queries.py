@@ -24,7 +24,7 @@ def _(spark, d):
 
 
 @query("question_text", f"""
-SELECT field, coalesce(q.question, 'What is the ' || replace(field, '_', ' ') || '? Return the value.') AS question, count(*) AS asked
+SELECT field, coalesce(q.question, 'What is the ' || lower(replace(field, '_', ' ')) || '? Return the value.') AS question, count(*) AS asked
 FROM (SELECT s.field FROM raw_documents r JOIN spec s ON r.doc_type = s.doc_type
   UNION ALL SELECT r.doc_type || '_note' FROM raw_documents r) LEFT JOIN (VALUES {P._values(list(QUESTIONS.items()))}) q(field, question) USING (field)
 GROUP BY 1, 2""")

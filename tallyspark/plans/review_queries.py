@@ -191,7 +191,7 @@ def _(spark, d):
 
 
 def P_error():
-    key = F.substring("file_name", 9, 8).cast("bigint")
+    key = F.regexp_extract("file_name", r"^invoice_(\d+)\.pdf$", 1).cast("bigint")
     return F.when(key % 97 == 0, "parse error")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,14 +30,12 @@ def build_session(app: str = "tallyspark", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder for written tables and stream checkpoints.
 
-    The cluster names a shared location in ``spark.checkpoint.dir``; a local temporary folder
-    is used only where that is unset (single-machine tests).
+    The cluster names a shared location in ``spark.checkpoint.dir``; where that is unset, folders are made in the
+    warehouse, which all executors reach as well. Callers clear them when the results are no longer needed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tallyspark-")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,7 @@ from tallyspark.session import build_session  # noqa: E402
 def spark():
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "6g"})
+        "spark.driver.memory": "6g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-")})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
