@@ -14,7 +14,9 @@ from ..functions.core import correlation, let, mean_of, one_row, rate, since
 from ..functions.values import TOKENS_PER_PAGE
 
 UNKNOWN = "UNKNOWN"
-SUFFIX = 4
+#: Most characters of an anchor of a name; anchors under ``SHORT`` characters are taken if that saves ``CHANCE`` times the
+#: forms for each character they lack.
+PIECE, SHORT, CHANCE = 12, 4, 16
 
 
 def tokens(metrics: Column) -> Column:
@@ -38,56 +40,70 @@ def with_queries(call_df: DataFrame, queries: DataFrame) -> DataFrame:
 
 # --- which documents a call is about ---------------------------------------------------------------
 
-def _anchors(text: Column, lengths: Column) -> Column:
-    """Every piece of the text with one of the lengths, with the position it ends at."""
+def _name_forms(docs: DataFrame) -> DataFrame:
+    """(_anchor, _end, _len, _mask): how to find names in a text.
+
+    A name is made of runs between its underscores; the anchor is the last ``PIECE`` characters of one of them, which
+    ends at place ``_end``. Of its runs a name takes the one whose anchor the fewest forms share (see ``SHORT``), so what
+    all names have (an extension, a prefix) brings no text together with all forms.
+    """
+    chars = F.transform(F.split("_name", ""), lambda c, i: F.when(c == "_", i + 1))
+    shaped = docs.select("_name", F.length("_name").alias("_len"), F.array_compact(chars).alias("_mask")).where("_len > 0").distinct()
+    ends = F.concat(F.transform("_mask", lambda p: p - 1), F.array("_len"))
+    each = shaped.select("*", F.explode(ends).alias("_end")).withColumn(
+        "_anchor", F.expr(f"right(substring_index(left(_name, _end), '_', -1), {PIECE})"))
+    shared = each.select("_anchor", "_end", "_len", "_mask").distinct().groupBy("_anchor").agg(F.count("*").alias("_forms"))
+    size = F.length("_anchor")
+    # a short anchor is met by chance as well: each character under SHORT counts like so many times the forms
+    cost = F.col("_forms") * F.pow(F.lit(CHANCE), F.greatest(SHORT - size, F.lit(0)))
+    best = F.min_by(F.struct("_anchor", "_end"), F.struct(size == 0, cost, -size, "_end"))
+    return each.join(shared, "_anchor").groupBy("_name", "_len", "_mask").agg(best.alias("_best")).select(
+        "_best._anchor", "_best._end", "_len", "_mask").distinct()
+
+
+def _pieces(text: Column, lengths: Column, letters: Column) -> Column:
+    """Every piece of the text with one of the lengths and no other letters, with the position it ends at."""
     def pieces(t: Column, ks: Column) -> Column:
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), lambda end: F.transform(
+        found = F.flatten(F.transform(F.sequence(F.lit(0), F.length(t)), lambda end: F.transform(
             F.filter(ks, lambda k: k <= end),
-            lambda k: F.struct(end.alias("end"), F.substring(t, end - k + 1, k).alias("anchor")))))
+            lambda k: F.struct(end.alias("at"), F.substring(t, end - k + 1, k).alias("anchor")))))
+        return F.filter(found, lambda x: F.call_function("translate", x["anchor"], letters, F.lit("")) == "")
 
     return let(text, lambda t: let(lengths, lambda ks: pieces(t, ks)))
 
 
-def _windows(texts: DataFrame, forms: DataFrame) -> DataFrame:
-    """Pieces of the texts that have the form of a name, masked like one."""
-    # the lengths that occur: at most five numbers
-    lengths = forms.agg(F.collect_set(F.length("_anchor"))).scalar()
-    found = texts.withColumn("_ks", lengths).select(
-        "query_id", "_t", F.explode_outer(_anchors(F.col("_t"), F.col("_ks"))).alias("_a"))
-    placed = (
-        found.select("query_id", "_t", F.col("_a.end").alias("_end"), F.col("_a.anchor").alias("_anchor")).join(forms, "_anchor")
-        .withColumn("_start", F.col("_end") - F.col("_len") + 1).where("_start >= 1")
+def _places(texts: DataFrame, forms: DataFrame) -> DataFrame:
+    """(query_id, _start, _len, _mask): where a text has the anchor of a form."""
+    lengths = forms.agg(F.collect_set(F.length("_anchor"))).scalar()  # at most PIECE + 1 numbers
+    letters = forms.select(F.explode(F.split("_anchor", "")).alias("_c")).distinct().agg(  # an alphabet
+        F.array_join(F.collect_set("_c"), "")).scalar()
+    found = texts.withColumn("_ks", lengths).withColumn("_cs", letters).select(
+        "query_id", F.explode_outer(_pieces(F.col("_t"), F.col("_ks"), F.col("_cs"))).alias("_a"))
+    return (
+        found.select("query_id", F.col("_a.at").alias("_at"), F.col("_a.anchor").alias("_anchor")).join(forms, "_anchor")
+        .withColumn("_start", F.col("_at") - F.col("_end") + 1).where("_start >= 1")
+        .select("query_id", "_start", "_len", "_mask").distinct()
     )
-    window = F.substring("_t", F.col("_start"), F.col("_len"))
-    masked = F.aggregate("_mask", window, lambda w, p: F.overlay(w, F.lit("_"), p, F.lit(1)))
-    return placed.select("query_id", masked.alias("_name"))
 
 
-def match_documents(call_df: DataFrame, raw: DataFrame, columns: list[str], mode: str = "windows") -> DataFrame:
+def match_documents(call_df: DataFrame, raw: DataFrame, columns: list[str]) -> DataFrame:
     """Left join of calls to the documents whose file name occurs in the query text, ignoring case.
 
     The condition is ``query_text ILIKE '%' || file_name || '%'``: ``_`` in a name stands for any
     character, a text that holds several names counts for each, a text without any stays with NULLs.
 
-    ``mode="like"`` states exactly that; Spark can run it only as a nested loop over all pairs.
-    ``mode="windows"`` gives the same rows by hash joins. Names have few forms (length, places of
-    ``_``, and the up to four characters after the last ``_``). Wherever these last characters occur
-    in a text, the piece with the form's length is cut out, masked like the names of that form, and
-    compared with them for equality. So the join emits matches only, however often a name or a word
-    occurs. Names must not hold ``%`` or backslashes, which ``ingest.sanitize`` removes.
+    Names have forms (length, places of ``_``). Wherever the anchor of a form (see ``_name_forms``) occurs in a text, the
+    piece with the form's length is cut out, masked like the names of that form, and compared with them for equality, all
+    by joins on equal keys. Names must not hold ``%`` or backslashes, which ``ingest.sanitize`` removes; equal query ids
+    have equal texts.
     """
     docs = raw.select(F.lower("file_name").alias("_name"), "file_name", *[c for c in columns if c != "file_name"])
-    if mode == "like":
-        return call_df.join(docs.drop("_name"), F.expr("query_text ILIKE concat('%', file_name, '%')"), "left")
-
-    chars = F.transform(F.split("_name", ""), lambda c, i: F.when(c == "_", i + 1))
-    forms = docs.select(
-        F.right(F.substring_index("_name", "_", -1), F.lit(4)).alias("_anchor"),
-        F.length("_name").alias("_len"), F.array_compact(chars).alias("_mask"),
-    ).where("_len > 0").distinct()
-    texts = call_df.where(F.length("query_text") > 0).select("query_id", F.lower("query_text").alias("_t"))
-    found = _windows(texts, forms).distinct().join(docs, "_name").drop("_name")
-    return call_df.join(found, "query_id", "left")
+    texts = call_df.where(F.length("query_text") > 0).select("query_id", F.lower("query_text").alias("_t")).distinct()
+    window = F.substring("_t", F.col("_start"), F.col("_len"))
+    masked = F.aggregate("_mask", window, lambda w, p: F.overlay(w, F.lit("_"), p, F.lit(1)))
+    found = _places(texts, _name_forms(docs)).join(texts, "query_id").where(
+        "_start + _len - 1 <= length(_t)").select("query_id", masked.alias("_name")).distinct()
+    return call_df.join(found.join(docs, "_name").drop("_name"), "query_id", "left")
 
 
 # --- daily usage -----------------------------------------------------------------------------------
@@ -114,9 +130,8 @@ def per_document(daily_df: DataFrame) -> DataFrame:
         rate(F.col("ai_credits"), F.col("ai_calls"), 6).alias("credits_per_doc"))
 
 
-def by_doc_type(usage: DataFrame, queries: DataFrame, raw: DataFrame, function_name: str, as_of: Column,
-                mode: str = "windows") -> DataFrame:
-    matched = match_documents(with_queries(calls(usage, function_name, as_of), queries), raw, ["doc_type"], mode)
+def by_doc_type(usage: DataFrame, queries: DataFrame, raw: DataFrame, function_name: str, as_of: Column) -> DataFrame:
+    matched = match_documents(with_queries(calls(usage, function_name, as_of), queries), raw, ["doc_type"])
     return (
         matched.groupBy(F.coalesce("doc_type", F.lit(UNKNOWN)).alias("doc_type"),
                         F.to_date("start_time").alias("usage_date"))
@@ -132,9 +147,9 @@ def by_doc_type(usage: DataFrame, queries: DataFrame, raw: DataFrame, function_n
 
 
 def call_log(usage: DataFrame, queries: DataFrame, raw: DataFrame, function_name: str, as_of: Column,
-             n: int = 500, mode: str = "windows") -> DataFrame:
+             n: int = 500) -> DataFrame:
     """The newest calls of the last 30 days with their document type."""
-    matched = match_documents(with_queries(calls(usage, function_name, as_of, 30), queries), raw, ["doc_type"], mode)
+    matched = match_documents(with_queries(calls(usage, function_name, as_of, 30), queries), raw, ["doc_type"])
     return matched.orderBy(F.desc("start_time"), "query_id", "file_name").limit(n).select(
         "query_id", "start_time", "ai_credits", "tokens", F.coalesce("doc_type", F.lit(UNKNOWN)).alias("doc_type"),
         "elapsed_sec", "rows_produced", "query_text")
@@ -176,10 +191,10 @@ def breakdown(metering_daily: DataFrame, services: list[str], as_of_day: Column)
 # --- attribution -----------------------------------------------------------------------------------
 
 def per_call_detail(usage: DataFrame, queries: DataFrame, raw: DataFrame, field_counts: DataFrame,
-                    function_name: str, as_of: Column, mode: str = "windows") -> DataFrame:
+                    function_name: str, as_of: Column) -> DataFrame:
     """Each call with the document it is about, its size and its cost per page."""
     matched = match_documents(with_queries(calls(usage, function_name, as_of), queries), raw,
-                              ["doc_type", "page_count", "file_size_bytes"], mode)
+                              ["doc_type", "page_count", "file_size_bytes"])
     return (
         matched.where(F.col("file_name").isNotNull()).join(field_counts, "doc_type", "left")
         .select("query_id", "start_time", "file_name", "doc_type", "page_count", "file_size_bytes", "ai_credits",

@@ -18,10 +18,10 @@ def inputs(spark, d):
     return P.usage(spark, d), P.query_history(spark, d), P.raw_documents(spark, d)
 
 
-def detail(spark, d, mode="windows"):
+def detail(spark, d):
     u, q, raw = inputs(spark, d)
     counts = config.default_config(spark).select("doc_type", config.comma_field_count(F.col("extraction_prompt")).alias("field_count"))
-    return cost.per_call_detail(u, q, raw, counts, P.FUNCTION, P.usage_time(), mode)
+    return cost.per_call_detail(u, q, raw, counts, P.FUNCTION, P.usage_time())
 
 
 CTES["daily_cost"] = """

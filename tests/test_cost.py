@@ -19,7 +19,7 @@ def names(spark, *files):
 
 def both(call_df, raw):
     keyed = lambda df: sorted(tuples(df.select("query_id", "file_name", "doc_type")), key=repr)
-    like = keyed(cost.match_documents(call_df, raw, ["doc_type"], "like"))
+    like = keyed(call_df.join(raw, F.expr("query_text ILIKE concat('%', file_name, '%')"), "left"))
     assert keyed(cost.match_documents(call_df, raw, ["doc_type"])) == like
     return like
 
@@ -49,6 +49,25 @@ def test_one_document_named_by_most_calls(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_forms_join_in_proportion(spark):
+    """As many forms as names, all with one extension: each text meets its own name's form and few others."""
+    def docs(n):
+        return spark.range(n).select(F.expr(
+            "concat(repeat('x_', cast(id % 50 as int)), repeat('y', cast(id div 50 as int)), '_', id, '_scan.pdf')").alias("file_name"),
+            F.col("id").cast("string").alias("doc_type"))
+
+    def rows(n):
+        raw = docs(n)
+        forms = cost._name_forms(raw.select(F.lower("file_name").alias("_name")))
+        texts = raw.select(F.col("doc_type").cast("long").alias("query_id"), F.concat(F.lit("read "), "file_name").alias("_t"))
+        return cost._places(texts, forms).count()
+
+    small, large = rows(500), rows(2000)
+    assert large <= 5 * small and large <= 16 * 2000
+    call_df = docs(200).select(F.col("doc_type").cast("long").alias("query_id"), F.concat(F.lit("read "), "file_name").alias("query_text"))
+    both(call_df, docs(200))
+
+
 def test_correlation_of_constant_input_is_null(spark):
     from tallyspark.functions.core import correlation
 
