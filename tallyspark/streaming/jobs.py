@@ -1,8 +1,10 @@
 """Continuous processing: registration, extraction and alerts as Structured Streaming jobs.
 
-Results of a micro-batch go to their own ``batch=<id>`` folder, which a repeated batch overwrites, so
-every document is stored once even when a batch is tried again. The registry is never changed from a
-stream; the state of a document follows from registry, results and errors (see ``status``).
+Results of a micro-batch go to their own ``batch=<query id>-<batch id>`` folder, which a repeated batch
+overwrites, so every document is stored once even when a batch is tried again. The query id is the
+checkpoint's: under a new checkpoint, whose batches count from 0 again, earlier results stay, and their
+documents are skipped. The registry is never changed from a stream; the state of a document follows from
+registry, results and errors (see ``status``).
 """
 
 from __future__ import annotations
@@ -34,19 +36,26 @@ def prepare(spark: SparkSession, base: str) -> None:
 
 
 def results(spark: SparkSession, base: str, name: str) -> DataFrame:
-    schema = RESULTS[name] + ", batch long"
+    schema = RESULTS[name] + ", batch string"
     return spark.read.schema(schema).parquet(f"{base}/{name}")
 
 
-def store(docs: DataFrame, config: DataFrame, base: str, now: Column, batch_id: int) -> None:
+def batch_key(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """A batch's number under the id that the checkpoint keeps for its query."""
+    query_id = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+    return f"{query_id}-{batch_id}"
+
+
+def store(docs: DataFrame, config: DataFrame, base: str, now: Column, batch: str) -> None:
     """Extract documents and write their fields, lines and errors as one batch.
 
-    Texts are read once: what they say is written first, and the three tables are made from that.
+    Texts are read once: what they say is written first, over what the batch before left there, and the three tables are
+    made from that.
     """
-    path = f"{base}/read/batch={batch_id}"
+    path = f"{base}/read"
     extract.read_documents(docs, config).write.mode("overwrite").parquet(path)
     for name, df in extract.split_results(docs.sparkSession.read.parquet(path), now).items():
-        df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+        df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
 
 
 def start(writer, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -68,11 +77,13 @@ def extract_stream(feed: DataFrame, config: DataFrame, base: str, now: Column, t
     prepare(spark, base)
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        key = batch_key(spark, checkpoint, batch_id)
         docs = (to_documents(batch) if to_documents else batch).dropDuplicates(["file_name"])
-        earlier = results(spark, base, "fields").where(F.col("batch") != batch_id).select("file_name")
-        store(docs.join(earlier, "file_name", "left_anti"), config, base, now, batch_id)
+        earlier = results(spark, base, "fields").where(F.col("batch") != key).select("file_name")
+        store(docs.join(earlier, "file_name", "left_anti"), config, base, now, key)
 
-    return start(feed.writeStream.foreachBatch(process), f"{base}/_checkpoint", every)
+    checkpoint = f"{base}/_checkpoint"
+    return start(feed.writeStream.foreachBatch(process), checkpoint, every)
 
 
 def register_stream(listing: DataFrame, base: str, now: Column, doc_type: Column | str = "INVOICE",
@@ -82,15 +93,17 @@ def register_stream(listing: DataFrame, base: str, now: Column, doc_type: Column
     spark.createDataFrame([], schemas.RAW_DOCUMENTS).write.mode("ignore").parquet(f"{base}/raw/batch=-1")
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        known = registry(spark, base).where(F.col("batch") != batch_id)
-        ingest.register(batch, known, now, doc_type, prefix).write.mode("overwrite").parquet(f"{base}/raw/batch={batch_id}")
+        key = batch_key(spark, checkpoint, batch_id)
+        known = registry(spark, base).where(F.col("batch") != key)
+        ingest.register(batch, known, now, doc_type, prefix).write.mode("overwrite").parquet(f"{base}/raw/batch={key}")
 
-    return start(listing.writeStream.foreachBatch(process), f"{base}/_checkpoint_raw", every)
+    checkpoint = f"{base}/_checkpoint_raw"
+    return start(listing.writeStream.foreachBatch(process), checkpoint, every)
 
 
 def registry(spark: SparkSession, base: str) -> DataFrame:
     """The rows ``register_stream`` has written so far, with their batch."""
-    schema = T.StructType([*schemas.RAW_DOCUMENTS.fields, T.StructField("batch", T.LongType())])
+    schema = T.StructType([*schemas.RAW_DOCUMENTS.fields, T.StructField("batch", T.StringType())])
     return spark.read.schema(schema).parquet(f"{base}/raw")
 
 
@@ -122,9 +135,10 @@ def alert_stream(spark: SparkSession, read_registry, base: str, as_of=F.current_
     def check(_: DataFrame, batch_id: int) -> None:
         at = as_of().cast("timestamp_ntz")
         rows = health.alert(health.health(read_registry(), at, failure_time), at, threshold)
-        rows.write.mode("overwrite").parquet(f"{base}/alerts/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{base}/alerts/batch={batch_key(spark, checkpoint, batch_id)}")
 
-    return start(ticks.writeStream.foreachBatch(check), f"{base}/_checkpoint_alerts", every)
+    checkpoint = f"{base}/_checkpoint_alerts"
+    return start(ticks.writeStream.foreachBatch(check), checkpoint, every)
 
 
 def processed_message(result_rows: DataFrame) -> DataFrame:
@@ -160,7 +174,7 @@ def reextract(raw: DataFrame, fields: DataFrame, table_data: DataFrame, texts: D
         chosen = chosen.where(F.col("doc_type") == doc_type)
     docs = texts.select("file_name", "text").join(chosen.select("file_name", "doc_type"), "file_name")
     prepare(spark, base)
-    store(docs, config, base, now, 0)
+    store(docs, config, base, now, "0")
     done = {name: results(spark, base, name).drop("batch") for name in RESULTS}
     new_fields = tables.upsert(fields, done["fields"], "file_name", "record_id")
     ids = new_fields.select("file_name", F.col("record_id").cast("string").alias("record_id"))

@@ -1,4 +1,5 @@
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -38,8 +39,23 @@ def test_stream_equals_batch_and_runs_once(spark, tmp_path):
     assert [r.file_name for r in jobs.results(spark, base, "errors").collect()] == ["empty"]
 
 
+def test_new_checkpoint_keeps_results(spark, tmp_path):
+    """A second checkpoint over the same results: its batches count from 0 again and overwrite nothing."""
+    src, base = str(tmp_path / "in"), str(tmp_path / "out")
+    conf = config.default_config(spark)
+    run = lambda: jobs.extract_stream(feed(spark, src), conf, base, now()).awaitTermination()
+    spark.createDataFrame(DOCS[:4], SCHEMA).write.parquet(src)
+    run()
+    shutil.rmtree(f"{base}/_checkpoint")
+    spark.createDataFrame(DOCS[4:], SCHEMA).write.mode("append").parquet(src)
+    run()
+    got = jobs.results(spark, base, "fields")
+    assert sorted(r.file_name for r in got.collect()) == [d[0] for d in DOCS]
+    assert got.select("batch").distinct().count() == 2
+
+
 def test_repeated_batch_is_stored_once(spark, tmp_path):
-    """The same files under a new checkpoint: the guard on names keeps results unique."""
+    """The same files delivered again: the guard on names keeps results unique."""
     src, base = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame(DOCS, SCHEMA).write.parquet(src)
     conf = config.default_config(spark)
