@@ -123,7 +123,11 @@ def alike(a: Column, b: Column) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, class_id): the least node that links (a, b) connect a node with, by large-star and small-star rounds."""
+    """(node, class_id): the least node that links (a, b) connect a node with, by large-star and small-star rounds.
+
+    The least neighbours are written before they are joined: a side straight from an aggregate keeps Spark from splitting
+    the partition of a node that a large group hangs on.
+    """
     def seen(e):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(),
@@ -131,10 +135,10 @@ def components(links: DataFrame) -> DataFrame:
     state = seen(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = stored(large.distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             least.select("a", F.col("m").alias("b"))).where("a <> b")
         edges = stored(small.distinct(), "small-star")
