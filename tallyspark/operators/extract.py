@@ -7,7 +7,7 @@ document stays one row from its text to its stored payload, and no step shuffles
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,11 +41,12 @@ def _label_value(line: Column) -> Column:
     return F.struct(label.alias("label"), let(parts, value).alias("value"))
 
 
-def entities(docs: DataFrame, config: DataFrame) -> DataFrame:
+def entities(docs: DataFrame, config: DataFrame, how: str = "inner") -> DataFrame:
     """Answers per configured field as ``response`` (map of field to text) for (file_name, doc_type, text).
 
     The text is read once into labels and values; each field then looks up its labels in order.
-    A field that is not printed gives NULL.
+    A field that is not printed gives NULL. ``how="left"`` keeps documents of types without active
+    configuration, with a NULL response.
     """
     def read(lines: Column) -> Column:
         first = F.trim(F.substring_index(F.get(lines, F.lit(0)), _JOIN, 1))
@@ -57,7 +58,7 @@ def entities(docs: DataFrame, config: DataFrame) -> DataFrame:
             F.col("specs"), lambda spec: _answer(spec, labels, texts))))
 
     kv = let(_logical_lines(F.col("text")), read)
-    return docs.join(parsed(config), "doc_type").withColumn("response", F.map_from_entries(let(kv, answers)))
+    return docs.join(parsed(config), "doc_type", how).withColumn("response", F.map_from_entries(let(kv, answers)))
 
 
 def _answer(spec: Column, labels: Column, texts: Column) -> Column:
@@ -79,28 +80,33 @@ def tables(docs: DataFrame) -> DataFrame:
 
 
 def with_model(docs: DataFrame, config: DataFrame,
-               model: Callable[[str, str, list[str]], dict]) -> DataFrame:
-    """Like ``entities`` with a model ``(file_name, text, fields) -> {field: value}`` run in the tasks.
+               model: Callable[[str, str, list[str]], dict], how: str = "inner") -> DataFrame:
+    """Like ``entities`` and ``tables`` with a model ``(file_name, text, fields) -> {field: value}`` run in the tasks.
 
-    A document the model fails on gets NULL answers and its error text; the others go on.
+    The answer may hold ``line_items``, a dict of column to list of cells. A document the model fails
+    on gets NULL answers and its error text; the others go on.
     """
-    types = parsed(config)
-    needed = docs.join(types.select("doc_type", F.col("specs.name").alias("fields")), "doc_type").select(
-        "file_name", "doc_type", "text", "fields")
+    needed = docs.join(parsed(config), "doc_type", how)
+    text_or_null = lambda x: None if x is None else str(x)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, kind, text, fields in batch.itertuples(index=False):
-                try:
-                    got = model(name, text, list(fields))
-                    out.append((name, kind, {f: None if got.get(f) is None else str(got[f]) for f in fields}, None))
-                except Exception as problem:
-                    out.append((name, kind, None, str(problem)[:V.ERROR_TEXT_LENGTH]))
-            yield pd.DataFrame(out, columns=["file_name", "doc_type", "response", "error"])
+    def answer(name, text, fields):
+        if fields is None or text is None:
+            return None, None, None
+        try:
+            got = model(name, text, list(fields))
+            cells = got.get("line_items")
+            return ({f: text_or_null(got.get(f)) for f in fields},
+                    cells and {c: [text_or_null(x) for x in column] for c, column in cells.items()}, None)
+        except Exception as problem:
+            return None, None, (str(problem) or type(problem).__name__)[:V.ERROR_TEXT_LENGTH]
 
-    answers = needed.mapInPandas(run, "file_name string, doc_type string, response map<string,string>, error string")
-    return answers.join(types, "doc_type")
+    @F.pandas_udf("response map<string,string>, line_items map<string,array<string>>, error string")
+    def run(names: pd.Series, texts: pd.Series, fields: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([answer(*x) for x in zip(names, texts, fields)], columns=["response", "line_items", "error"])
+
+    # the model is no function of its text alone: asked once per document
+    done = needed.withColumn("_m", run.asNondeterministic()("file_name", "text", F.col("specs.name")))
+    return done.withColumns({c: F.col(f"_m.{c}") for c in ("response", "line_items", "error")}).drop("_m")
 
 
 def response_json(response: Column) -> Column:
@@ -308,15 +314,23 @@ def work_list(raw: DataFrame, fields: DataFrame, doc_type: str = "ALL") -> DataF
     return todo.join(fields.select("file_name"), "file_name", "left_anti")
 
 
-def read_documents(docs: DataFrame, config: DataFrame) -> DataFrame:
-    """Documents of all active types, read in one pass: one row each, much smaller than its text.
+def read_documents(docs: DataFrame, config: DataFrame, model=None, doc_type: str = "ALL") -> DataFrame:
+    """Documents of all types (or of one), read in one pass: one row each, much smaller than its text.
 
-    Documents without text get an error; documents of types without active configuration are left out.
+    ``model`` replaces the built-in reader, see ``with_model``. Documents without text, documents of
+    types without active configuration and documents that the model fails on get an error.
     """
-    done = post_process(tables(entities(docs, config)))
-    has_text = F.trim(F.coalesce("text", F.lit(""))) != ""
-    return done.select("file_name", "normalized", "raw_extraction", "table_cols", "line_items",
-                       F.when(~has_text, F.lit("document has no text")).alias("error"))
+    if doc_type != "ALL":
+        docs = docs.where(F.col("doc_type") == doc_type)
+    if model is None:
+        answered = tables(entities(docs, config, "left")).withColumn("error", F.lit(None).cast("string"))
+    else:
+        answered = with_model(docs, config, model, "left")
+    no_text = F.trim(F.coalesce("text", F.lit(""))) == ""
+    no_type = F.concat(F.lit("No active config found for doc_type="), F.coalesce("doc_type", F.lit("")))
+    error = F.when(F.col("specs").isNull(), no_type).when(no_text, "document has no text").otherwise(F.col("error"))
+    return post_process(answered).select("file_name", "normalized", "raw_extraction", "table_cols", "line_items",
+                                         error.alias("error"))
 
 
 def split_results(done: DataFrame, now: Column, mapping: str = "named") -> dict[str, DataFrame]:
@@ -329,13 +343,14 @@ def split_results(done: DataFrame, now: Column, mapping: str = "named") -> dict[
     }
 
 
-def run(docs: DataFrame, config: DataFrame, now: Column, mapping: str = "named") -> dict[str, DataFrame]:
-    """All documents of all active types in one job: stored fields, line rows and errors.
+def run(docs: DataFrame, config: DataFrame, now: Column, mapping: str = "named", model=None,
+        doc_type: str = "ALL") -> dict[str, DataFrame]:
+    """All documents of all types (or of one) in one job: stored fields, line rows and errors.
 
     Each of the three frames reads the documents when it is used; to read them once, write the result of
     ``read_documents`` and split that (``streaming.jobs.store`` does).
     """
-    return split_results(read_documents(docs, config), now, mapping)
+    return split_results(read_documents(docs, config, model, doc_type), now, mapping)
 
 
 def message(fields: DataFrame, config: DataFrame, doc_type: str = "ALL") -> DataFrame:

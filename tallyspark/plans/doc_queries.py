@@ -266,14 +266,16 @@ def _(spark, d):
     return names.select("path", ingest.route(F.col("path"), ingest.ROUTES).alias("doc_type"))
 
 
-@query("seed_if_empty", "SELECT c_custkey AS vendor_id, c_name AS vendor_name, NULL::VARCHAR AS address, 'Net 30' AS default_terms FROM customer")
+@query("seed_if_empty", f"""
+SELECT c_custkey AS vendor_id, c_name AS vendor_name, NULL::VARCHAR AS address, 'Net 30' AS default_terms FROM customer
+UNION ALL SELECT NULL, * FROM (VALUES {P._values(P.V.VENDORS)}) t(vendor_name, address, default_terms)""")
 def _(spark, d):
-    """A vendor table that already has rows stays as it is."""
+    """A vendor table that already has rows stays as it is; one that no customer is in gets the seeds."""
     vendors = P.read(spark, d, "customer").select(
         F.col("c_custkey").alias("vendor_id"), F.col("c_name").alias("vendor_name"),
         F.lit(None).cast("string").alias("address"), F.lit("Net 30").alias("default_terms"))
     seeds = small_table(spark, P.V.VENDORS, "vendor_name string, address string, default_terms string")
-    return ingest.seed_if_empty(vendors, seeds)
+    return ingest.seed_if_empty(vendors, seeds).unionByName(ingest.seed_if_empty(vendors.where("vendor_name = ''"), seeds))
 
 
 @query("seed_missing", f"""

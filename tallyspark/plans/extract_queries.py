@@ -222,12 +222,12 @@ def _(spark, d):
     return extract.rows_by_first_column(table, "positional").drop("raw_line_data")
 
 
-@query("display_rows", f"""
-SELECT file_name, 'line_items' AS key, 'Product' AS "column", rn - 1 AS position, product_name AS value FROM numbered_lines
-UNION ALL SELECT file_name, 'line_items', 'Total', rn - 1, line_total::VARCHAR FROM numbered_lines WHERE {SHORT}""")
+@query("display_rows", " UNION ALL ".join(
+    f"""SELECT file_name, 'line_items' AS key, '{c}' AS "column", rn - 1 AS position, {v} AS value FROM numbered_lines"""
+    for c, v in {"Line": "rn::VARCHAR", "Product": "product_name", "Category": "category", "Qty": "quantity::VARCHAR",
+                 "Unit Price": "'$' || format('{:,.2f}', unit_price::DOUBLE)", "Total": "line_total::VARCHAR"}.items()) + f" WHERE {SHORT}")
 def _(spark, d):
-    shown = extract.display_rows(P.extractions(spark, d).select("file_name", "extraction"))
-    return shown.where(F.col("column").isin("Product", "Total"))
+    return extract.display_rows(P.extractions(spark, d).select("file_name", "extraction"))
 
 
 # --- text ------------------------------------------------------------------------------------------
@@ -288,16 +288,52 @@ def _(spark, d):
                        v("total_amount").try_cast("decimal(12,2)").alias("total_amount"))
 
 
-@query("batch_driver", """
-SELECT 'Processed ' || count(*) || ' document(s) via config-driven extraction' AS message FROM raw_documents WHERE NOT extracted
-UNION ALL SELECT 'No active config found for doc_type=MEMO'""")
+@query("entities_all_types", "SELECT file_name, doc_type, pos::BIGINT AS pos, field, normalized FROM doc_value")
 def _(spark, d):
-    """All pending documents, whatever their type, in one job; and a type nobody configured."""
+    """Documents of all five types rendered to text and read back: every field."""
+    done = extract.post_process(extract.entities(P.typed_texts(spark, d), config.default_config(spark)))
+    return extract.long_fields(done).select("file_name", "doc_type", "pos", "field", "normalized")
+
+
+def _stored_lines() -> str:
+    """SQL of the stored line rows of all types: col_1 to col_5 and the row as JSON, by the columns of the type."""
+    text = {"line_number": "line_number::VARCHAR", "product_name": "product_name", "category": "coalesce(category, '')",
+            "quantity": "quantity::VARCHAR", "unit_price": MONEY.format("unit_price"), "line_total": MONEY.format("line_total")}
+    plain = text | {c: f"{c}::DOUBLE" for c in ("quantity", "unit_price", "line_total")}
+    kinds = {t: [c for c, _ in spec["columns"]] for t, spec in P.V.DOC_TYPES.items()}
+    case = lambda of: "CASE doc_type " + " ".join(f"WHEN '{t}' THEN {of(cols)}" for t, cols in kinds.items()) + " END"
+
+    def stored(names):
+        return case(lambda cols: next((plain[P.CELL_OF[n]] for n in names if n in cols), "NULL"))
+
+    def pairs(cols):
+        return "json_object(" + ", ".join(f"'{c}', {text[P.CELL_OF[c]]}" for c in cols) + ")::VARCHAR"
+
+    shown = ", ".join(f"{stored(names)} AS col_{i}" for i, names in enumerate(extract.NAMED_COLUMNS, 1))
+    return f"SELECT file_name, rn AS line_number, {shown}, {case(pairs)} AS raw_line_data FROM numbered_lines JOIN raw_documents USING (file_name)"
+
+
+@query("tables_all_types", _stored_lines())
+def _(spark, d):
+    """The lines of documents of all five types, as the job stores them."""
+    return extract.run(P.typed_texts(spark, d), config.default_config(spark), P.run_time())["lines"]
+
+
+@query("batch_driver", f"""
+SELECT file_name, {', '.join(map(_wide, range(1, 11)))}, NULL::VARCHAR AS message
+FROM doc_value JOIN raw_documents USING (file_name) WHERE NOT extracted GROUP BY file_name
+UNION ALL SELECT NULL, {', '.join(['NULL'] * 10)}, 'Processed ' || count(*) || ' document(s) via config-driven extraction'
+FROM raw_documents WHERE NOT extracted
+UNION ALL SELECT NULL, {', '.join(['NULL'] * 10)}, 'No active config found for doc_type=MEMO'""")
+def _(spark, d):
+    """All pending documents, whatever their type, in one job: what is stored and the message; and a type nobody configured."""
     base = config.default_config(spark)
-    todo = extract.work_list(P.raw_documents(spark, d), P.fields(spark, d))
-    texts = P.invoice_texts(spark, d).select("file_name", "text").join(todo.select("file_name", "doc_type"), "file_name")
-    done = extract.run(texts, base, P.run_time())["fields"]
-    return extract.message(done, base).unionByName(extract.message(done.limit(0), base, "MEMO"))
+    todo = extract.work_list(P.raw_documents(spark, d), P.fields(spark, d)).select("file_name")
+    texts = P.typed_texts(spark, d).join(todo, "file_name")
+    stored = extract.run(texts, base, P.run_time())["fields"].select("file_name", *[f"field_{i}" for i in range(1, 11)])
+    memo = extract.run(texts, base, P.run_time(), doc_type="MEMO")["fields"]
+    said = extract.message(stored, base).unionByName(extract.message(memo, base, "MEMO"))
+    return stored.unionByName(said, allowMissingColumns=True)
 
 
 def _truth(spark, d):

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.core import money_text
+from ..functions.core import let, money_text
 from ..operators import config as cfg
+from ..operators.extract import NAMED_COLUMNS
 from ..sources import render
 from .base import CTES
 
@@ -474,6 +475,35 @@ def invoice_texts(spark, d) -> DataFrame:
     return render.invoices(invoices(spark, d), rows).withColumn("doc_type", F.lit("INVOICE"))
 
 
+#: What each table column of the five types prints of a line item.
+CELL_OF = {"Line": "line_number", "Due Date": "line_number"} | {
+    c: source for names, source in zip(NAMED_COLUMNS, ["product_name", "category", "quantity", "unit_price", "line_total"])
+    for c in names}
+
+
+def typed_texts(spark, d) -> DataFrame:
+    """Documents of all five types as text (file_name, doc_type, text): the answers of ``field_docs`` under
+    their labels, then the order's lines in the columns of the type. The first line is empty."""
+    shown = {"line_number": F.col("line_number").cast("string"), "product_name": F.col("product_name"),
+             "category": F.coalesce("category", F.lit("")), "quantity": F.col("quantity").cast("string"),
+             "unit_price": money_text(F.col("unit_price")), "line_total": money_text(F.col("line_total"))}
+    rows = render.fold_lines(line_items(spark, d), "file_name", ["line_number", "line_item_id"],
+                             F.struct(*[c.alias(n) for n, c in shown.items()]))
+    label_of = {f: label for t in V.DOC_TYPES.values() for f, label, _ in t["fields"]}
+    labels = F.create_map(*[F.lit(x) for pair in label_of.items() for x in pair])
+    fields = F.transform("specs", lambda s: F.concat(
+        F.element_at(labels, s["name"]), F.lit(": "), F.try_element_at("response", s["name"])))
+
+    def row_text(row: Column) -> Column:
+        cells = F.create_map(*[x for c, source in CELL_OF.items() for x in (F.lit(c), row[source])])
+        return let(cells, lambda m: F.array_join(F.transform("table_cols", lambda c: F.try_element_at(m, c)), " | "))
+
+    none = F.array().cast("array<string>")
+    text = F.concat(F.lit("\n"), F.array_join(fields, "\n"), F.lit("\n\n"), F.array_join("table_cols", " | "), F.lit("\n"),
+                    F.array_join(F.coalesce(F.transform("table_rows", row_text), none), "\n"))
+    return field_docs(spark, d).join(rows, "file_name", "left").select("file_name", "doc_type", text.alias("text"))
+
+
 def extractions(spark, d) -> DataFrame:
     """Table answers as JSON: parallel arrays in line order; every seventh order lacks its last Total."""
     item = F.struct("line_number", "line_item_id", "product_name", "category", "quantity", "unit_price", "line_total")

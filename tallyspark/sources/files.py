@@ -55,9 +55,10 @@ def write_version(df: DataFrame, base: str, version: int) -> str:
 def export_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
     """CSV with header, replacing an earlier export.
 
-    One file means one writing task; pass ``single_file=False`` for exports that are not small.
+    One file means one writing task (what comes before it still runs in many); pass ``single_file=False``
+    for exports that are not small.
     """
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
     out.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
 
 

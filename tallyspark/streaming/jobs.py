@@ -46,14 +46,14 @@ def batch_key(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
     return f"{query_id}-{batch_id}"
 
 
-def store(docs: DataFrame, config: DataFrame, base: str, now: Column, batch: str) -> None:
-    """Extract documents and write their fields, lines and errors as one batch.
+def store(docs: DataFrame, config: DataFrame, base: str, now: Column, batch: str, model=None) -> None:
+    """Extract documents (by a model if one is given) and write their fields, lines and errors as one batch.
 
     Texts are read once: what they say is written first, over what the batch before left there, and the three tables are
     made from that.
     """
     path = f"{base}/read"
-    extract.read_documents(docs, config).write.mode("overwrite").parquet(path)
+    extract.read_documents(docs, config, model).write.mode("overwrite").parquet(path)
     for name, df in extract.split_results(docs.sparkSession.read.parquet(path), now).items():
         df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
 
@@ -66,7 +66,7 @@ def start(writer, checkpoint: str, every: str | None) -> StreamingQuery:
 
 
 def extract_stream(feed: DataFrame, config: DataFrame, base: str, now: Column, to_documents=None,
-                   every: str | None = None) -> StreamingQuery:
+                   every: str | None = None, model=None) -> StreamingQuery:
     """Extract the documents of a stream of (file_name, doc_type, text) rows.
 
     ``to_documents`` may turn the rows of a micro-batch into such rows first, e.g. by joining stored
@@ -80,12 +80,30 @@ def extract_stream(feed: DataFrame, config: DataFrame, base: str, now: Column, t
         key = batch_key(spark, checkpoint, batch_id)
         docs = (to_documents(batch) if to_documents else batch).dropDuplicates(["file_name"])
         earlier = results(spark, base, "fields").where(F.col("batch") != key).select("file_name")
-        store(docs.join(earlier, "file_name", "left_anti"), config, base, now, key)
+        store(docs.join(earlier, "file_name", "left_anti"), config, base, now, key, model)
 
     checkpoint = f"{base}/_checkpoint"
     return start(feed.writeStream.foreachBatch(process), checkpoint, every)
 
 
+def open_errors(spark: SparkSession, base: str, batch: str = "") -> DataFrame:
+    """Errors of documents that have no result yet; what ``batch`` itself stored does not count."""
+    ended = results(spark, base, "fields").where(F.col("batch") != batch).select("file_name")
+    return results(spark, base, "errors").where(F.col("batch") != batch).join(ended, "file_name", "left_anti")
+
+
+def retry(documents: DataFrame, config: DataFrame, base: str, now: Column, attempt: str, model=None) -> None:
+    """Read the failed documents again, from (file_name, doc_type, text) as it is now.
+
+    The stream's checkpoint has passed them, so this is a job of its own. An attempt of the same name
+    replaces what the earlier one stored.
+    """
+    key = f"retry-{attempt}"
+    failed = open_errors(documents.sparkSession, base, key).select("file_name")
+    again = documents.dropDuplicates(["file_name"]).join(failed, "file_name", "left_semi")
+    store(again, config, base, now, key, model)
+
+
 def register_stream(listing: DataFrame, base: str, now: Column, doc_type: Column | str = "INVOICE",
                     prefix: str = "", every: str | None = None) -> StreamingQuery:
     """Register arriving files (a stream with ``file_name``) that are not registered yet."""
@@ -160,7 +178,7 @@ def status(raw: DataFrame, result_rows: DataFrame, errors: DataFrame, now: Colum
 
 
 def reextract(raw: DataFrame, fields: DataFrame, table_data: DataFrame, texts: DataFrame, config: DataFrame,
-              now: Column, doc_type: str = "ALL") -> dict[str, DataFrame]:
+              now: Column, doc_type: str = "ALL", model=None) -> dict[str, DataFrame]:
     """Read all documents of a type (or of all active types) again.
 
     Stored rows are updated in place, so records keep their id and their reviews; line rows are replaced.
@@ -174,7 +192,7 @@ def reextract(raw: DataFrame, fields: DataFrame, table_data: DataFrame, texts: D
         chosen = chosen.where(F.col("doc_type") == doc_type)
     docs = texts.select("file_name", "text").join(chosen.select("file_name", "doc_type"), "file_name")
     prepare(spark, base)
-    store(docs, config, base, now, "0")
+    store(docs, config, base, now, "0", model)
     done = {name: results(spark, base, name).drop("batch") for name in RESULTS}
     new_fields = tables.upsert(fields, done["fields"], "file_name", "record_id")
     ids = new_fields.select("file_name", F.col("record_id").cast("string").alias("record_id"))

@@ -75,7 +75,8 @@ def test_negative_amount_keeps_its_sign_in_the_payload_only(spark):
 def test_errors_and_unknown_types(spark):
     docs = doc(spark, "  ").unionByName(doc(spark, None, name="b")).unionByName(doc(spark, "Acme", "MEMO", "c")).unionByName(doc(spark, "Acme", name="d"))
     done = extract.run(docs, config.default_config(spark), now())
-    assert sorted(r.file_name for r in done["errors"].collect()) == ["a.pdf", "b"]
+    assert sorted((r.file_name, r.error) for r in done["errors"].collect()) == [
+        ("a.pdf", "document has no text"), ("b", "document has no text"), ("c", "No active config found for doc_type=MEMO")]
     assert [r.file_name for r in done["fields"].collect()] == ["d"]
 
 
@@ -116,6 +117,26 @@ def test_model_plugin_catches_errors(spark):
     assert out["b"].response is None and len(out["b"].error) == V.ERROR_TEXT_LENGTH
 
 
+def test_model_in_the_job(spark):
+    """The whole job with a model: fields, lines and errors; one type only when asked for."""
+    docs = doc(spark, "Acme").unionByName(doc(spark, "boom", name="b")).unionByName(doc(spark, None, name="c")).unionByName(
+        doc(spark, "x", "MEMO", "m")).unionByName(doc(spark, "Corner Shop", "RECEIPT", "r"))
+
+    def model(name, text, fields):
+        if text == "boom":
+            raise ValueError
+        return {fields[0]: text, "line_items": {"Line": [1, 2], "Description": ["Cola", None], "Total": ["$3.00", 4]}}
+
+    done = extract.run(docs, config.default_config(spark), now(), model=model)
+    assert sorted((r.file_name, r.field_1) for r in done["fields"].collect()) == [("a.pdf", "Acme"), ("r", "Corner Shop")]
+    lines = [(r.file_name, r.line_number, r.col_1, r.col_5) for r in done["lines"].orderBy("file_name", "line_number").collect()]
+    assert lines == [("a.pdf", 1, "Cola", Decimal("3.00")), ("a.pdf", 2, None, Decimal("4.00"))]
+    assert {r.file_name: r.error for r in done["errors"].collect()} == {
+        "b": "ValueError", "c": "document has no text", "m": "No active config found for doc_type=MEMO"}
+    only = extract.run(docs, config.default_config(spark), now(), model=model, doc_type="RECEIPT")
+    assert [r.file_name for r in only["fields"].collect()] == ["r"] and only["errors"].isEmpty()
+
+
 def test_zip_shortest_and_first_column(spark):
     ragged = json.dumps({"response": {"line_items": {"Line": [1, 2, 3], "Product": ["a", "b"], "Category": ["c", None, "c"], "Qty": [1, 2, 3],
                                                      "Unit Price": ["$1.00", "2", "3"], "Total": ["1", "1,000.50", "3"]}}})
