@@ -196,30 +196,38 @@ def _(spark, d):
 SHORT = "NOT (k % 7 = 0 AND rn = n)"
 
 
+def _cells(*without: str) -> str:
+    """SQL of a line's cells as JSON, as ``projections.extractions`` answers them."""
+    cells = {"Line": "rn::VARCHAR", "Product": "product_name", "Category": "category", "Qty": "quantity::VARCHAR",
+             "Unit Price": "'$' || format('{:,.2f}', unit_price::DOUBLE)", "Total": f"CASE WHEN {SHORT} THEN line_total::VARCHAR END"}
+    return "json_object(" + ", ".join(f"'{c}', {v}" for c, v in cells.items() if c not in without) + ")::VARCHAR"
+
+
 @query("line_shred_shortest", f"""
 SELECT file_name, invoice_number, rn AS line_number, product_name, category, quantity::DOUBLE AS quantity,
-  unit_price::DOUBLE AS unit_price, line_total::DOUBLE AS line_total FROM numbered_lines WHERE {SHORT}""")
+  unit_price::DOUBLE AS unit_price, line_total::DOUBLE AS line_total,
+  CASE WHEN category IS NULL THEN {_cells('Category')} ELSE {_cells()} END AS raw_line_data FROM numbered_lines WHERE {SHORT}""")
 def _(spark, d):
-    return extract.shred_lines(P.extractions(spark, d)).drop("raw_line_data")
+    return extract.shred_lines(P.extractions(spark, d))
 
 
 @query("line_rows_first_column", f"""
 SELECT file_name, rn AS line_number, product_name AS col_1, category AS col_2, quantity::DOUBLE AS col_3,
-  unit_price::DOUBLE AS col_4, CASE WHEN {SHORT} THEN line_total::DOUBLE END AS col_5 FROM numbered_lines""")
+  unit_price::DOUBLE AS col_4, CASE WHEN {SHORT} THEN line_total::DOUBLE END AS col_5, {_cells()} AS raw_line_data FROM numbered_lines""")
 def _(spark, d):
     cols = F.array(*map(F.lit, extract.LINE_COLUMNS))
     table = P.extractions(spark, d).select("file_name", extract.line_arrays(F.col("extraction")).alias("line_items"), cols.alias("table_cols"))
-    return extract.rows_by_first_column(table).drop("raw_line_data")
+    return extract.rows_by_first_column(table)
 
 
-@query("line_rows_positional", """
+@query("line_rows_positional", f"""
 SELECT file_name, rn AS line_number, rn::VARCHAR AS col_1, product_name AS col_2,
-  try_cast(nullif(regexp_replace(category, '[^0-9.]', '', 'g'), '') AS DOUBLE) AS col_3, quantity::DOUBLE AS col_4, unit_price::DOUBLE AS col_5 FROM numbered_lines""")
+  try_cast(nullif(regexp_replace(category, '[^0-9.]', '', 'g'), '') AS DOUBLE) AS col_3, quantity::DOUBLE AS col_4, unit_price::DOUBLE AS col_5, {_cells()} AS raw_line_data FROM numbered_lines""")
 def _(spark, d):
     """The first five configured columns as they come: the line number lands in col_1."""
     cols = F.array(*map(F.lit, extract.LINE_COLUMNS))
     table = P.extractions(spark, d).select("file_name", extract.line_arrays(F.col("extraction")).alias("line_items"), cols.alias("table_cols"))
-    return extract.rows_by_first_column(table, "positional").drop("raw_line_data")
+    return extract.rows_by_first_column(table, "positional")
 
 
 @query("display_rows", " UNION ALL ".join(
