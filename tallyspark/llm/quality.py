@@ -3,7 +3,8 @@
 Words and pairs of neighbouring words are hashed into buckets. Two multinomials over the buckets, smoothed by one, are
 counted: of the whole corpus, and of trusted target documents. A document's score is the mean over its n-grams of
 log(target share / corpus share), so long and short texts compare; it is kept if the score reaches a threshold, which is
-a low quantile of the scores of the trusted documents themselves.
+a low quantile of the scores of the trusted documents. For the threshold a trusted document is scored like a document that
+is not trusted: without the target counts of its own hash fold. Folds are of texts, so copies of a text share one.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.core import let
-from tallyspark.llm.common import WORD_SPACE, documents
+from tallyspark.llm.common import WORD_SPACE, documents, stored
 
 BUCKETS = 8192
-#: Trusted documents that the target side is fitted on: those of the least hashed ids among all of quality 1.
-TRUSTED = 10_000
+#: Hash folds of the trusted texts: each is scored by the target counts of the other folds.
+FOLDS = 16
+#: Trusted ids up to which their table is broadcast (16 MB of ids); beyond, Spark shuffles both sides.
+BROADCAST_IDS = 2_000_000
 #: Share of trusted documents (that pass the base rules) that may score under the threshold.
 LOSS = 0.002
 _BLANK = " \t\n\x0b\x0c\r"
@@ -60,9 +63,10 @@ def _buckets(names: Column) -> Column:
     return F.transform(F.concat(names, pairs), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
 
 
-def measures(text: Column, weights: list[float]) -> Column:
+def measures(text: Column, weights: list[float] | Column) -> Column:
     """A struct of the base counts and the score. Values used more than once are bound once: see ``let``."""
-    table = F.expr(f"array({', '.join(f'{w!r}D' for w in weights)})")  # one literal
+    table = weights if isinstance(weights, Column) else F.expr(
+        f"array({', '.join(f'{w!r}D' for w in weights)})")  # one literal
     whole = F.coalesce(text.cast("string"), F.lit(""))
 
     def score(names: Column) -> Column:
@@ -96,29 +100,52 @@ class Model:
         self.weights, self.threshold = weights, threshold
 
 
-def fit(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, loss: float = LOSS) -> Model:
-    """Corpus counts over all documents, target counts and threshold from at most ``trusted`` documents of quality 1.
+def fit(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> Model:
+    """Corpus counts over all documents, target counts and threshold over all documents of quality 1.
 
-    ``labels`` has doc_id and quality. Without trusted documents every document is kept.
+    ``labels`` has doc_id and quality. The weights count every trusted document; the threshold is the quantile ``loss`` of
+    the trusted documents' scores by the counts of the other folds. Without trusted documents every document is kept that
+    passes the base rules.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
     chosen = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct(
-    ).orderBy(F.xxhash64("_id"), "_id").limit(trusted)
-    chosen = F.broadcast(chosen.withColumn("_target", F.lit(1)))  # at most ``trusted`` rows
+    ).withColumn("_target", F.lit(1))
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     grams = own.join(chosen, own["doc_id"] == F.col("_id"), "left").select(
-        "_target", F.explode_outer(let(_names(_words(F.col("text"))), _buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_target").alias("target")).where(
-        "bucket IS NOT NULL").collect()  # at most BUCKETS rows
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
+        F.when(F.col("_target") == 1, fold).alias("fold"),
+        F.explode_outer(let(_names(_words(F.col("text"))), _buckets)).alias("bucket"))
+    counts = grams.groupBy("fold", "bucket").agg(F.count("*").alias("n")).where(
+        "bucket IS NOT NULL").collect()  # at most (FOLDS + 1) * BUCKETS rows
+    raw, target, part = [0] * BUCKETS, [0] * BUCKETS, [[0] * BUCKETS for _ in range(FOLDS)]
     for r in counts:
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    r_all, t_all = sum(raw) + BUCKETS, sum(target) + BUCKETS
-    weights = [math.log((t + 1) / t_all) - math.log((r + 1) / r_all) for t, r in zip(target, raw)]
+        raw[r["bucket"]] += r["n"]
+        if r["fold"] is not None:
+            target[r["bucket"]] += r["n"]
+            part[r["fold"]][r["bucket"]] = r["n"]
+    r_all = sum(raw) + BUCKETS
+
+    def ratios(trusted: list[int]) -> list[float]:
+        t_all = sum(trusted) + BUCKETS
+        return [math.log((t + 1) / t_all) - math.log((r + 1) / r_all) for t, r in zip(trusted, raw)]
+    weights = ratios(target)
     if not sum(target):
         return Model([0.0] * BUCKETS, -1.0)
-    of_target = own.join(chosen, own["doc_id"] == F.col("_id")).select(measures(F.col("text"), weights).alias("m"))
-    low = of_target.agg(F.percentile(F.when(~failed_base(F.col("m")), F.col("m.score")), F.lit(loss))).first()[0]
-    return Model(weights, -1.0 if low is None else low)
+    others = docs.sparkSession.createDataFrame(
+        [(k, ratios([t - x for t, x in zip(target, part[k])])) for k in range(FOLDS)], "fold int, weights array<double>")
+    of_target = own.join(chosen, own["doc_id"] == F.col("_id")).withColumn("fold", fold).join(
+        F.broadcast(others), "fold")  # FOLDS rows
+    scores = of_target.select(let(measures(F.col("text"), F.col("weights")), lambda m: F.when(
+        ~failed_base(m), m["score"])).alias("score"))
+    scores = stored(scores, "trusted-scores").where("score IS NOT NULL")  # a filter before would measure every text again
+    n = scores.count()
+    if not n:
+        return Model(weights, -1.0)
+    at = loss * (n - 1)
+    low = [r[0] for r in scores.orderBy("score").offset(int(at)).limit(2).collect()]  # the quantile, without all scores
+    return Model(weights, low[0] + (at - int(at)) * (low[-1] - low[0]))
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
