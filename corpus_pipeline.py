@@ -41,7 +41,7 @@ STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplica
           ("benchmark decontamination", decontamination), ("secret scans", secret_scan),
           ("best-fit packing", best_fit_packing)]
 
-#: Hashes, fingerprints, fitted weights and tokens have no SQL counterpart; tests compare the stages with brute force.
+#: Hashes, fingerprints, fitted weights and tokens have no SQL counterpart; README tells what tests compare with brute force.
 ORACLE_SQL = None
 
 
