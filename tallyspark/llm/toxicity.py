@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Spans, Texts, documents, keyed, texts_of
+from tallyspark.llm.common import Spans, Texts, documents, keyed, stored, texts_of
 
-#: Labelled documents of each grade class (toxic or not) that the model is fitted on, those of the least hashed ids.
+#: Labelled documents of each grade class (toxic or not) that the model is fitted on, those of the least hashes of id and text.
 SAMPLE = 3000
 #: Words in the model, the most telling ones, and in how many sample documents a word must be.
 FEATURES, LEAST_DOCS = 2000, 10
@@ -97,10 +97,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     label = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
         F.max("toxic").cast("int").alias("toxic"))
-    count = {r["toxic"]: r["count"] for r in label.groupBy("toxic").count().collect()}
-    chosen = [label.where(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample) for k in (0, 1)]
+    own = keyed(docs)
+    held = own.select("doc_id", "text_hash").join(label, F.col("doc_id") == F.col("_id")).select(
+        "_id", F.col("text_hash").alias("_hash"), "toxic").distinct()  # an id may carry several texts
+    held = stored(held, "labelled")
+    count = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
+    chosen = [held.where(F.col("toxic") == k).orderBy(F.xxhash64("_id", "_hash"), "_id", "_hash").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
-    own = keyed(docs).join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text_hash", "text", "toxic")
+    own = own.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select(
+        "doc_id", "text_hash", "text", "toxic").dropDuplicates(["doc_id", "text_hash"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -357,6 +357,19 @@ def test_toxicity(spark, empty):
     assert all(x.grade == 0 for x in toxicity.predict(frame, blank).collect()) and toxicity.predict(empty, model).count() == 0
 
 
+def test_toxicity_sample_counts_documents(spark, monkeypatch):
+    """One labelled id that carries many texts, and a repeated row, do not exceed the sample."""
+    rows = [(0, f"vile scum trash {k}") for k in range(60)] + [(1, "calm water")] * 30 + [(k, f"calm water {k}") for k in range(2, 30)]
+    seen = []
+    def spy(owner, feature, grade, weight, n_features):
+        seen.append((grade > 0).tolist())
+        return np.zeros(n_features), np.arange(toxicity.GRADES - 1.0)
+    monkeypatch.setattr(toxicity, "fit_ordinal", spy)
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"),
+                 spark.createDataFrame([(k, int(k == 0)) for k in range(30)], "doc_id long, toxic int"), sample=12)
+    assert [(sum(x), len(x) - sum(x)) for x in seen] == [(12, 12)]
+
+
 def test_pipeline(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination",
                                                       "secret scans", "best-fit packing"]
