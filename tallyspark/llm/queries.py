@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import (decontam, jaccard, packing, quality, secrets, sharding, substring, suffix, tokens,
+from tallyspark.llm import (decontam, jaccard, packing, prefixes, quality, secrets, sharding, substring, suffix, tokens,
                             toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_prefix_trie": prefixes.op11_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {}
