@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import (decontam, jaccard, packing, prefixes, quality, secrets, sharding, substring, suffix, tokens,
-                            toxicity)
+from tallyspark.llm import (decontam, fingerprints, jaccard, packing, prefixes, quality, search, secrets, sharding,
+                            substring, suffix, tokens, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_prefix_trie": prefixes.op11_prefix_trie,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_ranked_search": search.op13_ranked_search,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_ranked_search": search.ORACLE}
