@@ -217,3 +217,26 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     lengths, turns = rebuilt(stored(numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns"))
     return trie(stored(lengths, "lengths"), turns).drop("n_ends")
+
+
+# CRC-32 bit by bit: every byte is followed by eight shifts (-1); 3988292384 is the reversed polynomial
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+  lambda s: [ord(s), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x::BIGINT) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
+ORACLE = f"""
+WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+sizes AS (SELECT *, {_CRC} % 6 AS h FROM (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id)),
+convs AS (SELECT a.conv_id, a.n, a.h, least(a.h, coalesce(b.n, 0)) AS taken FROM sizes a LEFT JOIN sizes b ON b.conv_id = a.conv_id - a.conv_id % 100),
+turns AS (SELECT v.conv_id, o.pos, role, text FROM convs v JOIN own o ON o.conv_id = v.conv_id - v.conv_id % 100 AND o.pos <= taken
+  UNION ALL SELECT v.conv_id, o.pos - h + taken, role, text FROM convs v JOIN own o ON o.conv_id = v.conv_id AND o.pos > h),
+paths AS (SELECT conv_id, pos AS depth, length(text) AS size, string_agg(md5(length(role) || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY pos) AS ids FROM turns),
+prefixes AS MATERIALIZED (SELECT conv_id, depth, size, md5(ids) AS node, CASE WHEN depth > 1 THEN lag(md5(ids)) OVER (PARTITION BY conv_id ORDER BY depth) ELSE 'root' END AS parent FROM paths
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM convs),
+nodes AS MATERIALIZED (SELECT node, depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved FROM prefixes GROUP BY node, depth),
+children AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY parent),
+sums AS (SELECT p.node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM nodes v LEFT JOIN children k ON k.node = v.node JOIN prefixes p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.node),
+ends AS (SELECT node, sha256(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id)) AS ends_sha256
+  FROM prefixes p JOIN convs c ON p.conv_id = c.conv_id AND p.depth = taken + greatest(n - h, 0) GROUP BY node)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes v LEFT JOIN nodes u ON u.node = v.parent LEFT JOIN children k ON k.node = v.node JOIN sums s ON s.node = v.node LEFT JOIN ends e ON e.node = v.node"""

@@ -25,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_ranked_search": search.op13_ranked_search,
 }
 
-ORACLE: dict[str, str] = {"op13_ranked_search": search.ORACLE}
+ORACLE: dict[str, str] = {"op11_prefix_trie": prefixes.ORACLE, "op13_ranked_search": search.ORACLE}

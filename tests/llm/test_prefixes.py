@@ -6,8 +6,8 @@ import zlib
 from collections import defaultdict
 
 import duckdb
-import pytest
 
+import check
 from tallyspark.llm import prefixes
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth int, block string"
@@ -109,3 +109,12 @@ def test_only_turnless(spark, tmp_path):
     frame(spark, rows).write.parquet(str(tmp_path / "conversations.parquet"))
     got = rows_of(prefixes.op11_prefix_trie(spark, str(tmp_path)))
     assert got == want(rows) and got[0][:7] == (c, 0, None, 1, 0, 1, 0)
+
+
+def test_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    result = con.execute(prefixes.ORACLE)
+    sql = check.rows_of([c[0] for c in result.description], result.fetchall())
+    df = prefixes.op11_prefix_trie(spark, sf)
+    assert check.rows_of(df.columns, [tuple(r) for r in df.collect()]) == sql
