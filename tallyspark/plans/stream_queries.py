@@ -6,31 +6,66 @@ from pyspark.sql import functions as F
 
 from ..operators import config, extract, health
 from ..session import shared_dir
+from ..sources import files
 from ..streaming import jobs
 from . import projections as P
 from .base import query
 from .extract_queries import ROUND_TRIP
 
 
+PARTS, FILES = 4, 2
+
+
 def order_feed(spark, d):
-    """The order table as a stream of arriving documents."""
+    """The order table as a stream of names of arriving documents."""
     schema = P.read(spark, d, "orders").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/orders*.parquet")
+    return spark.readStream.schema(schema).parquet(f"{d}/orders*.parquet").select(P.file_name("o_orderkey").alias("file_name"))
+
+
+def arrivals(spark, d):
+    """The names of the orders' documents as files that arrive in four parts, a micro-batch each (by key modulo 4)."""
+    path = shared_dir(spark, "arrivals")
+    orders = P.read(spark, d, "orders")
+    for i in range(PARTS):
+        names = orders.where(F.col("o_orderkey") % PARTS == i).select(P.file_name("o_orderkey").alias("file_name"))
+        names.repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema("file_name string").option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def texts_of(spark, d):
-    """Turn a micro-batch of orders into documents with text."""
-    texts = P.invoice_texts(spark, d).select("file_name", "doc_type", "text")
-    return lambda batch: texts.join(batch.select(P.file_name("o_orderkey").alias("file_name")), "file_name", "left_semi")
+    """Makes documents with text of the names of a micro-batch."""
+    return lambda names: P.invoice_texts(spark, d, names).select("file_name", "doc_type", "text")
+
+
+def short_texts(spark, d, there):
+    """Like ``texts_of`` with one line of text, where ``there`` (by name and order) is true."""
+    orders = P.read(spark, d, "orders").withColumn("file_name", P.file_name("o_orderkey"))
+    text = F.concat(F.lit("Total: "), "o_totalprice")
+    return lambda names: orders.join(names, "file_name").select(
+        "file_name", F.lit("INVOICE").alias("doc_type"), F.when(there, text).alias("text"))
+
+
+def batch_number():
+    return F.substring_index("batch", "-", -1).cast("bigint").alias("batch")
 
 
-@query("stream_extract", ROUND_TRIP)
+@query("stream_extract", ROUND_TRIP.replace("FROM invoices", ", invoice_id % 4 AS batch FROM invoices"))
 def _(spark, d):
-    """All orders stream through extraction; a second run of the same stream finds nothing to do."""
-    base = shared_dir(spark, "stream")
+    """All orders stream through extraction in four micro-batches; a second run of the stream finds nothing to do."""
+    base, feed = shared_dir(spark, "stream"), arrivals(spark, d)
     for _ in range(2):
-        jobs.extract_stream(order_feed(spark, d), config.default_config(spark), base, P.run_time(), texts_of(spark, d)).awaitTermination()
-    return jobs.results(spark, base, "fields").select("file_name", *[f"field_{i}" for i in range(1, 11)])
+        jobs.extract_stream(feed, config.default_config(spark), base, P.run_time(), texts_of(spark, d)).awaitTermination()
+    return jobs.results(spark, base, "fields").select("file_name", *[f"field_{i}" for i in range(1, 11)], batch_number())
+
+
+@query("stream_interval", "SELECT printf('invoice_%08d.pdf', o_orderkey) AS file_name, round(o_totalprice, 2) AS field_10, o_orderkey % 4 AS batch FROM orders")
+def _(spark, d):
+    """The same on a timer, as a stream that never ends: followed until everything that arrived has a result, then stopped."""
+    base, total = shared_dir(spark, "stream"), P.read(spark, d, "orders").count()
+    timed = jobs.extract_stream(arrivals(spark, d), config.default_config(spark), base, P.run_time(),
+                                short_texts(spark, d, F.lit(True)), every="1 second")
+    jobs.follow(timed, lambda: jobs.results(spark, base, "fields").count() >= total)
+    return jobs.results(spark, base, "fields").select("file_name", "field_10", batch_number())
 
 
 @query("stream_lines", """
@@ -42,21 +77,39 @@ def _(spark, d):
 
 
 @query("stream_errors", """
-SELECT printf('invoice_%08d.pdf', o_orderkey) AS file_name, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 1 THEN 'document has no text' END AS error FROM orders""")
+SELECT printf('invoice_%08d.pdf', o_orderkey) AS file_name, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 1 THEN 'document has no text' END AS error,
+  CASE WHEN o_orderstatus <> 'O' THEN 0 WHEN o_orderkey % 2 = 1 THEN 3 WHEN o_orderkey % 4 = 2 THEN 2 ELSE 1 END AS failures
+FROM orders""")
 def _(spark, d):
-    """Open orders have no text yet and end up as errors; half of them have one when they are tried again."""
+    """Open orders have no text at first. A second stream tries them again by itself: every fourth has a text by the second
+    try, every other fourth by the third; the odd ones fail three times and are given up."""
     base, conf = shared_dir(spark, "stream"), config.default_config(spark)
-    text = F.concat(F.lit("Total: "), "o_totalprice")
+    closed, key = F.col("o_orderstatus") != "O", F.col("o_orderkey")
+    jobs.extract_stream(order_feed(spark, d), conf, base, P.run_time(), short_texts(spark, d, closed)).awaitTermination()
+    later = (key % 4 == 0) | ((key % 4 == 2) & (F.col("attempt") == 3))
+    again = jobs.retry_stream(short_texts(spark, d, later), conf, base, P.run_time(), wait_ms=100, attempts=3, every="1 second")
 
-    def documents(orders, there):
-        return orders.select(P.file_name("o_orderkey").alias("file_name"), F.lit("INVOICE").alias("doc_type"),
-                             F.when(there, text).alias("text"))
+    def settled():
+        return not jobs.open_errors(spark, base).groupBy("file_name").agg(F.max("attempt").alias("n")).where("n < 3").head(1)
 
-    closed, even = F.col("o_orderstatus") != "O", F.col("o_orderkey") % 2 == 0
-    jobs.extract_stream(order_feed(spark, d), conf, base, P.run_time(), lambda batch: documents(batch, closed)).awaitTermination()
-    jobs.retry(documents(P.read(spark, d, "orders"), closed | even), conf, base, P.run_time(), "1")
+    jobs.follow(again, settled)
+    failures = jobs.results(spark, base, "errors").groupBy("file_name").agg(F.count("*").alias("failures"))
     good = jobs.results(spark, base, "fields").select("file_name", F.lit(None).cast("string").alias("error"))
-    return good.unionByName(jobs.open_errors(spark, base).select("file_name", "error").distinct())
+    state = good.unionByName(jobs.open_errors(spark, base).select("file_name", "error").distinct())
+    return state.join(failures, "file_name", "left").fillna(0, ["failures"])
+
+
+@query("stream_progress", """
+SELECT b AS batch_id, count(*) AS rows_in, count(*) FILTER (o_orderstatus <> 'O') AS processed, count(*) FILTER (o_orderstatus = 'O') AS failed,
+  (SELECT count(*) FROM orders) - sum(count(*) FILTER (o_orderstatus <> 'O')) OVER (ORDER BY b)::BIGINT AS waiting
+FROM (SELECT o_orderkey % 4 AS b, o_orderstatus FROM orders) GROUP BY b""")
+def _(spark, d):
+    """What every micro-batch took in and what was left after it, from the query's progress and the stored results."""
+    base = shared_dir(spark, "stream")
+    there = short_texts(spark, d, F.col("o_orderstatus") != "O")
+    done = jobs.extract_stream(arrivals(spark, d), config.default_config(spark), base, P.run_time(), there)
+    done.awaitTermination()
+    return jobs.backlog_by_batch(done, P.raw_documents(spark, d), base)
 
 
 @query("stream_backlog", "SELECT doc_type, count(*) AS waiting FROM raw_documents WHERE file_name NOT IN (SELECT file_name FROM fields) GROUP BY 1")
@@ -74,11 +127,41 @@ def _(spark, d):
     """Arriving names are registered once, however often the stream is started."""
     base = shared_dir(spark, "ingest")
     for _ in range(2):
-        listing = order_feed(spark, d).select(P.file_name("o_orderkey").alias("file_name"))
-        jobs.register_stream(listing, base, P.run_time(), "INVOICE", "in/").awaitTermination()
+        jobs.register_stream(order_feed(spark, d), base, P.run_time(), "INVOICE", "in/").awaitTermination()
     return jobs.registry(spark, base).select("file_name", "file_path", "extracted")
 
 
+def folder_name(path):
+    """``s_suppkey=7`` of a path ``.../s_suppkey=7/part-0.txt``."""
+    return F.element_at(F.split(path, "/"), -2)
+
+
+def supplier_files(spark, d):
+    """A text file per supplier, in a folder of its own."""
+    path = shared_dir(spark, "incoming")
+    text = F.concat_ws("\n", "s_name", F.concat(F.lit("Total: $"), F.format_number("s_acctbal", 2)))
+    P.read(spark, d, "supplier").select("s_suppkey", text.alias("text")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    return path
+
+
+@query("text_files", "SELECT 's_suppkey=' || s_suppkey AS file_name, s_name || chr(10) || 'Total: $' || format('{:,.2f}', s_acctbal) || chr(10) AS text FROM supplier")
+def _(spark, d):
+    """Files read whole, with names from their folders."""
+    return files.documents(spark, supplier_files(spark, d), "*.txt", folder_name)
+
+
+@query("register_files", """
+SELECT 's_suppkey=' || s_suppkey AS file_name, 'in/s_suppkey=' || s_suppkey AS file_path, length(s_name || 'Total: $' || format('{:,.2f}', s_acctbal)) + 2 AS file_size_bytes,
+  false AS extracted FROM supplier""")
+def _(spark, d):
+    """Arriving files are registered with their size; a second start of the stream finds none that is new."""
+    base, path = shared_dir(spark, "ingest"), supplier_files(spark, d)
+    for _ in range(2):
+        listing = jobs.arriving_files(spark, path, "*.txt", name=folder_name)
+        jobs.register_stream(listing, base, P.run_time(), "INVOICE", "in/").awaitTermination()
+    return jobs.registry(spark, base).select("file_name", "file_path", "file_size_bytes", "extracted")
+
+
 HEALTH_SQL = """
 SELECT count(*) AS total_files, count(*) FILTER (extracted) AS extracted_ok, count(extraction_error) AS failed_files,
   count(*) FILTER (NOT extracted AND extraction_error IS NULL) AS pending_files,
@@ -124,6 +207,19 @@ def _(spark, d):
     return fires.unionByName(health.alert(health_row(spark, d), now, 1000)).drop("fired_at")
 
 
+@query("alert_ticks", f"""
+SELECT 'EXTRACTION_FAILURE_ALERT' AS alert_name, recent_failures AS failed_count, total_files, 'Extraction failure threshold exceeded: ' ||
+  recent_failures || ' failures in last 24h out of ' || total_files || ' total files.' AS message, tick
+FROM ({HEALTH_SQL.format('staged_at', '1000 DAY')}), (VALUES (0::BIGINT), (1), (2)) t(tick) WHERE recent_failures >= 1""")
+def _(spark, d):
+    """The alert stream for three ticks of its clock: a row per tick as long as enough documents failed lately."""
+    base = shared_dir(spark, "alerts")
+    ticking = jobs.alert_stream(spark, lambda: P.raw_documents(spark, d), base, lambda: P.moment("2001-08-01 00:00:00"), threshold=1,
+                                failure_time="staged_at", every="1 second", hours=24000)
+    jobs.run_ticks(ticking, 3)
+    return jobs.alerts(spark, base).where("tick < 3").drop("fired_at")
+
+
 @query("reextract", """
 SELECT f.record_id, f.file_name, CASE WHEN doc_type = 'INVOICE' THEN 'read again' ELSE f.status END AS state,
   f.field_10::DOUBLE AS field_10, f.field_7 AS field_7

@@ -31,11 +31,15 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder for written tables and stream checkpoints.
 
     The cluster names a shared location in ``spark.checkpoint.dir``; where that is unset, folders are made in the
-    warehouse, which all executors reach as well. Callers clear them when the results are no longer needed.
+    warehouse, if a place is named for that or there is only this machine. Spark's default warehouse is a folder of the
+    driver, which other machines do not see. Callers clear the folders when the results are no longer needed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        named = spark.sparkContext.getConf().contains("spark.sql.warehouse.dir")
+        if not named and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir or spark.sql.warehouse.dir")
         root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

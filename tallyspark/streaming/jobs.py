@@ -1,23 +1,28 @@
-"""Continuous processing: registration, extraction and alerts as Structured Streaming jobs.
+"""Continuous processing: registration, extraction, retry and alerts as Structured Streaming jobs.
 
 Results of a micro-batch go to their own ``batch=<query id>-<batch id>`` folder, which a repeated batch
-overwrites, so every document is stored once even when a batch is tried again. The query id is the
-checkpoint's: under a new checkpoint, whose batches count from 0 again, earlier results stay, and their
-documents are skipped. The registry is never changed from a stream; the state of a document follows from
-registry, results and errors (see ``status``).
+overwrites, so every document is stored once even when a batch is tried again. Which names a stream has
+seen is kept in its state store (RocksDB), so a batch costs the same however much has been processed
+before. The query id is the checkpoint's: under a new checkpoint, whose state is empty and whose batches
+count from 0 again, earlier results stay, and their documents are looked up and skipped. The registry is
+never changed from a stream; the state of a document follows from registry, results and errors (see ``status``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import schemas
-from ..functions.core import number_rows
+from ..functions.core import number_rows, small_table
 from ..operators import extract, health, ingest, tables
 from ..session import shared_dir
+from ..sources import files
 
 RESULTS = {
     "fields": "file_name string, field_1 string, field_2 string, field_3 string, field_4 date, field_5 date, "
@@ -25,7 +30,12 @@ RESULTS = {
               "raw_extraction string, status string, extracted_at timestamp_ntz",
     "lines": "file_name string, line_number int, col_1 string, col_2 string, col_3 decimal(10,2), "
              "col_4 decimal(10,2), col_5 decimal(12,2), raw_line_data string",
-    "errors": "file_name string, error string, failed_at timestamp_ntz",
+    "errors": "file_name string, error string, failed_at timestamp_ntz, attempt int",
+}
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
@@ -40,22 +50,34 @@ def results(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{base}/{name}")
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the checkpoint keeps for its query."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
 def batch_key(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
     """A batch's number under the id that the checkpoint keeps for its query."""
-    query_id = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
-    return f"{query_id}-{batch_id}"
+    return f"{query_id(spark, checkpoint)}-{batch_id}"
 
 
-def store(docs: DataFrame, config: DataFrame, base: str, now: Column, batch: str, model=None) -> None:
+def store(docs: DataFrame, config: DataFrame, base: str, now: Column, batch: str, model=None,
+          attempts: DataFrame | None = None) -> None:
     """Extract documents (by a model if one is given) and write their fields, lines and errors as one batch.
 
-    Texts are read once: what they say is written first, over what the batch before left there, and the three tables are
-    made from that.
+    Texts are read once: what they say is written to a folder of the batch's own first, the three tables are
+    made from that, and the folder is removed. ``attempts`` (file_name, attempt) numbers tries after the first.
     """
-    path = f"{base}/read"
-    extract.read_documents(docs, config, model).write.mode("overwrite").parquet(path)
-    for name, df in extract.split_results(docs.sparkSession.read.parquet(path), now).items():
+    spark = docs.sparkSession
+    path = f"{base}/read/{batch}"
+    extract.read_documents(extract.dealt(docs), config, model).write.mode("overwrite").parquet(path)
+    parts = extract.split_results(spark.read.parquet(path), now)
+    if attempts is None:
+        parts["errors"] = parts["errors"].withColumn("attempt", F.lit(1))
+    else:
+        parts["errors"] = parts["errors"].join(attempts.select("file_name", "attempt"), "file_name")
+    for name, df in parts.items():
         df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch}")
+    files.remove(spark, path)
 
 
 def start(writer, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -65,25 +87,126 @@ def start(writer, checkpoint: str, every: str | None) -> StreamingQuery:
     return writer.start()
 
 
+def start_keyed(spark: SparkSession, writer, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Like ``start`` for a query with keyed state; a query takes its settings when it starts, the session keeps its own."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        return start(writer, checkpoint, every)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def follow(query: StreamingQuery, done: Callable[[], bool], timeout: float = 600) -> StreamingQuery:
+    """Let a timed query run until ``done()``, then stop it; an error of the query, or too long a wait, is raised."""
+    end = time.monotonic() + timeout
+    try:
+        while not done():
+            if query.exception() is not None:
+                raise query.exception()
+            if time.monotonic() > end:
+                raise TimeoutError(f"stream did not get there in {timeout} s: {query.status}")
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    return query
+
+
+def run_ticks(query: StreamingQuery, ticks: int, timeout: float = 600) -> StreamingQuery:
+    """Let a timed query finish so many micro-batches, then stop it."""
+    return follow(query, lambda: query.lastProgress is not None and query.lastProgress.batchId >= ticks - 1, timeout)
+
+
 def extract_stream(feed: DataFrame, config: DataFrame, base: str, now: Column, to_documents=None,
                    every: str | None = None, model=None) -> StreamingQuery:
-    """Extract the documents of a stream of (file_name, doc_type, text) rows.
+    """Extract the documents of a stream of (file_name, doc_type, text) rows, each name once.
 
-    ``to_documents`` may turn the rows of a micro-batch into such rows first, e.g. by joining stored
-    tables. Batches without new files do no work. Documents that have a result, and repeated names
-    within a batch, are skipped.
+    Names seen are keyed state, for which rows are exchanged by name; to keep texts out of that, let the feed
+    hold names only and give ``to_documents``, which makes documents of the new names of a micro-batch (a
+    stored frame, so it may be used several times). Batches without new names do no work.
     """
     spark = feed.sparkSession
     prepare(spark, base)
+    checkpoint = f"{base}/_checkpoint"
+    own = None
+
+    def elsewhere(key: str) -> DataFrame | None:
+        """Names with a result of another checkpoint or a retry, if there were any when the stream started."""
+        nonlocal own
+        if own is None:
+            done = results(spark, base, "fields").where(~F.col("batch").startswith(key.rpartition("-")[0]))
+            own = (done.select("file_name"), bool(done.head(1)))
+        return own[0] if own[1] else None
 
     def process(batch: DataFrame, batch_id: int) -> None:
         key = batch_key(spark, checkpoint, batch_id)
-        docs = (to_documents(batch) if to_documents else batch).dropDuplicates(["file_name"])
-        earlier = results(spark, base, "fields").where(F.col("batch") != key).select("file_name")
-        store(docs.join(earlier, "file_name", "left_anti"), config, base, now, key, model)
+        known = elsewhere(key)
+        new = batch if known is None else batch.join(known, "file_name", "left_anti")
+        if to_documents is None:
+            return store(new, config, base, now, key, model)
+        path = f"{base}/read/names-{key}"
+        new.write.mode("overwrite").parquet(path)
+        store(to_documents(spark.read.schema(new.schema).parquet(path)), config, base, now, key, model)
+        files.remove(spark, path)
 
-    checkpoint = f"{base}/_checkpoint"
-    return start(feed.writeStream.foreachBatch(process), checkpoint, every)
+    once = feed.dropDuplicates(["file_name"])
+    return start_keyed(spark, once.writeStream.foreachBatch(process), checkpoint, every)
+
+
+class RetryTimer(StatefulProcessor):
+    """Gives a failed document back when its wait is over; one that failed ``most`` times is given up.
+
+    Keyed by file name: the number of the next try is kept, and a timer of processing time.
+    """
+
+    def __init__(self, wait_ms: int, most: int):
+        self.wait_ms, self.most = wait_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next_try = handle.getValueState("next_try", "attempt int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        failed = max(r.attempt for r in rows)
+        known = self.next_try.get()[0] if self.next_try.exists() else 0
+        if known <= failed < self.most:  # the same failure may come twice
+            self.next_try.update((failed + 1,))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield Row(file_name=key[0], attempt=self.next_try.get()[0])
+
+    def close(self) -> None:
+        pass
+
+
+def retry_stream(to_documents, config: DataFrame, base: str, now: Column, wait_ms: int = 600_000, attempts: int = 3,
+                 every: str = "1 minute", model=None) -> StreamingQuery:
+    """Read failed documents again by themselves, ``wait_ms`` after each failure and ``attempts`` times in all.
+
+    The source is the table of errors, which this stream itself adds to when a try fails again. ``to_documents``
+    makes documents, as they are now, from the (file_name, attempt) rows that are due.
+    """
+    spark = config.sparkSession
+    prepare(spark, base)
+    checkpoint = f"{base}/_checkpoint_retry"
+
+    def process(due: DataFrame, batch_id: int) -> None:
+        key = f"retry-{batch_key(spark, checkpoint, batch_id)}"
+        path = f"{base}/read/names-{key}"
+        due.write.mode("overwrite").parquet(path)
+        due = spark.read.schema(due.schema).parquet(path)
+        if due.head(1):
+            store(to_documents(due), config, base, now, key, model, due)
+        files.remove(spark, path)
+
+    failed = spark.readStream.schema(RESULTS["errors"]).option("recursiveFileLookup", True).parquet(f"{base}/errors")
+    due = failed.groupBy("file_name").transformWithState(
+        RetryTimer(wait_ms, attempts), "file_name string, attempt int", "Append", "ProcessingTime")
+    return start_keyed(spark, due.writeStream.foreachBatch(process), checkpoint, every)
 
 
 def open_errors(spark: SparkSession, base: str, batch: str = "") -> DataFrame:
@@ -93,15 +216,16 @@ def open_errors(spark: SparkSession, base: str, batch: str = "") -> DataFrame:
 
 
 def retry(documents: DataFrame, config: DataFrame, base: str, now: Column, attempt: str, model=None) -> None:
-    """Read the failed documents again, from (file_name, doc_type, text) as it is now.
+    """Read the failed documents again once, from (file_name, doc_type, text) as it is now.
 
-    The stream's checkpoint has passed them, so this is a job of its own. An attempt of the same name
-    replaces what the earlier one stored.
+    For a call by hand; ``retry_stream`` does it by itself. An attempt of the same name replaces what the
+    earlier one stored.
     """
+    spark = documents.sparkSession
     key = f"retry-{attempt}"
-    failed = open_errors(documents.sparkSession, base, key).select("file_name")
-    again = documents.dropDuplicates(["file_name"]).join(failed, "file_name", "left_semi")
-    store(again, config, base, now, key, model)
+    failed = open_errors(spark, base, key).groupBy("file_name").agg((F.max("attempt") + 1).alias("attempt"))
+    again = documents.dropDuplicates(["file_name"]).join(failed.select("file_name"), "file_name", "left_semi")
+    store(again, config, base, now, key, model, failed)
 
 
 def register_stream(listing: DataFrame, base: str, now: Column, doc_type: Column | str = "INVOICE",
@@ -125,13 +249,14 @@ def registry(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{base}/raw")
 
 
-def arriving_files(spark: SparkSession, path: str, glob: str = "*", per_trigger: int = 1000) -> DataFrame:
-    """Stream of new files below a folder (name and size); contents are not read."""
+def arriving_files(spark: SparkSession, path: str, glob: str = "*", per_trigger: int = 1000,
+                   name: Callable[[Column], Column] = files.base_name) -> DataFrame:
+    """Stream of new files below a folder (name and size); contents are not read. ``name`` makes a name of a path."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     return (
         spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", per_trigger).load(path)
-        .select(F.substring_index("path", "/", -1).alias("file_name"), F.col("length").alias("file_size_bytes"))
+        .select(name(F.col("path")).alias("file_name"), F.col("length").alias("file_size_bytes"))
     )
 
 
@@ -146,24 +271,60 @@ def arriving_texts(spark: SparkSession, path: str, doc_type: Column, glob: str =
 
 
 def alert_stream(spark: SparkSession, read_registry, base: str, as_of=F.current_timestamp, threshold: int = 3,
-                 failure_time: str = "extracted_at", every: str = "60 minutes") -> StreamingQuery:
+                 failure_time: str = "extracted_at", every: str = "60 minutes", hours: int = 24) -> StreamingQuery:
     """Append an alert row at every tick at which enough documents failed lately."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
     def check(_: DataFrame, batch_id: int) -> None:
         at = as_of().cast("timestamp_ntz")
-        rows = health.alert(health.health(read_registry(), at, failure_time), at, threshold)
+        rows = health.alert(health.health(read_registry(), at, failure_time, hours), at, threshold)
         rows.write.mode("overwrite").parquet(f"{base}/alerts/batch={batch_key(spark, checkpoint, batch_id)}")
 
     checkpoint = f"{base}/_checkpoint_alerts"
     return start(ticks.writeStream.foreachBatch(check), checkpoint, every)
 
 
+def alerts(spark: SparkSession, base: str) -> DataFrame:
+    """The alert history that ``alert_stream`` has written, with the number of the tick."""
+    schema = "alert_name string, fired_at timestamp_ntz, failed_count long, total_files long, message string, batch string"
+    rows = spark.read.schema(schema).parquet(f"{base}/alerts")
+    return rows.withColumn("tick", F.substring_index("batch", "-", -1).cast("long")).drop("batch")
+
+
 def processed_message(result_rows: DataFrame) -> DataFrame:
     return result_rows.agg(F.count("*").alias("n")).select(
         F.format_string("Processed %d new invoice(s)", "n").alias("message"))
 
 
+def batch_progress(query: StreamingQuery) -> DataFrame:
+    """(batch_id, rows_in) of the micro-batches that the query still remembers (the newest 100 by default).
+
+    A query also reports when a tick found nothing new; the greatest count of a batch is the one it worked on.
+    """
+    seen = [(p.batchId, p.numInputRows) for p in query.recentProgress]
+    rows = small_table(SparkSession.active(), seen, "batch_id long, rows_in long")
+    return rows.groupBy("batch_id").agg(F.max("rows_in").alias("rows_in"))
+
+
+def backlog_by_batch(query: StreamingQuery, raw: DataFrame, base: str) -> DataFrame:
+    """What was left after each micro-batch of ``extract_stream``: rows_in, processed, failed, waiting.
+
+    ``waiting`` is the number of registered documents (``raw``) without a result of this or an earlier batch.
+    Results are counted per batch before they meet the progress, a row per batch.
+    """
+    spark = raw.sparkSession
+    batch = F.substring_index("batch", "-", -1).cast("long").alias("batch_id")
+    named = raw.select("file_name").distinct()
+    counted = lambda name, out: results(spark, base, name).where(
+        F.col("batch").startswith(query.id)).join(named, "file_name", "left_semi").groupBy(batch).agg(F.count_distinct("file_name").alias(out))
+    total = named.agg(F.count("*")).scalar()
+    upto = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        batch_progress(query).join(counted("fields", "processed"), "batch_id", "left").join(counted("errors", "failed"), "batch_id", "left")
+        .fillna(0, ["processed", "failed"]).withColumn("waiting", total - F.sum("processed").over(upto))
+    )
+
+
 def backlog(raw: DataFrame, result_rows: DataFrame) -> DataFrame:
     """Registered documents without a result, by type."""
     return (

@@ -1,6 +1,8 @@
 import json
 import shutil
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tallyspark import schemas
@@ -115,6 +117,38 @@ def test_json_array_and_csv(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "csv"), df.schema).collect() == df.collect()
 
 
+def test_one_csv_file(spark, tmp_path):
+    path = str(tmp_path / "one.csv")
+    rows = [(i, f"x,{i}", 'say "hi"\nthere') for i in range(100)]
+    df = spark.createDataFrame(rows, 'id long, `a,b` string, c string').repartition(7)
+    for _ in range(2):
+        files.export_csv(df, path, order=["id"])
+    with open(path) as f:
+        assert f.readline() == 'id,"a,b",c\n' and f.readline().startswith('0,"x,0"')
+    assert [tuple(r) for r in files.read_csv(spark, path, df.schema).collect()] == rows
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["one.csv"]
+    files.export_csv(df.limit(0), path)
+    assert open(path).read() == 'id,"a,b",c\n'
+
+
+def test_json_array_in_parallel(spark, tmp_path):
+    rows = [{"a": i, "b": f"text, {i}"} if i % 3 else {"a": i} for i in range(5000)]
+    (tmp_path / "t.json").write_text(json.dumps(rows, indent=2))
+    (tmp_path / "u.json").write_text("\ufeff" + json.dumps(rows[:3]))
+    (tmp_path / "v.json").write_text("[]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = files.json_array(spark, str(tmp_path / "t.json"), "a int, b string")
+        assert got.rdd.getNumPartitions() > 5 and sorted((r.a, r.b) for r in got.collect()) == sorted((x["a"], x.get("b")) for x in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert files.json_array(spark, str(tmp_path), "a int, b string").count() == 5003
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "t.json").write_text('[{"a": 1, "b": "a } in a text"}]')
+    with pytest.raises(Exception):
+        files.json_array(spark, str(tmp_path / "bad"), "a int, b string").collect()
+
+
 def test_listing_and_texts(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.txt").write_text("x\fy")
