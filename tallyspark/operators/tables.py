@@ -43,16 +43,19 @@ def record_errors(raw: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, id_col: str | None = None,
-           keep: tuple[str, ...] = ()) -> DataFrame:
+           keep: tuple[str, ...] = (), newest: str | None = None, start: DataFrame | None = None) -> DataFrame:
     """Rows of ``new`` replace rows of ``old`` with the same key; the rest is inserted.
 
     A replaced row keeps its id, the columns in ``keep`` and the columns ``new`` does not have.
     Inserted rows get the next free ids. A change set that is small enough is broadcast by Spark,
     so the stored table is not shuffled. ``new`` is read more than once: store it first when it is costly.
-    Of several changes with one key the greatest row counts, compared column by column.
+    Of several changes with one key the one with the greatest ``newest`` column counts (a time or a number;
+    NULL is oldest), among equal ones, or without that argument, the greatest row, compared column by column.
+    ``start`` is a one-row frame with the highest id in use, where ``old`` is not the whole table.
     """
     rest = [c for c in new.columns if c != key]
-    new = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*") if rest else new.distinct()
+    order = F.struct(newest, *rest) if newest else F.struct(*rest)
+    new = new.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*") if rest else new.distinct()
     new = new.select(key, *rest)
     fixed = {key, id_col, *keep}
     changed = [c for c in new.columns if c in old.columns and c not in fixed]
@@ -65,7 +68,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, id_col: str | None = None,
     known = old.select(key).join(new.select(key), key, "left_semi")
     added = new.join(known, key, "left_anti")
     if id_col is not None:
-        added = number_rows(added.drop(id_col), key, id_col, start=old.agg(F.max(id_col)))
+        added = number_rows(added.drop(id_col), key, id_col, start=old.agg(F.max(id_col)) if start is None else start)
     return kept.unionByName(added, allowMissingColumns=True)
 
 
