@@ -136,11 +136,15 @@ def json_number_text(c: Column, path: str) -> Column:
 
 # --- reproducible picks ---------------------------------------------------------------------------
 
+def key_text(*keys) -> Column:
+    """Keys as one text, joined by ``|``."""
+    return F.concat_ws("|", *[(k if isinstance(k, Column) else F.lit(k)).cast("string") for k in keys])
+
+
 def pick(n: int | Column, *keys) -> Column:
-    """0 .. n-1, the same for the same keys on any cluster."""
+    """0 .. n-1, the same for the same keys on any cluster and in any engine: 48 bits of their md5, modulo n."""
     n = F.lit(n) if isinstance(n, int) else n
-    cols = [k if isinstance(k, Column) else F.lit(k) for k in keys]
-    return F.pmod(F.xxhash64(*cols), n.cast("long"))
+    return F.pmod(F.conv(F.substring(F.md5(key_text(*keys)), 1, 12), 16, 10).cast("long"), n.cast("long"))
 
 
 def pick_between(lo: int, hi: int, *keys) -> Column:

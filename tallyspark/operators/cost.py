@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import correlation, let, mean_of, one_row, rate, since
+from ..functions.core import correlation, let, mean_of, one_row, rate, since, small_table
 from ..functions.values import TOKENS_PER_PAGE
+from ..session import shared_dir
 
 UNKNOWN = "UNKNOWN"
 #: Most characters of an anchor of a name; anchors under ``SHORT`` characters are taken if that saves ``CHANCE`` times the
@@ -92,7 +93,7 @@ def match_documents(call_df: DataFrame, raw: DataFrame, columns: list[str]) -> D
     The condition is ``query_text ILIKE '%' || file_name || '%'``: ``_`` in a name stands for any
     character, a text that holds several names counts for each, a text without any stays with NULLs.
 
-    Names have forms (length, places of ``_``). Wherever the anchor of a form (see ``_name_forms``) occurs in a text, the
+    Names have forms (length, places of ``_``), which are written to the shared folder once. Wherever the anchor of a form (see ``_name_forms``) occurs in a text, the
     piece with the form's length is cut out, masked like the names of that form, and compared with them for equality, all
     by joins on equal keys. Names must not hold ``%`` or backslashes, which ``ingest.sanitize`` removes; equal query ids
     have equal texts.
@@ -101,7 +102,11 @@ def match_documents(call_df: DataFrame, raw: DataFrame, columns: list[str]) -> D
     texts = call_df.where(F.length("query_text") > 0).select("query_id", F.lower("query_text").alias("_t")).distinct()
     window = F.substring("_t", F.col("_start"), F.col("_len"))
     masked = F.aggregate("_mask", window, lambda w, p: F.overlay(w, F.lit("_"), p, F.lit(1)))
-    found = _places(texts, _name_forms(docs)).join(texts, "query_id").where(
+    path = shared_dir(raw.sparkSession, "name-forms")
+    forms = _name_forms(docs)
+    forms.write.parquet(path)
+    forms = raw.sparkSession.read.schema(forms.schema).parquet(path)
+    found = _places(texts, forms).join(texts, "query_id").where(
         "_start + _len - 1 <= length(_t)").select("query_id", masked.alias("_name")).distinct()
     return call_df.join(found.join(docs, "_name").drop("_name"), "query_id", "left")
 
@@ -288,6 +293,15 @@ def resource_daily(metering: DataFrame, resource: str, as_of: Column, days: int)
     )
 
 
+def resource_totals(metering: DataFrame, resources: list[str], as_of: Column, days: int, rate_per_credit: float = 0.0) -> DataFrame:
+    """Credits of each resource over the days, and in currency if there is a rate; one row per resource, unused ones with 0."""
+    used = metering.where(F.col("resource").isin(resources) & since(F.col("start_time"), as_of, days))
+    per_day = used.groupBy("resource", F.to_date("start_time").alias("_day")).agg(F.sum("credits_used").alias("_c"))
+    totals = per_day.groupBy("resource").agg(F.sum("_c").alias("credits"), F.count("*").alias("days_used"))
+    all_of = small_table(metering.sparkSession, [(r,) for r in resources], "resource string")
+    return in_currency(all_of.join(totals, "resource", "left").fillna(0, ["credits", "days_used"]), "credits", rate_per_credit, "estimate")
+
+
 def in_currency(df: DataFrame, credits_col: str, rate_per_credit: float, out: str) -> DataFrame:
     """Add an estimate in currency; without a positive rate the frame stays as it is."""
     return df if rate_per_credit <= 0 else df.withColumn(out, F.round(F.col(credits_col) * rate_per_credit, 2))

@@ -2,7 +2,8 @@
 
 The default extractor reads labelled lines and pipe-separated tables out of the text with built-in
 expressions. A model can be plugged in with ``with_model``. Every later step is row-local: one
-document stays one row from its text to its stored payload, and no step shuffles.
+document stays one row from its text to its stored payload, and no step shuffles. Jobs deal documents
+over the tasks (``dealt``) before they read them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,15 @@ _JOIN = "\u0001"
 
 # --- extractors ----------------------------------------------------------------------------------
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """Documents over all tasks by a hash of their name, for a job that reads them next.
+
+    Reading costs by the document and hardly by the byte, while scans and adaptive exchanges cut partitions by bytes:
+    left to them, a file of 100,000 short documents is one task's work.
+    """
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_name")
+
+
 def _logical_lines(text: Column) -> Column:
     """Lines, with a line that has neither label nor table cell glued to the one before it."""
     unix = F.regexp_replace(text, r"\r\n?", "\n")
@@ -67,14 +77,53 @@ def _answer(spec: Column, labels: Column, texts: Column) -> Column:
     return F.struct(spec["name"].alias("k"), F.get(F.array_compact(found), F.lit(0)).alias("v"))
 
 
+def _cells(line: Column) -> Column:
+    return F.split(F.trim(line), r"\s*\|\s*", -1)
+
+
+def _table_rows(lines: Column, wanted: Column) -> Column:
+    """Rows of the pipe-separated tables among ``lines``, each as an array of cells in the order of ``wanted``.
+
+    One pass over the lines: a line most of whose cells name wanted columns (in any case and order) is a header and holds for
+    the rows below it, until the next header. A line without a pipe between two tables changes nothing, so a table that goes on
+    below a gap keeps its columns. Where no line is a header, the first one with a pipe counts as one, columns by position.
+    """
+    def under(known: Column) -> Column:
+        def named(cells: Column) -> Column:
+            """Position of each wanted column in a header, from 1; one without its name takes an unknown name's place, else 0."""
+            by_place = lambda x, i: F.when(~F.array_contains(known, F.get(x, i)), i + 1).otherwise(0)
+            return let(F.transform(cells, lambda c: F.lower(c)), lambda x: F.transform(known, lambda w, i: F.coalesce(
+                F.nullif(F.array_position(x, w).cast("int"), F.lit(0)), by_place(x, i))))
+
+        def is_header(cells: Column) -> Column:
+            return 2 * F.size(F.array_intersect(F.transform(cells, lambda c: F.lower(c)), known)) > F.size(cells)
+
+        def read(table: Column) -> Column:
+            def rows(start: Column, end: Column, places: Column) -> Column:
+                return F.transform(F.slice(table, start + 2, F.greatest(end - start - 1, F.lit(0))), lambda r: F.transform(
+                    places, lambda p: F.get(r, p - 1)))
+
+            def split(heads: Column) -> Column:
+                parts = F.flatten(F.transform(heads, lambda h, i: let(named(F.get(table, h)), lambda places: rows(
+                    h, F.coalesce(F.get(heads, i + 1), F.size(table)), places))))
+                whole = rows(F.lit(0), F.size(table), F.transform(known, lambda _, i: i + 1))
+                return F.when(F.size(heads) == 0, whole).otherwise(parts)
+
+            return let(F.filter(F.transform(table, lambda c, i: F.when(is_header(c), i)), lambda i: i.isNotNull()), split)
+
+        return let(F.transform(F.filter(lines, lambda x: x.contains("|")), _cells), read)
+
+    return let(F.transform(wanted, lambda w: F.lower(w)), under)
+
+
 def tables(docs: DataFrame) -> DataFrame:
-    """Pipe-separated lines as ``line_items``: configured column to array of cells (needs ``table_cols``).
+    """Pipe-separated tables as ``line_items``: configured column to array of cells (needs ``table_cols``).
 
-    The first such line is the header; columns are taken by position.
+    Columns are found by the names in the header of each table, whatever their order; the rows of several
+    tables of a document follow each other. A column that a table does not have is NULL in its rows.
     """
-    lines = F.filter(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n"), lambda x: x.contains("|"))
-    rows = let(lines, lambda x: F.transform(
-        F.slice(x, 2, F.greatest(F.size(x), F.lit(1))), lambda line: F.split(F.trim(line), r"\s*\|\s*")))
+    lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
+    rows = _table_rows(lines, F.col("table_cols"))
     cells = let(rows, lambda r: F.transform(F.col("table_cols"), lambda _, i: F.transform(r, lambda cell: F.get(cell, i))))
     return docs.withColumn("line_items", F.map_from_arrays("table_cols", cells))
 
@@ -304,6 +353,18 @@ def field_value(index: Column, row_columns: list[Column], raw: Column, label: Co
     return F.when(index <= 10, stored).otherwise(F.coalesce(by_label, by_place))
 
 
+def overflow(payload: Column, names: Column) -> Column:
+    """JSON of the fields beyond the ten stored columns, from the stored payload; ``{}`` where there are none.
+
+    ``names`` are the configured fields in order. Keys of the payload that are not configured, its scores and its
+    warnings are left out.
+    """
+    beyond = F.slice(names, 11, F.greatest(F.size(names), F.lit(1)))
+    return let(json_map(payload), lambda found: F.to_json(F.map_from_entries(F.transform(
+        F.filter(beyond, lambda n: F.array_contains(F.map_keys(found), n)),
+        lambda n: F.struct(n.alias("k"), F.try_element_at(found, n).alias("v"))))))
+
+
 # --- the job -------------------------------------------------------------------------------------
 
 def work_list(raw: DataFrame, fields: DataFrame, doc_type: str = "ALL") -> DataFrame:

@@ -5,9 +5,10 @@ Checks on one table are evaluated together in a single aggregate over that table
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import json_map, one_row, small_table
@@ -30,6 +31,30 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return _rows(agg, {n: (F.col(f"c{i}") == 0, F.col(f"c{i}")) for i, n in enumerate(rules)})
 
 
+def together(df: DataFrame, rules: dict[str, Column], unique_column: str) -> DataFrame:
+    """``violations`` and ``unique`` of one column in one scan: bad rows are counted per key, then over the keys."""
+    per_key = df.groupBy(unique_column).agg(
+        F.count("*").alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(rules.values())])
+    sums = [F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(rules))]
+    agg = per_key.agg((F.coalesce(F.sum("n"), F.lit(0)) - F.count(unique_column)).alias("d"), *sums)
+    return _rows(agg, {f"{unique_column}_unique": (F.col("d") == 0, F.col("d")),
+                       **{n: (F.col(f"c{i}") == 0, F.col(f"c{i}")) for i, n in enumerate(rules)}})
+
+
+def while_written(df: DataFrame, rules: dict[str, Column], write: Callable[[DataFrame], None]) -> DataFrame:
+    """``violations`` of the rows that ``write`` writes, counted as they pass (observed metrics): no scan of its own.
+
+    The number of rows comes as a check as well, which passes if there are any.
+    """
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(F.coalesce(c, F.lit(False))).alias(f"c{i}") for i, c in enumerate(rules.values())]))
+    found = seen.get
+    rows = [("rows_written", found["rows"] > 0, str(found["rows"]))]
+    rows += [(n, found[f"c{i}"] == 0, str(found[f"c{i}"])) for i, n in enumerate(rules)]
+    return small_table(df.sparkSession, rows, SCHEMA)
+
+
 def row_count(df: DataFrame, name: str, at_least: int | None = None, exactly: int | None = None) -> DataFrame:
     n = F.col("n")
     passed = n >= at_least if exactly is None else n == exactly

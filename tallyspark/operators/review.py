@@ -158,20 +158,47 @@ def corrections_json(types: dict[str, str]) -> Column:
     return F.to_json(F.struct(*[convert[k](F.col(n)).alias(n) for n, k in types.items()]))
 
 
+def _typed(name: str, kind: str, given: list[str]) -> Column:
+    """An edited value through its safe converter, as the type of its column; NULL where the column was not edited."""
+    if name not in given:
+        value = F.lit(None)
+    else:
+        value = {"text": safe_text, "date": safe_date}.get(kind, safe_number)(F.col(name))
+    return value.try_cast({"text": "string", "date": "date", "m12": "decimal(12,2)", "m10": "decimal(10,2)"}[kind])
+
+
 def review_rows(edits: DataFrame, types: dict[str, str], reviewer: Column, now: Column,
                 first_id: int = 1) -> DataFrame:
     """Edited documents as rows to append to the review table; status defaults to CORRECTED.
 
-    Ids are dense from ``first_id`` on: pass one more than the highest id in use.
+    ``types`` names the edited columns and their kinds: each goes into the JSON of corrections, and the ten of
+    the summary into their typed columns as well. Ids are dense from ``first_id`` on: pass one more than the
+    highest id in use.
     """
+    typed = [_typed(name, kind, list(types)).alias(column) for name, (_, column, kind) in SUMMARY_FIELDS.items()]
     return number_rows(edits, "record_id", "review_id").select(
         (F.col("review_id") + (first_id - 1)).alias("review_id"), "record_id", "file_name",
-        F.coalesce("review_status", F.lit("CORRECTED")).alias("review_status"),
+        F.coalesce("review_status", F.lit("CORRECTED")).alias("review_status"), *typed,
         F.col("reviewer_notes"), reviewer.alias("reviewed_by"), now.alias("reviewed_at"),
         corrections_json(types).alias("corrections"),
     )
 
 
+def line_review_rows(edits: DataFrame, types: dict[str, str], reviewer: Column, now: Column,
+                     first_id: int = 1) -> DataFrame:
+    """Edited lines (line_id, file_name, record_id and columns by their shown names) as rows of the line review table.
+
+    The JSON of corrections is keyed by the stored column, as ``line_item_detail`` reads it.
+    """
+    typed = [_typed(name, kind, list(types)).alias(f"corrected_{column}") for name, (column, kind) in LINE_FIELDS.items()]
+    stored = edits.withColumnsRenamed({name: column for name, (column, _) in LINE_FIELDS.items()})
+    keys = {LINE_FIELDS[name][0] if name in LINE_FIELDS else name: kind for name, kind in types.items()}
+    json = number_rows(stored, "line_id", "review_id").select("line_id", "review_id", corrections_json(keys).alias("corrections"))
+    return edits.join(json, "line_id").select(
+        (F.col("review_id") + (first_id - 1)).alias("review_id"), "line_id", "file_name", "record_id", *typed,
+        "corrections", F.col("reviewer_notes"), reviewer.alias("reviewed_by"), now.alias("reviewed_at"))
+
+
 def audit_trail(reviews: DataFrame, record_id: int | None = None) -> DataFrame:
     """All reviews (of one record), newest first."""
     df = reviews if record_id is None else reviews.where(F.col("record_id") == record_id)

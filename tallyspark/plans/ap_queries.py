@@ -8,7 +8,7 @@ from ..functions.core import one_row
 from ..operators import ap
 from ..sources import synth
 from . import projections as P
-from .base import CTES, query
+from .base import CTES, draw, query
 
 CTES["ap_ledger_rows"] = """
 SELECT *, CASE WHEN status = 'PAID' THEN 0 WHEN late IS NOT NULL THEN greatest(late, 0) END AS days_past_due,
@@ -136,17 +136,11 @@ def _(spark, d):
     return one_row(head, P.line_items(spark, d).agg(F.count("*").alias("line_items")))
 
 
-@query("simulated_status", """
-SELECT invoice_id, due_date < DATE '2000-01-01' AS overdue, due_date < DATE '1999-12-02' AS old, true AS status_fits, true AS payment_fits FROM invoices""")
+@query("simulated_status", f"""
+SELECT invoice_id, CASE WHEN paid THEN 'PAID' WHEN due_date < DATE '2000-01-01' AND {draw(100, 'file_name', "'approved'")} < 50 THEN 'APPROVED' ELSE 'PENDING' END AS status,
+  CASE WHEN paid THEN invoice_date + (5 + {draw(21, 'file_name', "'days'")})::INT END AS payment_date
+FROM (SELECT *, due_date < DATE '1999-12-02' AND {draw(100, 'file_name', "'paid'")} < 85 AS paid FROM invoices)""")
 def _(spark, d):
-    """Only old invoices are paid, only overdue ones approved, and payments follow 5 to 25 days after the invoice."""
-    c = F.col
+    """Who has paid and when, and what is approved, of invoices that all begin as pending."""
     start = P.invoices(spark, d).withColumns({"status": F.lit("PENDING"), "payment_date": F.lit(None).cast("date")})
-    out = synth.assign_status(start, P.day()).withColumns({
-        "overdue": c("due_date") < P.day(), "old": c("due_date") < F.date_sub(P.day(), 30)})
-    known = lambda flag: F.coalesce(c(flag), F.lit(False))
-    paid = c("status") == "PAID"
-    fits = F.when(paid, known("old")).when(c("status") == "APPROVED", known("overdue")).otherwise(c("status") == "PENDING")
-    days = F.datediff("payment_date", "invoice_date")
-    return out.select("invoice_id", "overdue", "old", fits.alias("status_fits"),
-                      F.when(paid, days.between(5, 25)).otherwise(c("payment_date").isNull()).alias("payment_fits"))
+    return synth.assign_status(start, P.day()).select("invoice_id", "status", "payment_date")

@@ -49,6 +49,20 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[plain(f) for f in df.schema.fields])
 
 
+def draw(n: int | str, *keys) -> str:
+    """SQL of ``core.pick``: a number under n from the md5 of the keys (expressions)."""
+    return f"(('0x' || left(md5(concat_ws('|', {', '.join(map(str, keys))})), 12))::BIGINT % ({n}))"
+
+
+def one_of(options: list, *keys) -> str:
+    """SQL of ``core.pick_from`` for texts or numbers."""
+    return f"[{', '.join(map(literal, options))}][{draw(len(options), *keys)} + 1]"
+
+
+def literal(v) -> str:
+    return "NULL" if v is None else str(v).upper() if isinstance(v, (bool, int, float)) else "'" + str(v).replace("'", "''") + "'"
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)`` under a name; ``sql`` may use the common table expressions."""
     def add(fn):

@@ -204,6 +204,15 @@ def _(spark, d):
     return one(P.WAREHOUSE).unionByName(one(P.POOL))
 
 
+@query("resource_totals", """
+SELECT resource, coalesce(sum(credits), 0)::DOUBLE AS credits, count(credits) AS days_used, round(coalesce(sum(credits), 0)::DOUBLE * 3.0, 2) AS estimate
+FROM (VALUES ('EXTRACT_WH'), ('EXTRACT_POOL'), ('IDLE_POOL')) r(resource) LEFT JOIN (
+  SELECT resource, start_time::DATE AS usage_date, sum(credits_used) AS credits FROM metering
+  WHERE start_time >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY GROUP BY 1, 2) USING (resource) GROUP BY resource""")
+def _(spark, d):
+    return cost.resource_totals(P.metering(spark, d), [P.WAREHOUSE, P.POOL, "IDLE_POOL"], P.usage_time(), 30, 3.0)
+
+
 @query("currency_estimate", """
 SELECT start_time::DATE AS usage_date, sum(credits_used)::DOUBLE AS credits, round(sum(credits_used)::DOUBLE * 3.0, 2) AS estimate
 FROM metering WHERE resource = 'EXTRACT_WH' AND start_time >= TIMESTAMP '2024-01-31' - INTERVAL 90 DAY GROUP BY 1""")

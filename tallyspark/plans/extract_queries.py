@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions.core import json_map, small_table
 from ..functions.values import QUESTIONS
-from ..operators import config, cost, extract, ingest, quality, validate
+from ..operators import config, cost, extract, ingest, quality, tables, validate
 from ..session import shared_dir
 from ..sources import files, render, synth
 from . import projections as P
-from .base import CTES, query
+from .base import CTES, draw, literal, one_of, query
 
 
 # --- configuration ---------------------------------------------------------------------------------
@@ -121,6 +123,33 @@ def _(spark, d):
         "w IS NOT NULL").select("file_name", "doc_type", "position", "w.field", "w.rule", "w.message")
 
 
+PATTERNS = {"INVOICE": ("invoice_number", "INV-[0-9]{1,3}$"), "CONTRACT": ("effective_date", "2[0-9]{3}-0[1-6]"),
+            "RECEIPT": ("total_paid", "[0-9]+[.][0-9]0$"), "UTILITY_BILL": ("rate_schedule", "Net (15|60)"), "LEASE": ("tenant_name", ".*#[0-9]*7$")}
+
+
+@query("validate_patterns", f"""
+SELECT v.file_name, v.doc_type, v.field, 'pattern' AS rule, v.field || '=' || normalized || ' does not match pattern ' || p.pattern AS message
+FROM doc_value v JOIN (VALUES {P._values([(t, f, p) for t, (f, p) in PATTERNS.items()])}) p(doc_type, field, pattern)
+  ON v.doc_type = p.doc_type AND v.field = p.field
+WHERE NOT regexp_matches(normalized, '^(?:' || p.pattern || ')')""")
+def _(spark, d):
+    """Types whose only rule is a pattern: it counts from the start of a value and says nothing of a missing one."""
+    rules = F.create_map(*[F.lit(x) for t, (f, p) in PATTERNS.items() for x in (t, json.dumps({f: {"pattern": p}}))])
+    conf = config.default_config(spark).withColumn("validation_rules", F.try_element_at(rules, F.col("doc_type")))
+    done = extract.post_process(P.field_docs(spark, d, conf))
+    return done.select("file_name", "doc_type", F.inline_outer("warnings")).where("rule IS NOT NULL")
+
+
+@query("overflow_json", """
+SELECT file_name, doc_type, '{' || coalesce(string_agg('"' || field || '":' || coalesce('"' || normalized || '"', 'null'), ',' ORDER BY pos)
+  FILTER (pos > 10), '') || '}' AS overflow
+FROM doc_value GROUP BY file_name, doc_type""")
+def _(spark, d):
+    """What each record holds beyond its ten columns, as JSON."""
+    done = processed(spark, d)
+    return done.select("file_name", "doc_type", extract.overflow(F.col("raw_extraction"), F.col("specs.name")).alias("overflow"))
+
+
 @query("confidence_scores", "SELECT file_name, doc_type, pos::BIGINT AS pos, field, confidence FROM doc_score")
 def _(spark, d):
     return long(spark, d).select("file_name", "doc_type", "pos", "field", "confidence")
@@ -155,6 +184,23 @@ def _(spark, d):
         F.size(F.map_filter(body, lambda k, v: ~k.startswith("_") & v.isNotNull())).alias("present"))
 
 
+@query("payload_values", """
+SELECT v.file_name, v.field AS key, v.normalized AS value, s.confidence, coalesce(w.rules, '') AS rules
+FROM doc_value v JOIN doc_score s ON v.file_name = s.file_name AND v.field = s.field
+LEFT JOIN (SELECT file_name, field, string_agg(rule || ': ' || message, '; ' ORDER BY wpos) AS rules FROM doc_warning GROUP BY 1, 2) w
+  ON v.file_name = w.file_name AND v.field = w.field""")
+def _(spark, d):
+    """Every value of the stored payload, read back from its JSON, with its score and the rules it breaks."""
+    body = json_map(F.col("raw_extraction"))
+    read = processed(spark, d).select(
+        "file_name", F.from_json(body["_confidence"], "map<string,double>").alias("scores"),
+        F.coalesce(F.from_json(F.try_element_at(body, F.lit("_validation_warnings")), f"array<{validate.WARNING}>"),
+                   F.array().cast(f"array<{validate.WARNING}>")).alias("flags"), body.alias("body"))
+    rows = read.select("file_name", "scores", "flags", F.explode(F.map_filter("body", lambda k, v: ~k.startswith("_"))).alias("key", "value"))
+    own = F.transform(F.filter("flags", lambda w: w["field"] == F.col("key")), lambda w: F.concat_ws(": ", w["rule"], w["message"]))
+    return rows.select("file_name", "key", "value", F.try_element_at("scores", F.col("key")).alias("confidence"), F.array_join(own, "; ").alias("rules"))
+
+
 CTES["preview"] = """
 SELECT file_name, doc_type, pos, CASE WHEN pos <= 10 THEN 'field_' || pos ELSE 'raw_extraction (overflow)' END AS target_column,
   field, coalesce(raw, '(null)') AS raw_value, coalesce(v, '(null)') AS normalized,
@@ -338,142 +384,229 @@ def _(spark, d):
     base = config.default_config(spark)
     todo = extract.work_list(P.raw_documents(spark, d), P.fields(spark, d)).select("file_name")
     texts = P.typed_texts(spark, d).join(todo, "file_name")
-    stored = extract.run(texts, base, P.run_time())["fields"].select("file_name", *[f"field_{i}" for i in range(1, 11)])
+    path = shared_dir(spark, "read")
+    extract.read_documents(texts, base).write.parquet(path)  # once, for the rows and for the message
+    stored = extract.split_results(spark.read.parquet(path), P.run_time())["fields"].select(
+        "file_name", *[f"field_{i}" for i in range(1, 11)])
     memo = extract.run(texts, base, P.run_time(), doc_type="MEMO")["fields"]
     said = extract.message(stored, base).unionByName(extract.message(memo, base, "MEMO"))
     return stored.unionByName(said, allowMissingColumns=True)
 
 
-def _truth(spark, d):
-    """What the invoices say, one row per field."""
-    inv = P.invoices(spark, d)
-    pairs = F.array(*[F.struct(F.lit({"bill_to": "recipient"}.get(c, c)).alias("field"), F.col(c).cast("string").alias("value"))
-                      for c in P.FIELD_OF.values()])
-    return inv.select("file_name", F.lit("INVOICE").alias("doc_type"), F.inline(pairs))
+@query("accuracy", """
+SELECT doc_type, field, count(*) AS compared, count(*) FILTER (hit) AS matched, round(count(*) FILTER (hit) / count(*), 4) AS rate
+FROM (SELECT doc_type, field, coalesce(lower(trim(raw)) IS NOT DISTINCT FROM lower(trim(normalized))
+  OR try_cast(raw AS DECIMAL(18,4)) = try_cast(normalized AS DECIMAL(18,4)), false) AS hit FROM doc_value) GROUP BY doc_type, field""")
+def _(spark, d):
+    """Documents of all five types, printed, read back and compared with the answers they were printed from."""
+    found = extract.long_fields(extract.post_process(extract.entities(P.typed_texts(spark, d), config.default_config(spark))))
+    truth = P.field_docs(spark, d).select("file_name", "doc_type", F.explode("response").alias("field", "value"))
+    return quality.accuracy(found.select("file_name", "field", F.col("normalized").alias("value")), truth)
 
 
-@query("accuracy", """
+@query("accuracy_invoices", """
 SELECT 'INVOICE' AS doc_type, field, count(*) AS compared, count(*) AS matched, 1.0::DOUBLE AS rate
 FROM (SELECT unnest(['vendor_name', 'invoice_number', 'po_number', 'invoice_date', 'due_date', 'payment_terms', 'recipient',
   'subtotal', 'tax_amount', 'total_amount']) AS field FROM invoices) GROUP BY field""")
 def _(spark, d):
+    """Rendered invoices against the stored ones, whose values are typed."""
+    pairs = F.array(*[F.struct(F.lit({"bill_to": "recipient"}.get(c, c)).alias("field"), F.col(c).cast("string").alias("value"))
+                      for c in P.FIELD_OF.values()])
+    truth = P.invoices(spark, d).select("file_name", F.lit("INVOICE").alias("doc_type"), F.inline(pairs))
     found = extract.long_fields(extract.post_process(extracted(spark, d))).select("file_name", "field", F.col("normalized").alias("value"))
-    return quality.accuracy(found, _truth(spark, d))
+    return quality.accuracy(found, truth)
 
 
-@query("truth_json", """
-SELECT 'RECEIPT' AS doc_type, count(*) AS documents, count(*) AS same_total FROM supplier""")
-def _(spark, d):
-    """Receipts written as JSON truth files and read back as a table."""
-    from ..schemas import RECEIPT_TRUTH
+V = P.V
+SEEDS = "(SELECT o_orderkey AS seed FROM orders)"
 
-    made = synth.receipts(P.read(spark, d, "supplier").select(F.col("s_suppkey").alias("seed")))
-    truth = made.select(*[F.size("lines").alias("item_count") if f.name == "item_count" else F.col(f.name).cast(f.dataType).alias(f.name)
-                          for f in RECEIPT_TRUTH.fields])
-    path = shared_dir(spark, "truth")
-    truth.write.json(path)
-    back = files.json_records(spark, path, RECEIPT_TRUTH, lines=True)
-    same = F.col("total_paid") == F.round(F.col("subtotal") + F.col("tax_amount"), 2)
-    return back.agg(F.lit("RECEIPT").alias("doc_type"), F.count("*").alias("documents"), F.count_if(same).alias("same_total"))
 
+def between(lo: int, hi: int, *keys) -> str:
+    return f"({lo} + {draw(hi - lo + 1, 'seed', *map(literal, keys))})"
 
-@query("token_estimate", """
-SELECT file_name, doc_type, page_count::BIGINT AS page_count, (page_count * 970 + 600)::BIGINT AS estimated_tokens,
-  round((page_count * 970 + 600) * 0.000005::DOUBLE, 6) AS estimated_credits FROM raw_documents""")
-def _(spark, d):
-    return cost.estimate(P.raw_documents(spark, d), 0.000005, 200, 400)
 
+def cents(lo: str, hi: str, *keys) -> str:
+    return between(round(float(lo) * 100), round(float(hi) * 100), *keys)
+
+
+def chosen(options: list, *keys) -> str:
+    return one_of(options, "seed", *map(literal, keys))
 
-# --- synthetic documents ---------------------------------------------------------------------------
 
 def seeds(spark, d, table="orders", key="o_orderkey"):
     return P.read(spark, d, table).select(F.col(key).alias("seed"))
 
 
-def made(name: str, *checks: str) -> str:
-    """SQL of a generator query: one document per order, and every check holds for every document."""
-    return f"SELECT {name} AS file_name, {', '.join(f'true AS {c}' for c in checks)} FROM orders"
+TRUTHS = {
+    "RECEIPT": (synth.receipts, "file_name string, merchant_name string, transaction_id string, purchase_date date, items int",
+                lambda: F.size("lines").alias("items"), "transaction_id", "items"),
+    "UTILITY_BILL": (synth.utility_bills, "file_name string, meter_number string, kwh_usage int", None, "meter_number", "kwh_usage"),
+    "LEASE": (synth.leases, "file_name string, lease_number string, lease_start_date date, total_lease_value decimal(12,2)", None,
+              "lease_number", "total_lease_value"),
+}
 
 
-def _adds(field: str):
-    zero = F.lit(0).cast("decimal(12,2)")
-    return F.aggregate("lines", zero, lambda a, x: (a + x[field]).cast("decimal(12,2)"))
+@query("truth_json", f"""
+SELECT 'RECEIPT' AS doc_type, printf('receipt_%02d.pdf', seed) AS file_name, 'TXN' || {between(100000, 999999, 'txn')} AS number, {between(2, 8, 'items')}::DOUBLE AS amount FROM {SEEDS}
+UNION ALL SELECT 'UTILITY_BILL', printf('utility_bill_%02d.pdf', seed), {chosen(['E', 'M', 'K'], 'meter')} || {between(100000, 999999, 'mno')}, {between(180, 1400, 'kwh')}::DOUBLE FROM {SEEDS}
+UNION ALL SELECT 'LEASE', printf('lease_%02d.pdf', seed), 'LSE-' || {between(10000, 99999, 'no')},
+  {cents('1500', '8500', 'rent')} * {chosen(V.LEASE_MONTHS, 'term')} / 100.0::DOUBLE FROM {SEEDS}""")
+def _(spark, d):
+    """Documents of three types written as truth files, JSON arrays of 100 records, and read back as tables."""
+    out = []
+    for kind, (make, schema, extra, number, amount) in TRUTHS.items():
+        truth = make(seeds(spark, d)).select("seed", *[
+            extra() if extra and name == "items" else F.col(name) for name in (x.split()[0] for x in schema.split(", "))])
+        rows = F.collect_list(F.struct(*truth.columns[1:]))
+        path = shared_dir(spark, "truth")
+        truth.groupBy(F.floor(F.col("seed") / 100)).agg(F.to_json(rows, {"pretty": "true"}).alias("value")).select("value").write.text(path)
+        out.append(files.json_array(spark, path, schema).select(
+            F.lit(kind).alias("doc_type"), "file_name", F.col(number).alias("number"), F.col(amount).cast("double").alias("amount")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("synth_invoices", made("printf('invoice_%05d.pdf', o_orderkey)", "known_vendor", "lines_add_up", "total_adds_up", "line_count", "due_by_terms"))
+@query("token_estimate", """
+SELECT file_name, doc_type, page_count::BIGINT AS page_count, (page_count * 970 + 600)::BIGINT AS estimated_tokens,
+  round((page_count * 970 + 600) * 0.000005::DOUBLE, 6) AS estimated_credits FROM raw_documents""")
 def _(spark, d):
-    """An invoice per order: known vendors, different products, sums and due dates that fit."""
-    c = F.col
-    days = F.regexp_extract("payment_terms", r"(\d+)$", 1).cast("int")
+    return cost.estimate(P.raw_documents(spark, d), 0.000005, 200, 400)
+
+
+# --- synthetic documents ---------------------------------------------------------------------------
+
+CTES["product"] = "SELECT * FROM (VALUES " + P._values([
+    (i, c, name, round(lo * 100), round(hi * 100)) for i, (c, name, lo, hi) in enumerate(V.PRODUCTS)]) + ") t(idx, category, name, lo, hi)"
+# the products of a document in the order they are drawn, with their place from 0
+CTES["drawn_product"] = f"""
+SELECT seed, p.*, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'product', idx))) - 1 AS i FROM {SEEDS}, product p
+"""
+CTES["drawn_invoice"] = f"""
+SELECT seed, sum(price * quantity) AS subtotal, count(*) AS lines, string_agg(name, ', ' ORDER BY i) AS products FROM (
+  SELECT *, lo + {draw('hi - lo + 1', 'seed', "'price'", 'i')} AS price, {one_of(V.ORDER_QUANTITIES, 'seed', "'qty'", 'i')} AS quantity
+  FROM drawn_product WHERE i < {between(3, 15, 'items')})
+GROUP BY seed
+"""
+
+
+@query("synth_invoices", f"""
+SELECT printf('invoice_%05d.pdf', seed) AS file_name, vendor_name, payment_terms, 'PO-' || {between(100000, 999999, 'po')} AS po_number, invoice_date,
+  invoice_date + coalesce(try_cast(regexp_extract(payment_terms, '(\\d+)\\s*$', 1) AS INT), 30) AS due_date, lines, products,
+  subtotal / 100.0::DOUBLE AS subtotal, tax / 100.0::DOUBLE AS tax_amount, (subtotal + tax) / 100.0::DOUBLE AS total_amount
+FROM (SELECT *, {chosen([v[0] for v in V.VENDORS], 'vendor')} AS vendor_name, {chosen([v[2] for v in V.VENDORS], 'vendor')} AS payment_terms,
+    DATE '2025-01-01' + {draw(365, 'seed', "'day'")}::INT AS invoice_date, ((subtotal * {between(600, 900, 'tax')} + 5000) // 10000)::BIGINT AS tax
+  FROM drawn_invoice)""")
+def _(spark, d):
+    """An invoice per order: vendor, terms, dates, products in order, amounts."""
     return synth.invoices(seeds(spark, d)).select(
-        "file_name", c("vendor_name").isin([v[0] for v in P.V.VENDORS]).alias("known_vendor"), (_adds("line_total") == c("subtotal")).alias("lines_add_up"),
-        (c("subtotal") + c("tax_amount") == c("total_amount")).alias("total_adds_up"),
-        (F.size(F.array_distinct(c("lines.product_name"))).between(3, 15) & (F.size(F.array_distinct(c("lines.product_name"))) == F.size("lines"))).alias("line_count"),
-        (F.datediff("due_date", "invoice_date") == days).alias("due_by_terms"))
+        "file_name", "vendor_name", "payment_terms", "po_number", "invoice_date", "due_date", F.size("lines").alias("lines"),
+        F.array_join("lines.product_name", ", ").alias("products"), "subtotal", "tax_amount", "total_amount")
 
 
 CATEGORY_LISTS = ["Snacks, Frozen", "Tobacco", "Unknown", "Beverages,Candy & Gum"]
+CTES["order_wish"] = f"""
+SELECT o_orderkey AS seed, [{', '.join(literal(v[0]) for v in V.VENDORS)}, 'Nobody Inc.'][o_orderkey % {len(V.VENDORS) + 1} + 1] AS vendor_name, 3 + o_orderkey % 8 AS num_items,
+  [['Snacks', 'Frozen'], ['Tobacco'], [], ['Beverages', 'Candy & Gum']][o_orderkey % 4 + 1] AS wanted FROM orders
+"""
+CTES["wished_line"] = f"""
+SELECT *, greatest(floor(2500.0::DOUBLE / 1.08::DOUBLE / (sum((lo + hi) / 2.0::DOUBLE) OVER (PARTITION BY seed) / 100))::INT, 6) AS base FROM (
+  SELECT w.*, p.category, p.name, p.lo, p.hi, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'product', place))) - 1 AS i
+  FROM order_wish w JOIN (SELECT *, row_number() OVER (PARTITION BY wish ORDER BY idx) - 1 AS place FROM (
+    SELECT p.*, unnest([['Snacks', 'Frozen'], ['Tobacco'], [], ['Beverages', 'Candy & Gum']]) AS wish FROM product p) WHERE len(wish) = 0 OR list_contains(wish, category)) p
+  ON p.wish = w.wanted) WHERE i < num_items
+"""
 
 
 @query("synth_invoices_like", f"""
-SELECT o_orderkey AS seed, n AS vendor_name, CASE WHEN n <> 'Nobody Inc.' THEN true END AS fits,
-  CASE WHEN n = 'Nobody Inc.' THEN 'Error: Vendor not found - Nobody Inc.' END AS error
-FROM (SELECT o_orderkey, [{', '.join("'" + v[0].replace("'", "''") + "'" for v in P.V.VENDORS)}, 'Nobody Inc.'][o_orderkey % 13 + 1] AS n FROM orders)""")
-def _(spark, d):
-    """Invoices to order, one per order; one vendor in thirteen is unknown and gives an error row."""
+SELECT w.seed, w.vendor_name, lines, subtotal / 100.0::DOUBLE AS subtotal, DATE '2000-01-01' - {draw(8, 'w.seed', "'day'")}::INT AS invoice_date,
+  NULL::VARCHAR AS error
+FROM order_wish w JOIN (SELECT seed, count(*) AS lines, sum((lo + {draw('hi - lo + 1', 'seed', "'price'", 'i')})
+    * [greatest(base - 12, 6), base, base + 12, base + 24][{draw(4, 'seed', "'qty'", 'i')} + 1]) AS subtotal FROM wished_line GROUP BY seed) l ON w.seed = l.seed
+WHERE vendor_name <> 'Nobody Inc.'
+UNION ALL SELECT seed, vendor_name, NULL, NULL, NULL, 'Error: Vendor not found - Nobody Inc.' FROM order_wish WHERE vendor_name = 'Nobody Inc.'""")
+def _(spark, d):
+    """Invoices to order, one per order, of the categories and the number of items asked for; one vendor in thirteen is unknown
+    and gives an error row."""
     k = F.col("o_orderkey")
-    vendors = small_table(spark, P.V.VENDORS, "vendor_name string, address string, default_terms string")
-    names = F.array(*[F.lit(v[0]) for v in P.V.VENDORS], F.lit("Nobody Inc."))
+    vendors = small_table(spark, V.VENDORS, "vendor_name string, address string, default_terms string")
+    names = F.array(*[F.lit(v[0]) for v in V.VENDORS], F.lit("Nobody Inc."))
     wanted = P.read(spark, d, "orders").select(
-        k.alias("seed"), F.get(names, (k % 13).cast("int")).alias("vendor_name"), (F.lit(3) + k % 8).cast("int").alias("num_items"),
+        k.alias("seed"), F.get(names, (k % (len(V.VENDORS) + 1)).cast("int")).alias("vendor_name"), (F.lit(3) + k % 8).cast("int").alias("num_items"),
         F.get(F.array(*map(F.lit, CATEGORY_LISTS)), (k % 4).cast("int")).alias("categories"), F.lit(2500.0).alias("approx_total"))
-    # the categories asked for, as many items as asked for where there are enough, and a total of the wanted size
-    asked = F.when(k % 4 == 0, F.array(F.lit("Snacks"), F.lit("Frozen"))).when(k % 4 == 1, F.array(F.lit("Tobacco"))) \
-        .when(k % 4 == 3, F.array(F.lit("Beverages"), F.lit("Candy & Gum")))
-    got = synth.invoices_like(wanted.withColumn("o_orderkey", F.col("seed")), vendors, P.day())
-    fits = (F.size(F.array_except("lines.category", F.coalesce(asked, F.col("lines.category")))) == 0) & (
-        F.size("lines") <= F.col("num_items")) & F.col("total_amount").between(500, 8000) & (_adds("line_total") == F.col("subtotal"))
-    good = got.select("seed", "vendor_name", fits.alias("fits"), F.lit(None).cast("string").alias("error"))
-    bad = synth.unknown_vendors(wanted, vendors).select("seed", "vendor_name", F.lit(None).cast("boolean").alias("fits"), "error")
-    return good.unionByName(bad)
-
-
-@query("synth_contracts", made("printf('contract_%02d.pdf', o_orderkey)", "adds_up", "number_form", "reference_form", "in_order"))
+    good = synth.invoices_like(wanted, vendors, P.day()).select(
+        "seed", "vendor_name", F.size("lines").alias("lines"), "subtotal", "invoice_date", F.lit(None).cast("string").alias("error"))
+    return good.unionByName(synth.unknown_vendors(wanted, vendors), allowMissingColumns=True)
+
+
+@query("synth_contracts", f"""
+SELECT printf('contract_%02d.pdf', seed) AS file_name, {[*V.PARTIES]}[seed % 5 + 1] AS party_name, counterparty, terms, effective_date,
+  effective_date + {chosen(V.CONTRACT_DAYS, 'length')} AS expiration_date, 'CTR-' || year(effective_date) || '-' || {between(1000, 9999, 'no')} AS contract_number,
+  'REF-' || upper(left(counterparty, 3)) || '-' || {between(100, 999, 'ref')} AS reference_id, base / 100.0::DOUBLE AS base_value, adj / 100.0::DOUBLE AS adjustments,
+  (base + adj) / 100.0::DOUBLE AS total_value, first / 100.0::DOUBLE AS first_amount, (base + adj - first - second - third) / 100.0::DOUBLE AS last_amount,
+  effective_date + ({between(30, 90, 'gap', 0)} + {between(30, 90, 'gap', 1)} + {between(30, 90, 'gap', 2)})::INT AS last_due
+FROM (SELECT *, {', '.join(f"((base + adj) * {between(150, 350, 'share', i)} + 500) // 1000 AS {n}" for i, n in enumerate(('first', 'second', 'third')))}
+  FROM (SELECT seed, {[*V.COUNTERPARTIES]}[seed % 5 + 1] AS counterparty, {chosen(V.CONTRACT_TERMS, 'terms')} AS terms,
+    DATE '2026-01-01' + {draw(61, 'seed', "'day'")}::INT AS effective_date, {cents('5000', '150000', 'base')} AS base,
+    CASE WHEN {draw(4, 'seed', "'adj'")} = 0 THEN {cents('-2000', '5000', 'amount')} ELSE 0 END AS adj FROM {SEEDS}))""")
 def _(spark, d):
-    c = F.col
     return synth.contracts(seeds(spark, d)).select(
-        "file_name", ((_adds("amount") == c("total_value")) & (c("base_value") + c("adjustments") == c("total_value"))).alias("adds_up"),
-        c("contract_number").rlike(r"^CTR-2026-\d{4}$").alias("number_form"), c("reference_id").rlike(r"^REF-.{3}-\d{3}$").alias("reference_form"),
-        (c("effective_date") < c("expiration_date")).alias("in_order"))
+        "file_name", "party_name", "counterparty", "terms", "effective_date", "expiration_date", "contract_number", "reference_id", "base_value",
+        "adjustments", "total_value", F.get("lines", F.lit(0))["amount"].alias("first_amount"), F.element_at("lines", -1)["amount"].alias("last_amount"),
+        F.element_at("lines", -1)["due_date"].alias("last_due"))
 
 
-@query("synth_receipts", made("printf('receipt_%02d.pdf', o_orderkey)", "lines_add_up", "total_adds_up", "tax_in_range", "returnable"))
+CTES["receipt_item"] = "SELECT * FROM (VALUES " + P._values([(i, round(p * 100)) for i, (_, p) in enumerate(V.RECEIPT_ITEMS)]) + ") t(idx, price)"
+
+
+@query("synth_receipts", f"""
+SELECT printf('receipt_%02d.pdf', seed) AS file_name, merchant_name, day AS purchase_date, day + 30 AS return_by_date,
+  'R' || strftime(day, '%m%d') || '-' || {between(1000, 9999, 'no')} AS receipt_number, 'TXN' || {between(100000, 999999, 'txn')} AS transaction_id,
+  {chosen(V.PAYMENT_METHODS, 'pay')} AS payment_method, lines, subtotal / 100.0::DOUBLE AS subtotal, tax / 100.0::DOUBLE AS tax_amount, (subtotal + tax) / 100.0::DOUBLE AS total_paid
+FROM (SELECT *, ((subtotal * {between(600, 800, 'taxable')} * rate + 50000000) // 100000000)::BIGINT AS tax FROM (
+  SELECT seed, lines, subtotal, DATE '2026-02-01' + {draw(31, 'seed', "'day'")}::INT AS day, {chosen([m for m, _ in V.MERCHANTS], 'merchant')} AS merchant_name,
+    {chosen([round(float(V.SALES_TAX[s]) * 100000) for _, s in V.MERCHANTS], 'merchant')} AS rate
+  FROM (SELECT seed, count(*) AS lines, sum(price * {one_of(V.RECEIPT_QUANTITIES, 'seed', "'qty'", 'i')}) AS subtotal FROM (
+    SELECT seed, price, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, 'item', idx))) - 1 AS i FROM {SEEDS}, receipt_item)
+    WHERE i < {between(2, 8, 'items')} GROUP BY seed)))""")
 def _(spark, d):
-    c = F.col
     return synth.receipts(seeds(spark, d)).select(
-        "file_name", (_adds("total") == c("subtotal")).alias("lines_add_up"), (c("subtotal") + c("tax_amount") == c("total_paid")).alias("total_adds_up"),
-        # 60 to 80 percent of the subtotal at 6.625 or 8.875 percent, to the cent
-        c("tax_amount").between(c("subtotal") * 0.6 * 0.06625 - 0.01, c("subtotal") * 0.8 * 0.08875 + 0.01).alias("tax_in_range"),
-        (F.datediff("return_by_date", "purchase_date") == 30).alias("returnable"))
+        "file_name", "merchant_name", "purchase_date", "return_by_date", "receipt_number", "transaction_id", "payment_method",
+        F.size("lines").alias("lines"), "subtotal", "tax_amount", "total_paid")
+
+
+def _tier(i: int) -> str:
+    """SQL of a tier's charge in cents."""
+    _, _, below, width, summer, winter = V.ENERGY_TIERS[i]
+    used = f"greatest(kwh - {below}, 0)" if width is None else f"least(greatest(kwh - {below}, 0), {width})"
+    price = f"CASE WHEN month(day) IN ({', '.join(map(str, V.SUMMER_MONTHS))}) THEN {round(float(summer) * 10000)} ELSE {round(float(winter) * 10000)} END"
+    return f"(({price}) * {used} + 50) // 100"
 
 
-@query("synth_bills", made("printf('utility_bill_%02d.pdf', o_orderkey)", "tiers_add_up", "total_adds_up", "account_form", "energy_below_charges"))
+@query("synth_bills", f"""
+SELECT printf('utility_bill_%02d.pdf', seed) AS file_name, {chosen([u for u, _ in V.UTILITIES], 'utility')} AS utility_company,
+  {chosen([r for _, r in V.UTILITIES], 'utility')} AS rate_schedule, {chosen(V.SERVICE_ADDRESSES, 'address')} AS service_address,
+  {" || '-' || ".join(between(lo, hi, 'acc', i) for i, (lo, hi) in enumerate([(10, 99), (1000, 9999), (1000, 9999), (10, 99)]))} AS account_number,
+  {chosen(['E', 'M', 'K'], 'meter')} || {between(100000, 999999, 'mno')} AS meter_number, day - {between(28, 32, 'period')}::INT AS billing_period_start,
+  day AS billing_period_end, day + {between(18, 25, 'due')}::INT AS due_date, kwh AS kwh_usage,
+  CASE WHEN kwh > 600 THEN {cents('1.5', '8.5', 'kw')} ELSE 0 END / 100.0::DOUBLE AS demand_kw, charges / 100.0::DOUBLE AS current_charges,
+  previous / 100.0::DOUBLE AS previous_balance, (charges + previous) / 100.0::DOUBLE AS total_due
+FROM (SELECT *, {' + '.join(_tier(i) for i in range(len(V.ENERGY_TIERS)))} + {cents('15', '45', 'delivery')} + {cents('2.50', '8', 'benefit')} + {cents('5', '22', 'taxes')} AS charges,
+    CASE WHEN {draw(3, 'seed', "'prev'")} = 0 THEN {cents('50', '250', 'balance')} ELSE 0 END AS previous
+  FROM (SELECT seed, {between(180, 1400, 'kwh')} AS kwh, DATE '2026-02-01' + {draw(26, 'seed', "'day'")}::INT AS day FROM {SEEDS}))""")
 def _(spark, d):
-    c = F.col
-    used = F.aggregate("lines", F.lit(0), lambda a, x: a + x["kwh"])
-    return synth.utility_bills(seeds(spark, d)).select(
-        "file_name", (used == c("kwh_usage")).alias("tiers_add_up"), (c("current_charges") + c("previous_balance") == c("total_due")).alias("total_adds_up"),
-        c("account_number").rlike(r"^\d{2}-\d{4}-\d{4}-\d{2}$").alias("account_form"),
-        (c("current_charges") - _adds("amount")).between(22.5, 75.0).alias("energy_below_charges"))
+    return synth.utility_bills(seeds(spark, d)).drop("seed", "lines")
 
 
-@query("synth_leases", made("printf('lease_%02d.pdf', o_orderkey)", "total_adds_up", "length", "deposit"))
+@query("synth_leases", f"""
+SELECT printf('lease_%02d.pdf', seed) AS file_name, {[*V.LANDLORDS]}[seed % {len(V.LANDLORDS)} + 1] AS landlord_name,
+  {chosen(V.TENANTS, 'tenant')} || {between(100, 999, 'store')} AS tenant_name, 'LSE-' || {between(10000, 99999, 'no')} AS lease_number,
+  {between(100, 9999, 'house')} || ' ' || {chosen(V.STREETS, 'street')} || ' ' || {chosen(V.STREET_SUFFIXES, 'suffix')} || ', ' || {chosen(V.CITIES, 'city')} || ', '
+    || {chosen(V.STATES, 'state')} || ' ' || {between(30000, 89999, 'zip')} AS property_address,
+  day AS lease_start_date, day + (months * 30)::INT AS lease_end_date, months AS lease_term_months, rent / 100.0::DOUBLE AS monthly_rent,
+  ((rent * {chosen([round(float(m) * 10) for m in V.DEPOSIT_MONTHS], 'deposit')} + 5) // 10) / 100.0::DOUBLE AS security_deposit, {chosen(V.RENT_DUE_DAYS, 'dueday')} AS payment_due_day,
+  {cents('50', '250', 'late')} / 100.0::DOUBLE AS late_fee, rent * months / 100.0::DOUBLE AS total_lease_value
+FROM (SELECT seed, DATE '2025-01-01' + {draw(366, 'seed', "'day'")}::INT AS day, {chosen(V.LEASE_MONTHS, 'term')} AS months, {cents('1500', '8500', 'rent')} AS rent FROM {SEEDS})""")
 def _(spark, d):
-    c = F.col
-    return synth.leases(seeds(spark, d)).select(
-        "file_name", (c("monthly_rent") * c("lease_term_months") == c("total_lease_value")).alias("total_adds_up"),
-        (F.datediff("lease_end_date", "lease_start_date") == c("lease_term_months") * 30).alias("length"),
-        (c("security_deposit") / c("monthly_rent")).between(0.999, 2.001).alias("deposit"))
+    return synth.leases(seeds(spark, d)).drop("seed")
 
 
 @query("bench_corpus", """
@@ -488,18 +621,54 @@ def _(spark, d):
     return known.select(*cols).unionByName(new.select(*cols))
 
 
-@query("generator_udtf", """
-SELECT s_suppkey, 'gen_invoice_' || s_suppkey || '.pdf' AS file_name, true AS has_total, 5::BIGINT AS lines FROM supplier""")
+def drawn(what: str, n: str) -> str:
+    """SQL of the table function's draws."""
+    return f"(('0x' || left(md5(seed || ':' || {what}), 12))::BIGINT % ({n}))"
+
+
+@query("bench_cleanup", """
+SELECT 'raw_documents' AS tbl, file_name FROM raw_documents WHERE extracted UNION ALL SELECT 'fields', file_name FROM fields
+UNION ALL SELECT 'removed', 'bench_invoice_' || printf('%05d', o_orderkey) || '.pdf' FROM orders""")
 def _(spark, d):
-    """The table function, called once per supplier."""
+    """Test invoices are registered and extracted, and removed again by the pattern of their names; all others stay."""
+    corpus = synth.invoices(seeds(spark, d), prefix="bench_invoice_", round_robin=True).select("file_name")
+    known = P.raw_documents(spark, d).where("extracted")
+    raw = known.unionByName(ingest.register(corpus, known, P.run_time()), allowMissingColumns=True).select("file_name")
+    fields = P.fields(spark, d).select("file_name").unionByName(corpus)
+    left = tables.reset_pattern(raw, {"fields": fields}, "bench\\_invoice\\_%")
+    gone = raw.join(left["raw_documents"], "file_name", "left_anti")
+    named = [df.select(F.lit(name).alias("tbl"), "file_name") for name, df in [*left.items(), ("removed", gone)]]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("generator_udtf", f"""
+SELECT seed AS s_suppkey, 'gen_invoice_' || seed || '.pdf' AS file_name, 'INV-' || printf('%05d', seed) AS number, 'PO-' || (100000 + {drawn("'po'", '900000')}) AS po,
+  5::BIGINT AS lines, '$' || format('{{:,.2f}}', (net + (net * (60 + {drawn("'rate'", '31')}) + 500) // 1000) / 100.0::DOUBLE) AS total
+FROM (SELECT seed, sum(cents * 6 * greatest(1, floor(900.0::DOUBLE * 100 / 1.08::DOUBLE / 5 / cents / 6 + 0.5::DOUBLE)::BIGINT))::BIGINT AS net FROM (
+  SELECT seed, lo + {drawn("'price ' || name", 'hi - lo + 1')} AS cents, row_number() OVER (PARTITION BY seed ORDER BY {drawn('name', str(1 << 40))}, idx) AS k
+  FROM (SELECT s_suppkey AS seed FROM supplier), product WHERE category IN ('Snacks', 'Frozen')) WHERE k <= 5 GROUP BY seed)""")
+def _(spark, d):
+    """The table function, called once per supplier: numbers, lines and amounts of the text it makes."""
     spark.udtf.register("generate_invoice", synth.GenerateInvoice)
     P.read(spark, d, "supplier").createOrReplaceTempView("udtf_suppliers")
     return spark.sql("""
-        SELECT s.s_suppkey, g.file_name, g.text LIKE '%TOTAL DUE: $%' AS has_total, regexp_count(g.text, '(?m)^[0-9]+ \\\\| ') AS lines
+        SELECT s.s_suppkey, g.file_name, regexp_extract(g.text, 'Invoice Number: (.*)', 1) AS number, regexp_extract(g.text, 'PO Number: (.*)', 1) AS po,
+          regexp_count(g.text, '(?m)^[0-9]+ \\\\| ') AS lines, regexp_extract(g.text, 'TOTAL DUE: (.*)', 1) AS total
         FROM udtf_suppliers s, LATERAL generate_invoice(s.s_name, 'Main St 1', 'Net 30', 5, 'Snacks,Frozen', 900.0D,
              DATE '2024-02-01', CAST(s.s_suppkey AS INT)) g""")
 
 
+@query("fold_lines_udtf", """
+SELECT file_name AS key, count(*) AS n_lines, string_agg(concat_ws(' | ', product_name, coalesce(category, ''), quantity, unit_price, line_total), chr(10)
+  ORDER BY line_number, line_item_id) AS text FROM line_items GROUP BY file_name""")
+def _(spark, d):
+    """A table function over the whole line table, a call's rows being those of one document in order."""
+    spark.udtf.register("fold_lines", synth.FoldLines)
+    P.line_items(spark, d).select("file_name", "line_number", "line_item_id", "product_name", "category", "quantity", "unit_price",
+                                  "line_total").createOrReplaceTempView("udtf_lines")
+    return spark.sql("SELECT * FROM fold_lines(TABLE(udtf_lines), 'file_name', 'line_number', 'line_item_id')")
+
+
 @query("list_documents")
 def _(spark, d):
     """The given files as a listing, largest last."""

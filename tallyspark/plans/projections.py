@@ -1,18 +1,18 @@
 """The stored tables of the library, projected from the given tables.
 
-Each projection is row-local or one join; ids, names and flags follow from the row's own key, so no
-projection numbers or groups rows. The SQL of the same projections is in ``CTES``.
+Each projection is row-local or one join; ids, names and flags follow from the row's own key. Only line ids
+need the other lines of the order (``numbered_lines``). The SQL of the same projections is in ``CTES``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.core import let, money_text
 from ..operators import config as cfg
-from ..operators.extract import NAMED_COLUMNS
+from ..operators import extract
 from ..sources import render
 from .base import CTES
 
@@ -91,18 +91,35 @@ FROM (SELECT *, round(total * 0.08::DECIMAL(3,2), 2)::DECIMAL(12,2) AS tax FROM
 """
 
 
-def line_id() -> Column:
-    parts = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate"),
-                        _m("l_quantity"), _m("l_extendedprice"))
-    return F.conv(F.substring(F.md5(parts), 1, 15), 16, 10).cast("bigint")
+#: Line ids leave room for so many lines of an order; more raise an error.
+LINES = 1_000_000
+
+
+def numbered_lines(spark, d) -> DataFrame:
+    """The line table with ``file_name`` and an id per line: the order's key, then the line's place in its order.
+
+    The number in the table repeats within an order, so places follow it and then the other columns; equal lines
+    get ids of their own. Partitioned by name, as most uses of lines are.
+    """
+    place = F.row_number().over(Window.partitionBy("file_name").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag"))
+    fits = F.when(F.col("_place") < LINES, F.col("l_orderkey") * LINES + F.col("_place")).otherwise(
+        F.raise_error(F.lit(f"an order has {LINES} lines or more")).cast("bigint"))
+    return read(spark, d, "lineitem").withColumn("file_name", file_name("l_orderkey")).withColumn("_place", place).withColumn(
+        "line_id", fits).drop("_place")
+
+
+CTES["line_of_order"] = f"""
+SELECT *, l_orderkey * {LINES} + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
+  l_quantity, l_extendedprice, l_returnflag) AS line_id FROM lineitem
+"""
 
 
 def line_items(spark, d) -> DataFrame:
-    """A line's id is a hash of its columns, so it needs no numbering."""
     p = read(spark, d, "part").select("p_partkey", "p_name", "p_type")
     price = F.round(_m("l_extendedprice") / _m("l_quantity", 10), 2).cast("decimal(10,2)")
-    return read(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(
-        line_id().alias("line_item_id"), file_name("l_orderkey").alias("file_name"),
+    return numbered_lines(spark, d).join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("line_id").alias("line_item_id"), "file_name",
         F.concat(F.lit("INV-"), "l_orderkey").alias("invoice_number"), F.col("l_linenumber").alias("line_number"),
         F.col("p_name").alias("product_name"),
         F.when(F.col("l_partkey") % 40 != 0, F.col("p_type")).alias("category"),
@@ -111,15 +128,14 @@ def line_items(spark, d) -> DataFrame:
 
 
 CTES["line_items"] = """
-SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE,
-    l_quantity::DECIMAL(12,2), l_extendedprice::DECIMAL(12,2))), 1, 15))::BIGINT AS line_item_id,
+SELECT line_id AS line_item_id,
   printf('invoice_%08d.pdf', l_orderkey) AS file_name, 'INV-' || l_orderkey AS invoice_number,
   l_linenumber AS line_number, p_name AS product_name,
   CASE WHEN l_partkey % 40 <> 0 THEN p_type END AS category, l_quantity::DECIMAL(10,2) AS quantity,
   (((200 * (l_extendedprice::DECIMAL(12,2) * 100)::BIGINT + (l_quantity * 100)::BIGINT) // (2 * (l_quantity * 100)::BIGINT))
     ::DECIMAL(18,0) * 0.01::DECIMAL(3,2))::DECIMAL(10,2) AS unit_price,
   l_extendedprice::DECIMAL(12,2) AS line_total
-FROM lineitem JOIN part ON l_partkey = p_partkey
+FROM line_of_order JOIN part ON l_partkey = p_partkey
 """
 
 
@@ -226,9 +242,9 @@ FROM events WHERE event_type = 'click'
 def line_reviews(spark, d) -> DataFrame:
     """Two reviews for every returned line."""
     q = F.col("l_quantity").cast("bigint")
-    li = read(spark, d, "lineitem").where(F.col("l_returnflag") == "R").withColumn("line_id", line_id())
+    li = numbered_lines(spark, d).where(F.col("l_returnflag") == "R")
     return li.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).select(
-        (F.col("line_id") * 2 + F.col("i")).alias("review_id"), "line_id", file_name("l_orderkey").alias("file_name"),
+        (F.col("line_id") * 2 + F.col("i")).alias("review_id"), "line_id", "file_name",
         F.col("l_orderkey").cast("string").alias("record_id"),
         F.when(F.col("i") == 1, F.lit("fixed item")).alias("corrected_col_1"), F.lit(None).cast("string").alias("corrected_col_2"),
         F.when(q % 3 == 0, (q + F.col("i")).cast("decimal(10,2)")).alias("corrected_col_3"),
@@ -246,10 +262,8 @@ SELECT line_id * 2 + i AS review_id, line_id, file_name, l_orderkey::VARCHAR AS
   CASE WHEN q % 5 = 0 THEN '{"col_2":"returned","col_5":"' || (i + 10) || '.005"}' END AS corrections,
   'round ' || i AS reviewer_notes, 'checker' AS reviewed_by, l_shipdate + to_days(((q + i) % 2)::INT) AS reviewed_at
 FROM (SELECT l_orderkey, l_shipdate, l_quantity::BIGINT AS q, unnest([0, 1]) AS i,
-    printf('invoice_%08d.pdf', l_orderkey) AS file_name,
-    ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::DATE,
-    l_quantity::DECIMAL(12,2), l_extendedprice::DECIMAL(12,2))), 1, 15))::BIGINT AS line_id
-  FROM lineitem WHERE l_returnflag = 'R')
+    printf('invoice_%08d.pdf', l_orderkey) AS file_name, line_id
+  FROM line_of_order WHERE l_returnflag = 'R')
 """
 
 
@@ -350,7 +364,7 @@ def _date_forms(day: Column) -> Column:
     return F.when(day.isNull(), F.lit("N/A")).otherwise(text)
 
 
-def field_docs(spark, d) -> DataFrame:
+def field_docs(spark, d, config: DataFrame | None = None) -> DataFrame:
     """Documents with an answer for every configured field of their type, as printed: dates in many
     forms, amounts with currency signs, abbreviated, blank and missing values. Joined with the parsed
     configuration, ready for ``extract.post_process``."""
@@ -373,11 +387,10 @@ def field_docs(spark, d) -> DataFrame:
     }
     raw = raw_documents(spark, d).select("file_name", "doc_type")
     source_of = F.create_map(*[F.lit(x) for kv in SOURCE.items() for x in kv])
-    printed = inv
     return (
-        printed.select("file_name", "k", F.create_map(*[x for n, c in src.items() for x in (F.lit(n), c.cast("string"))]).alias("_src"))
-        .join(raw, "file_name")
-        .join(cfg.parsed(cfg.default_config(spark)), "doc_type")
+        inv.select("file_name", "k", F.create_map(*[x for n, c in src.items() for x in (F.lit(n), c.cast("string"))]).alias("_src"))
+        .join(raw, "file_name").transform(extract.dealt)
+        .join(cfg.parsed(cfg.default_config(spark) if config is None else config), "doc_type")
         .withColumn("response", F.map_from_entries(F.transform("specs", lambda s: F.struct(
             s["name"].alias("k"), F.try_element_at("_src", F.try_element_at(source_of, s["name"])).alias("v")))))
         .drop("_src")
@@ -454,36 +467,45 @@ SELECT file_name, doc_type, rpos, wpos, field, w.rule AS rule, w.message AS mess
 WHERE w IS NOT NULL
 """
 CTES["doc_score"] = """
-SELECT v.file_name, v.doc_type, v.pos, v.field, CASE WHEN normalized IS NULL OR trim(normalized) = '' THEN 0.1::DOUBLE ELSE
-  greatest(0, 1.00::DECIMAL(6,2)
-    - CASE WHEN ftype = 'NUMBER' AND try_cast(normalized AS DOUBLE) = 0 THEN 0.10::DECIMAL(6,2) ELSE 0 END
-    - CASE WHEN ftype = 'NUMBER' AND try_cast(normalized AS DOUBLE) IS NULL THEN 0.30::DECIMAL(6,2) ELSE 0 END
-    - CASE WHEN ftype = 'DATE' AND NOT regexp_full_match(normalized, '\\d{4}-\\d{2}-\\d{2}') THEN 0.20::DECIMAL(6,2) ELSE 0 END
-    - coalesce(w.n, 0) * 0.30::DECIMAL(6,2))::DOUBLE END AS confidence
-FROM doc_value v LEFT JOIN (SELECT file_name, field, count(*) AS n FROM doc_warning GROUP BY 1, 2) w
-  ON v.file_name = w.file_name AND v.field = w.field
+SELECT file_name, doc_type, pos, field, CASE WHEN v IS NULL OR trim(v) = '' THEN 0.1::DOUBLE ELSE greatest(0, 1.00::DECIMAL(6,2)
+    - CASE WHEN ftype = 'NUMBER' AND num = 0 THEN 0.10::DECIMAL(6,2) ELSE 0 END - CASE WHEN ftype = 'NUMBER' AND num IS NULL THEN 0.30::DECIMAL(6,2) ELSE 0 END
+    - CASE WHEN ftype = 'DATE' AND NOT regexp_full_match(v, '\\d{4}-\\d{2}-\\d{2}') THEN 0.20::DECIMAL(6,2) ELSE 0 END
+    - flags * 0.30::DECIMAL(6,2))::DOUBLE END AS confidence
+FROM (SELECT *, coalesce(required AND (v IS NULL OR trim(v) = '' OR (v = '0' AND ftype <> 'NUMBER')), false)::INT + coalesce(num < lo, false)::INT
+    + coalesce(num > hi, false)::INT + coalesce(day < day_lo::DATE, false)::INT + coalesce(day > day_hi::DATE, false)::INT AS flags
+  FROM (SELECT v.file_name, v.doc_type, v.pos, v.field, v.ftype, v.normalized AS v, r.required, r.lo, r.hi, r.day_lo, r.day_hi,
+      CASE WHEN v.ftype = 'NUMBER' THEN try_cast(v.normalized AS DOUBLE) END AS num,
+      CASE WHEN v.ftype = 'DATE' THEN try_strptime(v.normalized, '%Y-%m-%d')::DATE END AS day
+    FROM doc_value v LEFT JOIN rule r ON r.doc_type = v.doc_type AND r.field = v.field))
 """
 
 
 # --- documents as text ----------------------------------------------------------------------------------
 
-def invoice_texts(spark, d) -> DataFrame:
-    """All invoices rendered to text with their lines, as documents of type INVOICE."""
-    li = line_items(spark, d)
+def invoice_texts(spark, d, names: DataFrame | None = None) -> DataFrame:
+    """Invoices (all, or those in ``names``) rendered to text with their lines, as documents of type INVOICE.
+
+    Names cut the line table before its lines are brought together.
+    """
+    inv, li = invoices(spark, d), line_items(spark, d)
+    if names is not None:
+        inv, li = (x.join(names.select("file_name"), "file_name", "left_semi") for x in (inv, li))
     cells = render.invoice_line(*[F.col(c) for c in ("line_number", "product_name", "category", "quantity", "unit_price", "line_total")])
     rows = render.fold_lines(li, "file_name", ["line_number", "line_item_id"], cells)
-    return render.invoices(invoices(spark, d), rows).withColumn("doc_type", F.lit("INVOICE"))
+    return render.invoices(inv, rows).withColumn("doc_type", F.lit("INVOICE")).transform(extract.dealt)
 
 
 #: What each table column of the five types prints of a line item.
 CELL_OF = {"Line": "line_number", "Due Date": "line_number"} | {
-    c: source for names, source in zip(NAMED_COLUMNS, ["product_name", "category", "quantity", "unit_price", "line_total"])
+    c: source for names, source in zip(extract.NAMED_COLUMNS, ["product_name", "category", "quantity", "unit_price", "line_total"])
     for c in names}
 
 
 def typed_texts(spark, d) -> DataFrame:
     """Documents of all five types as text (file_name, doc_type, text): the answers of ``field_docs`` under
-    their labels, then the order's lines in the columns of the type. The first line is empty."""
+    their labels, then the order's lines in the columns of the type. The first line is empty.
+
+    By the key modulo 3: columns as configured, in reverse order, or two tables, the second in reverse order."""
     shown = {"line_number": F.col("line_number").cast("string"), "product_name": F.col("product_name"),
              "category": F.coalesce("category", F.lit("")), "quantity": F.col("quantity").cast("string"),
              "unit_price": money_text(F.col("unit_price")), "line_total": money_text(F.col("line_total"))}
@@ -494,14 +516,23 @@ def typed_texts(spark, d) -> DataFrame:
     fields = F.transform("specs", lambda s: F.concat(
         F.element_at(labels, s["name"]), F.lit(": "), F.try_element_at("response", s["name"])))
 
-    def row_text(row: Column) -> Column:
+    def row_text(row: Column, columns: Column) -> Column:
         cells = F.create_map(*[x for c, source in CELL_OF.items() for x in (F.lit(c), row[source])])
-        return let(cells, lambda m: F.array_join(F.transform("table_cols", lambda c: F.try_element_at(m, c)), " | "))
-
-    none = F.array().cast("array<string>")
-    text = F.concat(F.lit("\n"), F.array_join(fields, "\n"), F.lit("\n\n"), F.array_join("table_cols", " | "), F.lit("\n"),
-                    F.array_join(F.coalesce(F.transform("table_rows", row_text), none), "\n"))
-    return field_docs(spark, d).join(rows, "file_name", "left").select("file_name", "doc_type", text.alias("text"))
+        return let(cells, lambda m: F.array_join(F.transform(columns, lambda c: F.try_element_at(m, c)), " | "))
+
+    def table_text(rows: Column, columns: Column) -> Column:
+        lines = F.concat(F.array(F.array_join(columns, " | ")), F.transform(rows, lambda r: row_text(r, columns)))
+        return F.array_join(lines, "\n")
+
+    given, turned = F.col("table_cols"), F.reverse(F.col("table_cols"))
+    rows_of = F.coalesce("table_rows", F.array().cast(rows.schema["table_rows"].dataType))
+    half = F.ceil(F.size(rows_of) / 2).cast("int")
+    two = F.concat(table_text(F.slice(rows_of, 1, half), given), F.lit("\n\n"),
+                   table_text(F.slice(rows_of, half + 1, F.size(rows_of)), turned))
+    table = F.when(F.col("k") % 3 == 0, table_text(rows_of, given)).when(F.col("k") % 3 == 1, table_text(rows_of, turned)).otherwise(two)
+    text = F.concat(F.lit("\n"), F.array_join(fields, "\n"), F.lit("\n\n"), table)
+    made = field_docs(spark, d).join(rows, "file_name", "left").select("file_name", "doc_type", text.alias("text"))
+    return extract.dealt(made)
 
 
 def extractions(spark, d) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ap, config, cost, docs, review
 from ..operators import quality as q
+from ..session import shared_dir
+from ..sources import files
 from . import projections as P
 from .base import query
 from .cost_queries import daily
@@ -222,12 +224,36 @@ FROM ({check("invoice_number_unique", "count(*) - count(DISTINCT invoice_number)
     ("due_date_not_null", "due_date IS NULL"), ("status_allowed", "status NOT IN ('PENDING', 'APPROVED', 'PAID')"),
     ("total_amount_in_range", "total_amount < 0.01"))})""")
 def _(spark, d):
-    inv = P.invoices(spark, d)
-    checks = q.run([q.unique(inv, "invoice_number"), q.no_nulls(inv, ["vendor_name", "total_amount", "due_date"]),
-                    q.allowed(inv, "status", ["PENDING", "APPROVED", "PAID"]), q.in_range(inv, "total_amount", 0.01)])
+    """All checks of the invoices in one scan of them."""
+    c = F.col
+    rules = {f"{name}_not_null": c(name).isNull() for name in ("vendor_name", "total_amount", "due_date")}
+    checks = q.together(P.invoices(spark, d), rules | {
+        "status_allowed": ~c("status").isin("PENDING", "APPROVED", "PAID"), "total_amount_in_range": c("total_amount") < 0.01}, "invoice_number")
     return q.overall(checks, ["due_date_not_null"])
 
 
+@query("dq_together", f"""
+SELECT * FROM ({check("invoice_number_unique", "count(*) - count(DISTINCT invoice_number) AS n FROM invoices")} UNION ALL {bad(
+    "invoices", ("due_date_not_null", "due_date IS NULL"), ("paid", "status <> 'PAID'"), ("total_amount_in_range", "total_amount > 400000"))})""")
+def _(spark, d):
+    c = F.col
+    return q.together(P.invoices(spark, d), {"due_date_not_null": c("due_date").isNull(), "paid": c("status") != "PAID",
+                                             "total_amount_in_range": c("total_amount") > 400000}, "invoice_number")
+
+
+@query("dq_while_written", f"""
+SELECT 'rows_written' AS "check", count(*) > 0 AS passed, count(*)::VARCHAR AS detail FROM line_items
+UNION ALL {bad("line_items", ("category_not_null", "category IS NULL"), ("quantity_in_range", "quantity < 1 OR quantity > 40"))}
+UNION ALL SELECT 'rows_stored', true, count(*)::VARCHAR FROM line_items""")
+def _(spark, d):
+    """Line items are checked as they are written; the last row counts what was stored."""
+    c, path = F.col, shared_dir(spark, "checked")
+    checks = q.while_written(P.line_items(spark, d), {"category_not_null": c("category").isNull(), "quantity_in_range": ~c("quantity").between(1, 40)},
+                             lambda df: df.write.parquet(path))
+    stored = files.table(spark, path).agg(F.lit("rows_stored").alias("check"), F.lit(True).alias("passed"), F.count("*").cast("string").alias("detail"))
+    return checks.unionByName(stored)
+
+
 @query("dq_contract_rules", bad(
     "(SELECT file_name, max(normalized) FILTER (pos = 2) AS no, max(normalized) FILTER (pos = 4) AS day FROM doc_value WHERE doc_type = 'CONTRACT' GROUP BY 1)",
     ("contract_number_pattern", "NOT regexp_matches(no, '^INV')"), ("effective_date_pattern", "NOT regexp_matches(day, '^\\d{4}-\\d{2}-\\d{2}$')")))

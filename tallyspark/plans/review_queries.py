@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import small_table
 from ..functions.normalize import safe_date, safe_number, safe_text
-from ..operators import config, extract, review, tables
+from ..operators import buckets, config, extract, review, tables
 from ..sources import files
 from ..session import shared_dir
 from . import projections as P
@@ -161,19 +161,51 @@ def _(spark, d):
     return review.approved(summary(spark, d)).select("record_id", "vendor_name", "total_amount", "reviewed_by")
 
 
-@query("append_reviews", """
-SELECT record_id, review_status, reviewed_by, reviewed_at, corrections FROM reviews
-UNION ALL SELECT record_id, 'CORRECTED', 'clerk', TIMESTAMP '2024-02-01 12:00:00', '{"vendor_name":"' || trim(vendor_name) || '"}' FROM edit_rows""")
+TYPED = ["vendor_name", "invoice_number", "po_number", "invoice_date", "due_date", "payment_terms", "recipient", "subtotal",
+         "tax_amount", "total"]
+SAFE = "CASE WHEN abs(try_cast(trim({0}) AS DOUBLE)) <= 9999999999.99 THEN try_cast(trim({0}) AS DOUBLE) END"
+STORED_REVIEW = {"vendor_name": "corrected_vendor_name", "invoice_date": "corrected_invoice_date", "total": "corrected_total::DOUBLE"}
+EDITED = {"vendor_name": "trim(vendor_name)", "due_date": "due::DATE", "total": "total"}
+
+
+def _columns(known: dict[str, str]) -> str:
+    kind = lambda c: "DATE" if c.endswith("date") else "DOUBLE" if c in ("subtotal", "tax_amount", "total") else "VARCHAR"
+    return ", ".join(f"{known.get(c, f'NULL::{kind(c)}')} AS corrected_{c}" for c in TYPED)
+
+
+@query("append_reviews", f"""
+SELECT review_id, record_id, file_name, review_status, {_columns(STORED_REVIEW)}, reviewer_notes, reviewed_by, reviewed_at, corrections FROM reviews
+UNION ALL SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(record_id::VARCHAR), 1, 3))::INT, record_id), record_id, file_name, 'CORRECTED',
+  {_columns(EDITED)}, 'edited', 'clerk', TIMESTAMP '2024-02-01 12:00:00',
+  '{{"vendor_name":"' || trim(vendor_name) || '"' || coalesce(',"total_amount":' || total, '') || coalesce(',"due_date":"' || due || '"', '') || '}}'
+FROM (SELECT *, {SAFE.format('total_amount')} AS total, CASE WHEN record_id % 5 < 2 THEN strftime(day, '%Y-%m-%d') END AS due FROM edit_rows)""")
 def _(spark, d):
-    """Both batches are written to one table by appending."""
+    """Stored reviews and edited documents, both with all columns, are written to one table by appending."""
     path = shared_dir(spark, "reviews")
-    cols = ["record_id", "review_status", "reviewed_by", "reviewed_at", "corrections"]
-    files.append(P.reviews(spark, d).select(*cols), path)
+    files.append(P.reviews(spark, d), path)
     given = edits(spark, d).withColumns({"review_status": F.lit(None).cast("string"), "reviewer_notes": F.lit("edited")})
-    files.append(review.review_rows(given, {"vendor_name": "text"}, F.lit("clerk"), P.run_time()).select(*cols), path)
+    types = {"vendor_name": "text", "total_amount": "number", "due_date": "date"}
+    files.append(review.review_rows(given, types, F.lit("clerk"), P.run_time()), path)
     return files.table(spark, path)
 
 
+@query("append_line_reviews", f"""
+SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(line_id::VARCHAR), 1, 3))::INT, line_id) AS review_id, line_id, file_name, record_id,
+  'part ' || quantity AS corrected_col_1, NULL::VARCHAR AS corrected_col_2, q::DOUBLE AS corrected_col_3, NULL::DOUBLE AS corrected_col_4,
+  total AS corrected_col_5, '{{"col_1":"part ' || quantity || '"' || coalesce(',"col_3":' || q::DOUBLE, '') || coalesce(',"col_5":' || total, '') || '}}' AS corrections,
+  'counted again' AS reviewer_notes, 'clerk' AS reviewed_by, TIMESTAMP '2024-02-01 12:00:00' AS reviewed_at
+FROM (SELECT *, col_3::BIGINT AS quantity, CASE WHEN col_3::BIGINT % 2 = 0 THEN col_3::BIGINT + 1 END AS q, col_5::DOUBLE AS total
+  FROM table_data WHERE line_number = 1)""")
+def _(spark, d):
+    """The first lines, edited: every second quantity is no number, all totals carry blanks."""
+    whole = F.col("col_3").cast("bigint")
+    first = P.table_data(spark, d).where("line_number = 1").select(
+        "line_id", "file_name", "record_id", F.concat(F.lit(" part "), whole).alias("description"),
+        F.when(whole % 2 == 0, (whole + 1).cast("string")).otherwise("many").alias("quantity"),
+        F.concat(F.lit(" "), F.col("col_5").cast("string")).alias("line_total"), F.lit("counted again").alias("reviewer_notes"))
+    return review.line_review_rows(first, {"description": "text", "quantity": "quantity", "line_total": "number"}, F.lit("clerk"), P.run_time())
+
+
 # --- table changes -------------------------------------------------------------------------------
 
 @query("mark_extracted", """
@@ -215,6 +247,49 @@ def _(spark, d):
     return tables.upsert(old.drop("field_6"), pending.unionByName(changed), "file_name", "record_id")
 
 
+@query("upsert_scoped", """
+WITH pending AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(file_name), 1, 3))::INT, file_name) AS rn
+  FROM invoices WHERE status = 'PENDING' AND invoice_id % 97 = 0)
+SELECT record_id, file_name, CASE WHEN record_id % 97 = 0 THEN 'a newer name' ELSE field_1 END AS field_1,
+  CASE WHEN record_id % 97 = 0 THEN 2.0::DOUBLE ELSE field_10::DOUBLE END AS field_10 FROM fields
+UNION ALL SELECT (SELECT max(record_id) FROM fields) + rn, file_name, 'a newer name', 2.0::DOUBLE FROM pending""")
+def _(spark, d):
+    """Results stored in hash buckets; a small change set, each document twice, rewrites only its buckets. The later change wins
+    though its columns are smaller, stored rows keep their ids and new ones get the next free ids."""
+    stored = buckets.BucketedTable(spark, shared_dir(spark, "bucketed"), "file_name", 16)
+    stored.write(P.fields(spark, d).select("record_id", "file_name", "field_1", "field_10", "extracted_at"))
+    inv = P.invoices(spark, d).where("invoice_id % 97 = 0")
+    change = lambda name, amount, at: inv.select(
+        "file_name", F.lit(name).alias("field_1"), F.lit(amount).cast("decimal(12,2)").alias("field_10"), P.moment(at).alias("extracted_at"))
+    stored.upsert(change("the older name", "3.00", "2024-01-01 00:00:00").unionByName(
+        change("a newer name", "2.00", "2024-01-02 00:00:00")), "record_id", newest="extracted_at")
+    return stored.read().drop("extracted_at")
+
+
+@query("replace_scoped", """
+SELECT file_name, line_id, col_1 FROM table_data WHERE substr(file_name, 9, 8)::BIGINT % 97 <> 0
+UNION ALL SELECT file_name, record_id, 'whole document' FROM fields WHERE record_id % 97 = 0
+UNION ALL SELECT t.file_name, line_id, col_1 FROM table_data t LEFT JOIN fields f ON t.file_name = f.file_name
+WHERE substr(t.file_name, 9, 8)::BIGINT % 97 = 0 AND f.file_name IS NULL""")
+def _(spark, d):
+    """Line rows stored in buckets of their document; those of a few documents are replaced."""
+    stored = buckets.BucketedTable(spark, shared_dir(spark, "bucketed"), "file_name", 16)
+    stored.write(P.table_data(spark, d).select("file_name", "line_id", "col_1"))
+    stored.replace_children(P.fields(spark, d).where("record_id % 97 = 0").select(
+        "file_name", F.col("record_id").alias("line_id"), F.lit("whole document").alias("col_1")))
+    return stored.read()
+
+
+@query("newest_version", "SELECT record_id, file_name, 'second' AS status, field_10::DOUBLE AS field_10 FROM fields")
+def _(spark, d):
+    """Two versions of the results are complete, a third is written only in part and not in the manifest."""
+    base, rows = shared_dir(spark, "versions"), P.fields(spark, d).select("record_id", "file_name", "status", "field_10")
+    files.write_version(rows.withColumn("status", F.lit("first")), base, 1)
+    files.write_version(files.newest_version(spark, base).withColumn("status", F.lit("second")), base, 2)
+    files.write_version(rows.where("record_id % 2 = 0").withColumn("status", F.lit("third")), base, 3, publish=False)
+    return files.newest_version(spark, base)
+
+
 @query("upsert_registry", """
 SELECT file_name, doc_type, CASE WHEN extraction_error IS NULL THEN extracted ELSE true END AS extracted, NULL::VARCHAR AS extraction_error FROM raw_documents""")
 def _(spark, d):
@@ -325,7 +400,19 @@ def _(spark, d):
     return tables.restore_missing(snapshot, snapshot.where("field_6 <> 'Net 15'"), "record_id").drop("field_6")
 
 
-@query("csv_roundtrip", "SELECT record_id, file_name, field_1, field_4, field_10::DOUBLE AS field_10 FROM fields")
+STORED = ", ".join(f"field_{i}{'::DOUBLE' if i > 7 else ''} AS field_{i}" for i in range(1, 11))
+
+
+@query("csv_roundtrip", f"SELECT record_id, file_name, {STORED}, status, extracted_at FROM fields")
+def _(spark, d):
+    """The results, all columns, as one CSV file in order of their ids."""
+    df = P.fields(spark, d).drop("raw_extraction")
+    path = f"{shared_dir(spark, 'export')}/results.csv"
+    files.export_csv(df, path, order=["record_id"])
+    return files.read_csv(spark, path, df.schema)
+
+
+@query("csv_folder", "SELECT record_id, file_name, field_1, field_4, field_10::DOUBLE AS field_10 FROM fields")
 def _(spark, d):
     df = P.fields(spark, d).select("record_id", "file_name", "field_1", "field_4", "field_10")
     path = shared_dir(spark, "export")
