@@ -10,7 +10,10 @@
 
 A band that more than ``HOT`` texts share would emit their square. Texts that such bands connect form a hot group, whose
 pairs are compared inside tasks, block against block, by the same steps; a task returns a row per text: how many links
-it found, and the least text that they connect it with.
+it found, and the least text that they connect it with. Inside a hot group every pair is compared, so the few links
+whose texts share no band are found there as well; elsewhere they are missed (see 1).
+
+A node is a class of equal words with a number of its own; ids of documents only name it, so different texts may share an id.
 """
 
 from __future__ import annotations
@@ -231,9 +234,9 @@ def _compare(part: Fraction, least: list[tuple[int, int]]):
 def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> tuple[DataFrame, DataFrame]:
     """Classes of equal words, and the links between them.
 
-    ``docs`` has doc_id and text; other columns are ignored. First: doc_id, text_hash and node, the least doc_id among
-    the documents of the same words (documents without a word, or without an id, are left out: they have no links).
-    Second: node, n_links, least: partial counts of the other nodes whose sets of five-word shingles have a Jaccard
+    ``docs`` has doc_id and text; other columns are ignored. First: doc_id, text_hash, node, a number of the class of
+    documents of the same words, and head, the least (doc_id, text_hash) of that class (documents without a word, or
+    without an id, are left out: they have no links). Second: node, n_links, least: partial counts of the other nodes whose sets of five-word shingles have a Jaccard
     similarity of ``threshold`` or more, each link counted once at either end, and a node that such links connect it
     with. A text of one to four words is one shingle. Words are runs of other characters than white space, unchanged.
     """
@@ -242,11 +245,11 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> t
         f"{s} long" for s in SKETCH)
     part, least = Fraction(str(threshold)), least_matches(threshold, tolerance)
     signed = stored(docs.mapInArrow(_signatures, fields), "signatures")
-    node = stored(signed.groupBy("copy", "total").agg(F.min("doc_id").alias("node"), F.min(F.struct("doc_id", "text_hash")
-                  ).alias("at")), "classes")
+    node = stored(signed.groupBy("copy", "total").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).withColumn(
+        "node", F.monotonically_increasing_id()), "classes")
     members = signed.select("doc_id", "text_hash", "copy", "total").join(node, ["copy", "total"]).select(
-        "doc_id", "text_hash", "node")
-    # a document id that several different texts carry is one node
+        "doc_id", "text_hash", "node", F.col("at").alias("head"))
+    # rows of the same id and text are one
     heads = signed.join(node.select("at.*", "node"), ["doc_id", "text_hash"]).select("node", "bands", *SKETCH)
     heads = stored(heads.dropDuplicates(["node"]), "heads")
     keys = heads.select("node", F.explode("bands").alias("band"))
@@ -296,31 +299,38 @@ def links(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> t
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
-    """One row per row of docs: doc_id, text_hash, copy_id, class_id, n_links.
+    """One row per row of docs: doc_id, text_hash, copy_id, class_id, n_links, and class_hash.
 
     copy_id is the least doc_id of the same words, class_id the least doc_id that chains of links connect the document
-    with, n_links the number of other texts (copies count once) of similarity ``threshold`` or more. Documents without
-    words (null, empty, white space) are classes of their own without links; so are documents without an id, whose
-    class_id is null.
+    with (class_hash: the hash of that document's text, the least if its id has several), n_links the number of other
+    texts (copies count once) of similarity ``threshold`` or more. Different texts of one id are documents of their own:
+    each has its own links and class. Documents without words (null, empty, white space) are classes of their own without
+    links; so are documents without an id, whose class_id is null.
     """
     members, found = links(docs, threshold, tolerance)
+    members = stored(members.dropDuplicates(), "members")
     count = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     group = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    member = members.dropDuplicates().join(count, "node", "left").join(group, "node", "left").select(
-        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("node"),
-        F.coalesce("class_id", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = stored(members.select("node", "head").dropDuplicates(["node"]).join(group, "node", "left").join(
+        count, "node", "left").withColumn("class", F.coalesce("class_id", "node")), "nodes")
+    # written before the join, so that the partition of a large class can be split
+    least = stored(nodes.groupBy("class").agg(F.min("head").alias("least")), "least-of-class")
+    named = nodes.join(least, "class").select("node", "head", "least", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    member = members.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "node").join(named, "node")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     return rows.join(member, (rows["doc_id"] == member["id"]) & (rows["text_hash"] == member["hash"]), "left").select(
-        "doc_id", "text_hash", F.coalesce("node", "doc_id").alias("copy_id"),
-        F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        "doc_id", "text_hash", F.coalesce("head.doc_id", "doc_id").alias("copy_id"),
+        F.coalesce("least.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.coalesce("least.text_hash", "text_hash").alias("class_hash"))
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
-    """The documents, all columns, without those of which an equal or near copy of lesser doc_id stays.
+    """The documents, all columns, without those of which an equal or near copy of lesser doc_id (or of the same id and
+    a text of lesser hash) stays.
 
     Of repeated rows all go on or none.
     """
-    found = near_duplicates(docs, threshold, tolerance).where("class_id <> doc_id").select(
+    found = near_duplicates(docs, threshold, tolerance).where("class_id <> doc_id OR class_hash <> text_hash").select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     hash_ = F.xxhash64(docs["text"].cast("string"))
     return docs.join(found, (docs["doc_id"].cast("long") == F.col("_id")) & (hash_ == F.col("_hash")), "left_anti")
