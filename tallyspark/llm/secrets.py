@@ -1,14 +1,14 @@
 """Secret scan with linked credentials, in DataFrame functions only.
 
 Strong kinds (assignments, access identifiers, long hex) count by themselves. Weak parts, which are everywhere in
-ordinary text, count only together: a part is reported if a complementary part lies in the same scope. Scopes are
-intervals of ``SCOPE`` code points, each begun half a scope after the last; a part joins the scopes it starts in by
-equality of their number. A scope's parts are first summed up in one row, so no pairs are made, whatever a scope holds.
+ordinary text, count only together: a part is reported if a complementary part starts within its scope, the interval of
+less than ``SCOPE`` code points either way. The interval join only asks whether there is a partner, so it goes by the nearest
+one on either side: a window over the parts of a document in order of their starts, which makes no pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import documents, keyed, stored
@@ -19,8 +19,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Weak parts: who, where, and what looks like a key.
 IDENTITY = r"""(?i)\b(user|username|login|account|client_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-ENDPOINT = r"""\b(?:[a-z][a-z0-9+]{1,20}://[A-Za-z0-9_.-]{3,}[A-Za-z0-9_.:/@-]*|\d{1,3}(?:\.\d{1,3}){3}:\d{2,5})"""
-KEY = r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[0-9+/_-]{0,63}[A-Za-z])[A-Za-z0-9+/_-]{20,}"""
+ENDPOINT = r"""\b(?:[a-z][a-z0-9+]+://[A-Za-z0-9_.-]{3,}[A-Za-z0-9_.:/@-]*|\d{1,3}(?:\.\d{1,3}){3}:\d{2,5})"""
+KEY = r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}"""
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "identity", "endpoint", "key")
 SCOPE = 400
@@ -58,9 +58,9 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     base: the spans of the strong kinds; linked: weak parts that a complementary part accompanies. Both are arrays of
     (start, kind, end), sorted, in code points, kind an index of ``KINDS``. Weak parts that overlap a strong span are left
-    out. A scope holds a secret if a strong assignment, a long hex or a key starts in it; identities and endpoints count
-    in scopes with a secret, keys in scopes with an identity, an access identifier or an endpoint. A null or empty text
-    has no spans.
+    out. Secrets are strong assignments, long hex and keys; places are identities, access identifiers and endpoints. A
+    weak identity or endpoint counts if a secret, a key if a place, starts less than ``scope`` code points before or after
+    its own start. A null or empty text has no spans.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = keyed(docs).select(
@@ -71,15 +71,17 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     part = found.where(F.size("weak") > 0).dropDuplicates(["doc_id", "text_hash"]).select(
         "doc_id", "text_hash", "base", F.explode(F.concat("base", "weak")).alias("part")).where(
         (F.col("part.kind") < 3) | ~F.exists("base", lambda b: (b["start"] < F.col("part.end")) & (F.col("part.start") < b["end"])))
-    half = scope // 2
-    first = F.floor(F.col("part.start") / half)
-    placed = part.select("doc_id", "text_hash", "part", F.explode(F.array(first - 1, first)).alias("scope"))
-    kind = F.col("part.kind")
-    scopes = placed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("scope").alias("_scope")).agg(
-        F.max(kind.isin(0, 2, 5)).alias("secret"), F.max(kind.isin(1, 3, 4)).alias("place"))
-    linked = placed.join(scopes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
-                         & (F.col("scope") == F.col("_scope"))
-                         & ((kind.isin(3, 4) & F.col("secret")) | ((kind == 5) & F.col("place"))))
+    kind, start = F.col("part.kind"), F.col("part.start")
+    one = Window.partitionBy("doc_id", "text_hash").orderBy("start")
+    before, after = one.rangeBetween(Window.unboundedPreceding, 0), one.rangeBetween(0, Window.unboundedFollowing)
+    secret, place = F.when(kind.isin(0, 2, 5), start), F.when(kind.isin(1, 3, 4), start)
+    near = part.withColumn("start", start).withColumns({
+        "s0": F.max(secret).over(before), "s1": F.min(secret).over(after), "p0": F.max(place).over(before), "p1": F.min(place).over(after)})
+
+    def within(last: str, following: str) -> Column:
+        return F.coalesce(F.col("start") - F.col(last) < scope, F.lit(False)) | F.coalesce(F.col(following) - F.col("start") < scope, F.lit(False))
+    linked = near.where((kind.isin(3, 4) & within("s0", "s1")) | ((kind == 5) & within("p0", "p1"))).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "part")
     linked = linked.groupBy("_id", "_hash").agg(F.collect_set("part").alias("linked"))
     return found.join(linked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").select(
         "doc_id", "text_hash", "base",
