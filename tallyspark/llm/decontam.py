@@ -7,6 +7,9 @@
    into ``RADIUS + 1`` blocks; two fingerprints within the radius agree on a block at least, so joins on the blocks
    (and the window's size) find all of them. At similarity 0.8 a pair lies within radius 19 of 64 with probability 0.999.
 3. Candidates are verified exactly: weighted Jaccard similarity of the two multisets of shingles.
+
+An item of fewer than five words is one shingle of all its words. Its windows, of as many words, have one shingle too, so
+they are like it only if they are equal to it: documents are also cut into runs of each such width, and joined by name.
 """
 
 from __future__ import annotations
@@ -27,13 +30,23 @@ def shingled(text: Column) -> Column:
     """A struct: n, the number of words, and names, hashes of five words each, or of all if there are fewer but some."""
     def of(names: Column) -> Column:
         each = F.transform(names, lambda x, i: F.xxhash64(x, *[F.get(names, i + k) for k in range(1, WORDS)]))
-        whole = F.when(F.size(names) == 0, F.array().cast("array<bigint>")).otherwise(F.array(
-            F.xxhash64(F.concat(F.array(F.lit(0).cast("long")), names))))
+        whole = F.when(F.size(names) == 0, F.array().cast("array<bigint>")).otherwise(F.array(_whole(names)))
         return F.struct(F.size(names).alias("n"), F.when(F.size(names) < WORDS, whole).otherwise(
             F.slice(each, 1, F.greatest(F.size(names) - (WORDS - 1), F.lit(1)))).alias("names"))
     return let(F.transform(words_column(text), lambda w: F.xxhash64(w)), of)
 
 
+def _whole(names: Column) -> Column:
+    """The one shingle of a text of few words."""
+    return F.xxhash64(F.concat(F.array(F.lit(0).cast("long")), names))
+
+
+def _runs(width: int):
+    """The shingle of every run of so many words, from their names."""
+    return lambda names: F.transform(F.slice(names, 1, F.greatest(F.size(names) - (width - 1), F.lit(0))),
+                                     lambda _, i: _whole(F.slice(names, i + 1, width)))
+
+
 def simhash(column: str) -> Column:
     """Bit b is set if more of the names have it set than not."""
     return F.expr(f"""aggregate(sequence(0, 63), 0L, (out, b) -> out | if(
@@ -93,7 +106,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
     near = left.join(right, (F.col("width") == F.col("_w")) & (F.col("key") == F.col("_key")) & (far <= radius)).select(
         "doc_id", "text_hash", "start", "item_id", "part", "of_item", far.alias("distance")).dropDuplicates(
         ["doc_id", "text_hash", "start", "item_id"])
-    checked = near.withColumn("similarity", weighted("part", "of_item")).where(F.col("similarity") >= threshold)
+    checked = near.withColumn("similarity", weighted("part", "of_item")).where(F.col("similarity") >= threshold).select(
+        "doc_id", "text_hash", "item_id", "start", "distance", "similarity")
+    short = items.where(F.col("width") < WORDS)
+    widths = sorted(r[0] for r in short.select("width").distinct().collect())  # four at most
+    for width in widths:
+        each = docs.select("doc_id", "text_hash", F.posexplode_outer(let(F.transform(
+            words_column(F.col("text")), lambda w: F.xxhash64(w)), _runs(width))).alias("start", "shingle"))
+        equal = each.join(short.where(F.col("width") == width).select("item_id", F.col("of_item")[0].alias("shingle")), "shingle")
+        checked = checked.unionByName(equal.select(
+            "doc_id", "text_hash", "item_id", "start", F.lit(0).alias("distance"), F.lit(1.0).alias("similarity")))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), (-F.col("distance")).alias("distance")))
     return checked.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("best")).select(
         "doc_id", "text_hash", "item_id", (-F.col("best.start")).alias("start"), (-F.col("best.distance")).alias("distance"),
