@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Spans, Texts, documents, texts_of
+from tallyspark.llm.common import Spans, Texts, documents, stored, texts_of
 
 #: A tokenizer that folds case and drops white space, so that a text's ids are those of its parts one after another.
 TOKENIZER = "word_bpe_49k.json"
@@ -154,4 +154,4 @@ def truncated_total(sums: DataFrame, limit: int) -> int:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(documents(spark, sf_dir)))
+    return suffix_sums(stored(histogram(documents(spark, sf_dir)), "lengths"))  # encoded once: the sums read it three times
