@@ -18,6 +18,8 @@ UNKNOWN = "UNKNOWN"
 #: Most characters of an anchor of a name; anchors under ``SHORT`` characters are taken if that saves ``CHANCE`` times the
 #: forms for each character they lack.
 PIECE, SHORT, CHANCE = 12, 4, 16
+#: So many windows per occurrence of an anchor are not avoided.
+WINDOWS = 8
 
 
 def tokens(metrics: Column) -> Column:
@@ -45,21 +47,25 @@ def _name_forms(docs: DataFrame) -> DataFrame:
     """(_anchor, _end, _len, _mask): how to find names in a text.
 
     A name is made of runs between its underscores; the anchor is the last ``PIECE`` characters of one of them, which
-    ends at place ``_end``. Of its runs a name takes the one whose anchor the fewest forms share (see ``SHORT``), so what
-    all names have (an extension, a prefix) brings no text together with all forms.
+    ends at place ``_end``. Names of one shape (length, places of ``_``) take the same run: wherever its anchor occurs in
+    a text, a window is cut for every shape that shares the anchor, so a run that few shapes share is taken (see
+    ``SHORT``), up to ``WINDOWS`` of them counting alike; of those, the run with the fewest different anchors, which for
+    names of one pattern is the part they have in common.
     """
     chars = F.transform(F.split("_name", ""), lambda c, i: F.when(c == "_", i + 1))
-    shaped = docs.select("_name", F.length("_name").alias("_len"), F.array_compact(chars).alias("_mask")).where("_len > 0").distinct()
+    shaped = docs.select("_name", F.length("_name").alias("_len"), F.array_compact(chars).alias("_mask")).where("_len > 0")
     ends = F.concat(F.transform("_mask", lambda p: p - 1), F.array("_len"))
-    each = shaped.select("*", F.explode(ends).alias("_end")).withColumn(
-        "_anchor", F.expr(f"right(substring_index(left(_name, _end), '_', -1), {PIECE})"))
-    shared = each.select("_anchor", "_end", "_len", "_mask").distinct().groupBy("_anchor").agg(F.count("*").alias("_forms"))
+    runs = shaped.select("*", F.explode(ends).alias("_end")).select(
+        F.expr(f"right(substring_index(left(_name, _end), '_', -1), {PIECE})").alias("_anchor"), "_end", "_len", "_mask").distinct()
+    shared = runs.groupBy("_anchor").agg(F.count("*").alias("_forms"))
     size = F.length("_anchor")
     # a short anchor is met by chance as well: each character under SHORT counts like so many times the forms
     cost = F.col("_forms") * F.pow(F.lit(CHANCE), F.greatest(SHORT - size, F.lit(0)))
-    best = F.min_by(F.struct("_anchor", "_end"), F.struct(size == 0, cost, -size, "_end"))
-    return each.join(shared, "_anchor").groupBy("_name", "_len", "_mask").agg(best.alias("_best")).select(
-        "_best._anchor", "_best._end", "_len", "_mask").distinct()
+    by_run = runs.join(shared, "_anchor").groupBy("_len", "_mask", "_end").agg(
+        F.min(size).alias("_least"), F.greatest(F.max(cost), F.lit(WINDOWS)).alias("_cost"), F.count("*").alias("_n"))
+    best = by_run.groupBy("_len", "_mask").agg(
+        F.min_by("_end", F.struct(F.col("_least") == 0, "_cost", "_n", -F.col("_least"), "_end")).alias("_end"))
+    return runs.join(best, ["_len", "_mask", "_end"]).select("_anchor", "_end", "_len", "_mask")
 
 
 def _pieces(text: Column, lengths: Column, letters: Column) -> Column:

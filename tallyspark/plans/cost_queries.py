@@ -79,11 +79,14 @@ def _(spark, d):
 
 @query("call_log", """
 SELECT query_id, start_time, ai_credits::DOUBLE AS ai_credits, tokens, coalesce(doc_type, 'UNKNOWN') AS doc_type,
-  elapsed_sec::DOUBLE AS elapsed_sec, 1::BIGINT AS rows_produced
+  elapsed_sec::DOUBLE AS elapsed_sec, 1::BIGINT AS rows_produced,
+  CASE WHEN query_id % 20 = 0 THEN 'SELECT 1' ELSE 'SELECT read(''docs/' || CASE WHEN query_id % 3 = 0 THEN upper(printf('invoice_%08d.pdf', query_id))
+    ELSE printf('invoice_%08d.pdf', query_id) END || chr(39) || CASE WHEN query_id % 7 = 0 THEN ', ''docs/' || printf('invoice_%08d.pdf', query_id + 1) || chr(39) ELSE '' END
+    || ')' END AS query_text
 FROM call_docs WHERE start_time >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY ORDER BY start_time DESC, query_id, file_name LIMIT 500""")
 def _(spark, d):
     u, q, raw = inputs(spark, d)
-    return cost.call_log(u, q, raw, P.FUNCTION, P.usage_time()).drop("query_text")
+    return cost.call_log(u, q, raw, P.FUNCTION, P.usage_time())
 
 
 @query("cost_summary", """

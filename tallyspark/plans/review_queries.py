@@ -55,9 +55,13 @@ def _(spark, d):
     return review.latest(P.line_reviews(spark, d), "line_id").select("line_id", "review_id", "reviewer_notes", "reviewed_at", "corrections")
 
 
-@query("document_summary", "SELECT * FROM summary_rows")
+PAIRS = " || ',' || ".join(f"'\"{c}\":' || coalesce('\"' || {f}::VARCHAR || '\"', 'null')" for f, c in P.FIELD_OF.items())
+CTES["stored_payload"] = f"SELECT record_id, '{{' || {PAIRS} || '}}' AS raw_extraction FROM fields"
+
+
+@query("document_summary", "SELECT s.*, p.raw_extraction FROM summary_rows s JOIN stored_payload p ON s.record_id = p.record_id")
 def _(spark, d):
-    return summary(spark, d).drop("raw_extraction")
+    return summary(spark, d)
 
 
 @query("line_item_detail", """
@@ -65,10 +69,11 @@ SELECT t.line_id, t.file_name, t.record_id, t.line_number::BIGINT AS line_number
   coalesce(json_extract_string(v.corrections, '$.col_2'), col_2) AS category,
   coalesce(v.corrected_col_3, col_3)::DOUBLE AS quantity, col_4::DOUBLE AS unit_price,
   coalesce(round(json_extract_string(v.corrections, '$.col_5')::DECIMAL(12,4), 2)::DOUBLE, col_5::DOUBLE) AS line_total,
+  '{"Product":"' || col_1 || '","Qty":"' || col_3 || '"}' AS raw_line_data,
   v.review_id AS last_review_id, v.reviewer_notes, v.reviewed_by, v.reviewed_at, v.corrections
 FROM table_data t LEFT JOIN newest_line_review v ON t.line_id = v.line_id""")
 def _(spark, d):
-    return review.line_item_detail(P.table_data(spark, d), P.line_reviews(spark, d)).drop("raw_line_data")
+    return review.line_item_detail(P.table_data(spark, d), P.line_reviews(spark, d))
 
 
 @query("review_queue", "SELECT record_id, file_name, vendor_name, total_amount FROM summary_rows WHERE review_status IS NULL AND doc_type = 'LEASE'")
