@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +23,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def built_once(make: Callable[[], Column]) -> Callable[[], Column]:
+    """A column without arguments, built once per Spark application.
+
+    Columns never change and name their inputs, so one can serve many plans. Building a large one takes thousands of
+    calls to the JVM: seconds that a stream would spend in every micro-batch.
+    """
+    kept: dict[str, Column] = {}
+
+    @wraps(make)
+    def get() -> Column:
+        app = SparkSession.active().sparkContext.applicationId
+        if app not in kept:
+            kept.clear()
+            kept[app] = make()
+        return kept[app]
+
+    return get
+
+
 # --- safe casts -----------------------------------------------------------------------------
 
 def to_amount(c: Column, precision: int = 12, scale: int = 2) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.core import clean_amount, json_map, json_number_text, let, to_iso_date
+from ..functions.core import built_once, clean_amount, json_map, json_number_text, let, to_iso_date
 from ..functions.normalize import company_name, normalize
 from . import validate
 from .config import FIRST_LINE, parsed, plain_label
@@ -58,6 +58,12 @@ def entities(docs: DataFrame, config: DataFrame, how: str = "inner") -> DataFram
     A field that is not printed gives NULL. ``how="left"`` keeps documents of types without active
     configuration, with a NULL response.
     """
+    return docs.join(parsed(config), "doc_type", how).withColumn("response", _response())
+
+
+@built_once
+def _response() -> Column:
+    """``response`` of ``text`` and ``specs``."""
     def read(lines: Column) -> Column:
         first = F.trim(F.substring_index(F.get(lines, F.lit(0)), _JOIN, 1))
         labelled = F.transform(F.filter(lines, lambda x: x.rlike("^[^:|]*[A-Za-z][^:|]*:")), _label_value)
@@ -67,8 +73,7 @@ def entities(docs: DataFrame, config: DataFrame, how: str = "inner") -> DataFram
         return let(kv["label"], lambda labels: let(kv["value"], lambda texts: F.transform(
             F.col("specs"), lambda spec: _answer(spec, labels, texts))))
 
-    kv = let(_logical_lines(F.col("text")), read)
-    return docs.join(parsed(config), "doc_type", how).withColumn("response", F.map_from_entries(let(kv, answers)))
+    return F.map_from_entries(let(let(_logical_lines(F.col("text")), read), answers))
 
 
 def _answer(spec: Column, labels: Column, texts: Column) -> Column:
@@ -122,10 +127,16 @@ def tables(docs: DataFrame) -> DataFrame:
     Columns are found by the names in the header of each table, whatever their order; the rows of several
     tables of a document follow each other. A column that a table does not have is NULL in its rows.
     """
+    return docs.withColumn("line_items", _line_items())
+
+
+@built_once
+def _line_items() -> Column:
+    """``line_items`` of ``text`` and ``table_cols``."""
     lines = F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")
     rows = _table_rows(lines, F.col("table_cols"))
     cells = let(rows, lambda r: F.transform(F.col("table_cols"), lambda _, i: F.transform(r, lambda cell: F.get(cell, i))))
-    return docs.withColumn("line_items", F.map_from_arrays("table_cols", cells))
+    return F.map_from_arrays("table_cols", cells)
 
 
 def with_model(docs: DataFrame, config: DataFrame,
@@ -164,8 +175,12 @@ def response_json(response: Column) -> Column:
 
 # --- post-processing -----------------------------------------------------------------------------
 
-def post_process(df: DataFrame) -> DataFrame:
-    """``response`` to normalised fields, warnings, confidence and the payload to store."""
+PARTS = ["normalized", "values", "warnings", "confidence"]
+
+
+@built_once
+def _processed() -> Column:
+    """A struct of ``PARTS`` of ``response``, ``specs``, ``types`` and ``rules``."""
     def canonical(response: Column, spec: Column) -> Column:
         def named(value: Column) -> Column:
             return F.struct(
@@ -180,11 +195,15 @@ def post_process(df: DataFrame) -> DataFrame:
             lambda w: F.struct(n.alias("normalized"), v.alias("values"), w.alias("warnings"),
                                validate.confidence(n, w).alias("confidence"))))
 
-    parts = ["normalized", "values", "warnings", "confidence"]
     # bound first: a column that is merged into a lambda would be evaluated for every element
     fields = let(F.col("response"), lambda r: F.transform(F.col("specs"), lambda spec: canonical(r, spec)))
-    done = df.withColumn("_p", let(fields, checked))
-    done = done.withColumns({p: F.col(f"_p.{p}") for p in parts}).drop("_p")
+    return let(fields, checked)
+
+
+def post_process(df: DataFrame) -> DataFrame:
+    """``response`` to normalised fields, warnings, confidence and the payload to store."""
+    done = df.withColumn("_p", _processed())
+    done = done.withColumns({p: F.col(f"_p.{p}") for p in PARTS}).drop("_p")
     return done.withColumn("raw_extraction", payload(F.col("values"), F.col("confidence"), F.col("warnings")))
 
 

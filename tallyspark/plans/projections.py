@@ -95,8 +95,9 @@ FROM (SELECT *, round(total * 0.08::DECIMAL(3,2), 2)::DECIMAL(12,2) AS tax FROM
 LINES = 1_000_000
 
 
-def numbered_lines(spark, d) -> DataFrame:
-    """The line table with ``file_name`` and an id per line: the order's key, then the line's place in its order.
+def numbered_lines(spark, d, names: DataFrame | None = None) -> DataFrame:
+    """The line table (of the orders in ``names``) with ``file_name`` and an id per line: the order's key, then the line's
+    place in its order.
 
     The number in the table repeats within an order, so places follow it and then the other columns; equal lines
     get ids of their own. Partitioned by name, as most uses of lines are.
@@ -105,8 +106,10 @@ def numbered_lines(spark, d) -> DataFrame:
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_returnflag"))
     fits = F.when(F.col("_place") < LINES, F.col("l_orderkey") * LINES + F.col("_place")).otherwise(
         F.raise_error(F.lit(f"an order has {LINES} lines or more")).cast("bigint"))
-    return read(spark, d, "lineitem").withColumn("file_name", file_name("l_orderkey")).withColumn("_place", place).withColumn(
-        "line_id", fits).drop("_place")
+    lines = read(spark, d, "lineitem").withColumn("file_name", file_name("l_orderkey"))
+    if names is not None:
+        lines = lines.join(names.select("file_name"), "file_name", "left_semi")
+    return lines.withColumn("_place", place).withColumn("line_id", fits).drop("_place")
 
 
 CTES["line_of_order"] = f"""
@@ -115,10 +118,10 @@ SELECT *, l_orderkey * {LINES} + row_number() OVER (PARTITION BY l_orderkey ORDE
 """
 
 
-def line_items(spark, d) -> DataFrame:
+def line_items(spark, d, names: DataFrame | None = None) -> DataFrame:
     p = read(spark, d, "part").select("p_partkey", "p_name", "p_type")
     price = F.round(_m("l_extendedprice") / _m("l_quantity", 10), 2).cast("decimal(10,2)")
-    return numbered_lines(spark, d).join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+    return numbered_lines(spark, d, names).join(p, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("line_id").alias("line_item_id"), "file_name",
         F.concat(F.lit("INV-"), "l_orderkey").alias("invoice_number"), F.col("l_linenumber").alias("line_number"),
         F.col("p_name").alias("product_name"),
@@ -487,9 +490,9 @@ def invoice_texts(spark, d, names: DataFrame | None = None) -> DataFrame:
 
     Names cut the line table before its lines are brought together.
     """
-    inv, li = invoices(spark, d), line_items(spark, d)
+    inv, li = invoices(spark, d), line_items(spark, d, names)
     if names is not None:
-        inv, li = (x.join(names.select("file_name"), "file_name", "left_semi") for x in (inv, li))
+        inv = inv.join(names.select("file_name"), "file_name", "left_semi")
     cells = render.invoice_line(*[F.col(c) for c in ("line_number", "product_name", "category", "quantity", "unit_price", "line_total")])
     rows = render.fold_lines(li, "file_name", ["line_number", "line_item_id"], cells)
     return render.invoices(inv, rows).withColumn("doc_type", F.lit("INVOICE")).transform(extract.dealt)

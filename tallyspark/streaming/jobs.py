@@ -130,20 +130,19 @@ def extract_stream(feed: DataFrame, config: DataFrame, base: str, now: Column, t
     spark = feed.sparkSession
     prepare(spark, base)
     checkpoint = f"{base}/_checkpoint"
-    own = None
+    known = []
 
-    def elsewhere(key: str) -> DataFrame | None:
-        """Names with a result of another checkpoint or a retry, if there were any when the stream started."""
-        nonlocal own
-        if own is None:
-            done = results(spark, base, "fields").where(~F.col("batch").startswith(key.rpartition("-")[0]))
-            own = (done.select("file_name"), bool(done.head(1)))
-        return own[0] if own[1] else None
+    def known_elsewhere(key: str) -> DataFrame | None:
+        """Names with a result of another checkpoint or of a retry; None if there were none when the stream started."""
+        if not known:
+            others = results(spark, base, "fields").where(~F.col("batch").startswith(key.rpartition("-")[0])).select("file_name")
+            known.append(others if others.head(1) else None)
+        return known[0]
 
     def process(batch: DataFrame, batch_id: int) -> None:
         key = batch_key(spark, checkpoint, batch_id)
-        known = elsewhere(key)
-        new = batch if known is None else batch.join(known, "file_name", "left_anti")
+        others = known_elsewhere(key)
+        new = batch if others is None else batch.join(others, "file_name", "left_anti")
         if to_documents is None:
             return store(new, config, base, now, key, model)
         path = f"{base}/read/names-{key}"
