@@ -70,13 +70,14 @@ def _name_forms(docs: DataFrame) -> DataFrame:
 
 def _pieces(text: Column, lengths: Column, letters: Column) -> Column:
     """Every piece of the text with one of the lengths and no other letters, with the position it ends at."""
-    def pieces(t: Column, ks: Column) -> Column:
-        found = F.flatten(F.transform(F.sequence(F.lit(0), F.length(t)), lambda end: F.transform(
-            F.filter(ks, lambda k: k <= end),
-            lambda k: F.struct(end.alias("at"), F.substring(t, end - k + 1, k).alias("anchor")))))
-        return F.filter(found, lambda x: F.call_function("translate", x["anchor"], letters, F.lit("")) == "")
+    def piece(t: Column, end: Column, k: Column) -> Column:
+        return F.substring(t, end - k + 1, k)
 
-    return let(text, lambda t: let(lengths, lambda ks: pieces(t, ks)))
+    def of_length(t: Column, k: Column) -> Column:
+        ends = F.filter(F.sequence(k, F.length(t)), lambda end: F.call_function("translate", piece(t, end, k), letters, F.lit("")) == "")
+        return F.transform(ends, lambda end: F.struct(end.alias("at"), piece(t, end, k).alias("anchor")))
+
+    return let(text, lambda t: F.flatten(F.transform(F.filter(lengths, lambda k: k <= F.length(t)), lambda k: of_length(t, k))))
 
 
 def _places(texts: DataFrame, forms: DataFrame) -> DataFrame:
