@@ -209,19 +209,20 @@ def one_row(*frames: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in cols])
 
 
-def id_bucket(key: Column) -> Column:
-    """A bucket every engine computes alike: the first 12 bits of the key's md5."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 3), 16, 10).cast("int")
+def id_bucket(key: Column, digits: int = 3) -> Column:
+    """A bucket every engine computes alike: the first hexadecimal digits of the key's md5."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, digits), 16, 10).cast("int")
 
 
-def number_rows(df: DataFrame, key: str, out: str, start: DataFrame | None = None) -> DataFrame:
+def number_rows(df: DataFrame, key: str, out: str, start: DataFrame | None = None, digits: int = 3) -> DataFrame:
     """Dense unique ids 1..n for rows with a unique ``key``, in (md5 bucket, key) order.
 
-    A global ``row_number`` would run in one task. Here rows are numbered inside 4096 hash
-    buckets and shifted by the sizes of the buckets before, a table of at most 4096 rows.
-    ``start`` is a one-row frame whose single column is the highest id in use.
+    A global ``row_number`` would run in one task. Here rows are numbered inside 16 ** ``digits`` hash
+    buckets (4,096; each is sorted by one task, so take more for tables of billions of rows) and shifted by
+    the sizes of the buckets before, a table of as many rows. ``start`` is a one-row frame whose single column
+    is the highest id in use.
     """
-    bucketed = df.withColumn("_b", id_bucket(F.col(key)))
+    bucketed = df.withColumn("_b", id_bucket(F.col(key), digits))
     sizes = bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

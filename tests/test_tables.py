@@ -17,6 +17,11 @@ def test_number_rows_is_dense_and_repeatable(spark):
     assert a.exceptAll(b).count() == 0
 
 
+def test_number_rows_in_more_buckets(spark):
+    df = spark.range(3000).select(F.concat(F.lit("f"), "id").alias("k"))
+    assert sorted(r.n for r in number_rows(df, "k", "n", digits=5).collect()) == list(range(1, 3001))
+
+
 def test_number_rows_on_empty_table(spark):
     empty = spark.createDataFrame([], "m long").agg(F.max("m"))
     assert [r.n for r in number_rows(spark.createDataFrame([("a",)], "k string"), "k", "n", start=empty).collect()] == [1]
