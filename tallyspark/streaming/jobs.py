@@ -100,15 +100,25 @@ def start_keyed(spark: SparkSession, writer, checkpoint: str, every: str | None)
 
 
 def follow(query: StreamingQuery, done: Callable[[], bool], timeout: float = 600) -> StreamingQuery:
-    """Let a timed query run until ``done()``, then stop it; an error of the query, or too long a wait, is raised."""
+    """Let a timed query run until ``done()`` and its micro-batch has ended, then stop it; an error of the query, or too
+    long a wait, is raised."""
     end = time.monotonic() + timeout
-    try:
-        while not done():
+
+    def wait_while(going: Callable[[], bool]) -> None:
+        while going():
             if query.exception() is not None:
                 raise query.exception()
             if time.monotonic() > end:
                 raise TimeoutError(f"stream did not get there in {timeout} s: {query.status}")
-            time.sleep(0.2)
+            time.sleep(0.1)
+
+    def last() -> tuple | None:
+        return query.lastProgress and (query.lastProgress.batchId, query.lastProgress.timestamp)
+
+    try:
+        wait_while(lambda: not done())
+        before = last()
+        wait_while(lambda: query.status["isTriggerActive"] and last() == before)
     finally:
         query.stop()
     return query
