@@ -601,8 +601,8 @@ SELECT printf('lease_%02d.pdf', seed) AS file_name, {[*V.LANDLORDS]}[seed % {len
   {chosen(V.TENANTS, 'tenant')} || {between(100, 999, 'store')} AS tenant_name, 'LSE-' || {between(10000, 99999, 'no')} AS lease_number,
   {between(100, 9999, 'house')} || ' ' || {chosen(V.STREETS, 'street')} || ' ' || {chosen(V.STREET_SUFFIXES, 'suffix')} || ', ' || {chosen(V.CITIES, 'city')} || ', '
     || {chosen(V.STATES, 'state')} || ' ' || {between(30000, 89999, 'zip')} AS property_address,
-  day AS lease_start_date, day + (months * 30)::INT AS lease_end_date, months AS lease_term_months, rent / 100.0::DOUBLE AS monthly_rent,
-  ((rent * {chosen([round(float(m) * 10) for m in V.DEPOSIT_MONTHS], 'deposit')} + 5) // 10) / 100.0::DOUBLE AS security_deposit, {chosen(V.RENT_DUE_DAYS, 'dueday')} AS payment_due_day,
+  day AS lease_start_date, day + (months * 30)::INT AS lease_end_date, months::BIGINT AS lease_term_months, rent / 100.0::DOUBLE AS monthly_rent,
+  ((rent * {chosen([round(float(m) * 10) for m in V.DEPOSIT_MONTHS], 'deposit')} + 5) // 10) / 100.0::DOUBLE AS security_deposit, {chosen(V.RENT_DUE_DAYS, 'dueday')}::BIGINT AS payment_due_day,
   {cents('50', '250', 'late')} / 100.0::DOUBLE AS late_fee, rent * months / 100.0::DOUBLE AS total_lease_value
 FROM (SELECT seed, DATE '2025-01-01' + {draw(366, 'seed', "'day'")}::INT AS day, {chosen(V.LEASE_MONTHS, 'term')} AS months, {cents('1500', '8500', 'rent')} AS rent FROM {SEEDS})""")
 def _(spark, d):

@@ -78,7 +78,7 @@ def _(spark, d):
 
 @query("stream_errors", """
 SELECT printf('invoice_%08d.pdf', o_orderkey) AS file_name, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 2 = 1 THEN 'document has no text' END AS error,
-  CASE WHEN o_orderstatus <> 'O' THEN 0 WHEN o_orderkey % 2 = 1 THEN 3 WHEN o_orderkey % 4 = 2 THEN 2 ELSE 1 END AS failures
+  (CASE WHEN o_orderstatus <> 'O' THEN 0 WHEN o_orderkey % 2 = 1 THEN 3 WHEN o_orderkey % 4 = 2 THEN 2 ELSE 1 END)::BIGINT AS failures
 FROM orders""")
 def _(spark, d):
     """Open orders have no text at first. A second stream tries them again by itself: every fourth has a text by the second
