@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyspark.operators import extract
+from tallyspark.sources import files
 
 # names whose plan is built without running anything
 PLANNED = ["ap_ledger", "aging_summary", "spend_by_category", "document_summary", "line_item_detail", "review_diff", "cost_by_doc_type",
@@ -43,3 +44,13 @@ def test_one_document_with_very_many_lines(spark):
 
     lines = extract.run(docs, config.default_config(spark), F.lit(None).cast("timestamp_ntz"))["lines"]
     assert lines.agg(F.count("*"), F.max("line_number"), F.sum("col_5")).first()[:2] == (n, n)
+
+
+def test_supplier_files_are_written_by_many_tasks(spark, sf):
+    """The exchange before a file per supplier is not cut by its few bytes: that left all files to one task."""
+    from tallyspark.plans import stream_queries
+
+    path = stream_queries.supplier_files(spark, sf)
+    parts = files.list_documents(spark, path, "*.txt").select("file_name").collect()
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    assert len(parts) == suppliers and len({r.file_name.split("-")[1] for r in parts}) > 1
