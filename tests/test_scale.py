@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallyspark.functions.core import let
 from tallyspark.operators import extract
 from tallyspark.sources import files
 
@@ -54,3 +55,12 @@ def test_supplier_files_are_written_by_many_tasks(spark, sf):
     parts = files.list_documents(spark, path, "*.txt").select("file_name").collect()
     suppliers = spark.read.parquet(f"{sf}/supplier.parquet").count()
     assert len(parts) == suppliers and len({r.file_name.split("-")[1] for r in parts}) > 1
+
+
+def test_bound_values_are_no_array_elements(spark):
+    """``let`` binds without an array: reading an element types the whole body again for every row."""
+    df = spark.range(3).select(let(F.col("id") + 1, lambda x: let(x * 2, lambda y: F.when(x > 1, x + y))).alias("v"),
+                               let(F.lit(None).cast("string"), lambda x: F.coalesce(x, F.lit("none"))).alias("n"))
+    assert [tuple(r) for r in df.collect()] == [(None, "none"), (6, "none"), (9, "none")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "aggregate(" in plan
