@@ -131,6 +131,25 @@ def test_one_csv_file(spark, tmp_path):
     assert open(path).read() == 'id,"a,b",c\n'
 
 
+def test_csv_in_parallel(spark, tmp_path):
+    """One file is read by many tasks, unless a value holds a line break; the values are the same either way."""
+    schema = "id long, x string, y string"
+    plain = [(i, f'a, "{i}"', None if i % 5 else "") for i in range(5000)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for rows, parts in ((plain, range(3, 100)), ([*plain, (5000, "two\nlines", "c\rd"), (5001, "x", '"')], range(1, 2))):
+            path = str(tmp_path / f"{len(rows)}.csv")
+            df = spark.createDataFrame(rows, schema)
+            files.export_csv(df, path, order=["id"])
+            got = files.read_csv(spark, path, df.schema)
+            assert got.rdd.getNumPartitions() in parts
+            whole = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+            assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(map(tuple, whole.collect()), key=lambda r: r[0])
+            assert got.select("id", "x").exceptAll(df.select("id", "x")).count() == 0 and got.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_json_array_in_parallel(spark, tmp_path):
     rows = [{"a": i, "b": f"text, {i}"} if i % 3 else {"a": i} for i in range(5000)]
     (tmp_path / "t.json").write_text(json.dumps(rows, indent=2))
