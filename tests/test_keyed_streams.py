@@ -107,6 +107,26 @@ def test_retry_waits(spark, tmp_path):
     assert not asked and jobs.results(spark, base, "fields").count() == 0
 
 
+def test_retry_runs_no_python_per_document(spark, tmp_path):
+    """A hundred thousand failures come back without a call per document."""
+    base, conf = str(tmp_path / "out"), config.default_config(spark)
+    jobs.prepare(spark, base)
+    failed = spark.range(100_000).select(F.concat(F.lit("f"), "id").alias("file_name"), F.lit("e").alias("error"),
+                                         now().alias("failed_at"), F.lit(1).alias("attempt"))
+    failed.write.parquet(f"{base}/errors/batch=x-0")
+    failed.limit(10).write.parquet(f"{base}/errors/batch=x-1")  # the same failures twice
+    asked = []
+
+    def to_documents(due):
+        asked.append(due.count())
+        return documents()(due)
+
+    again = jobs.retry_stream(to_documents, conf, base, now(), wait_ms=50, attempts=2, every="500 milliseconds")
+    jobs.follow(again, lambda: bool(asked) and jobs.results(spark, base, "fields").count() >= 100_000)
+    assert sum(asked) == 100_000 and jobs.results(spark, base, "fields").select("file_name").distinct().count() == 100_000
+    assert "InPySpark" not in again._jsq.explainInternal(False)
+
+
 def test_timed_run_and_backlog(spark, tmp_path):
     src, base = str(tmp_path / "in"), str(tmp_path / "out")
     for part in (["a", "b"], ["bad1", "c"], ["d"]):
