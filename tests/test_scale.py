@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyspark.functions.core import let
-from tallyspark.operators import extract
+from tallyspark.operators import config, extract
 from tallyspark.sources import files
 
 # names whose plan is built without running anything
@@ -64,3 +64,24 @@ def test_bound_values_are_no_array_elements(spark):
     assert [tuple(r) for r in df.collect()] == [(None, "none"), (6, "none"), (9, "none")]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan and "aggregate(" in plan
+
+
+def test_unused_results_are_not_worked_out(spark, sf):
+    """A job that stores no scores, warnings or payload does not compute them, nor do scores compute the payload."""
+    def plan(name):
+        return entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+    fields, scores = plan("resolve_aliases"), plan("confidence_scores")
+    assert "is required but missing" not in fields and "to_json" not in fields
+    assert "is required but missing" in scores and "to_json" not in scores
+
+
+def test_a_text_is_cut_into_lines_once(spark):
+    """Labels, values and the first line come from one column, and no lambda runs over the lines."""
+    docs = spark.createDataFrame([("a", "INVOICE", "Acme\r\nBill To:\n one \n\ntwo\nTax (8%) : 5\nTotal: \nTOTAL: 7\nAmount Due: 8")],
+                                 "file_name string, doc_type string, text string")
+    done = extract.entities(docs, config.default_config(spark))
+    found = done.head()["response"]
+    assert (found["vendor_name"], found["recipient"], found["tax_amount"], found["total_amount"]) == ("Acme", "one", "5", "8")
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?=[^") == 1 and "RLIKE" not in plan
