@@ -85,3 +85,28 @@ def test_a_text_is_cut_into_lines_once(spark):
     assert (found["vendor_name"], found["recipient"], found["tax_amount"], found["total_amount"]) == ("Acme", "one", "5", "8")
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?=[^") == 1 and "RLIKE" not in plan
+
+
+def test_rules_are_typed_once_per_type(spark):
+    """Bounds, patterns and places of rules come with the configuration, not from every document."""
+    rules = {r["field"]: r for r in config.parsed(config.default_config(spark)).where("doc_type = 'INVOICE'").head()["rules"]}
+    assert (rules["total_amount"]["place"], rules["total_amount"]["low"], rules["total_amount"]["high"]) == (9, 0.0, 10000000.0)
+    assert rules["invoice_date"]["first"] is not None and rules["vendor_name"]["regex"] is None
+
+
+def test_answers_in_any_order_and_odd_white_space(spark):
+    """A response in another order, with other or without fields gives the same as one in order; strip as the pattern does."""
+    from tallyspark.functions.normalize import _strip, _stripped
+
+    docs = spark.createDataFrame([(1, "INVOICE")], "n int, doc_type string").join(config.parsed(config.default_config(spark)), "doc_type")
+    given = {"total_amount": "$-5", "vendor_name": " PSEG ", "other": "x", "due_date": "3rd May 2024"}
+    pairs = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
+    ordered = F.map_from_arrays("specs.name", F.transform("specs.name", lambda n: F.try_element_at(pairs, n)))
+    none = F.lit(None).cast("map<string,string>")
+    rows = [extract.post_process(docs.withColumn("response", r)).select("values", "warnings", "confidence").head() for r in (pairs, ordered, none)]
+    assert rows[0] == rows[1]
+    assert rows[0]["values"]["total_amount"] == "-5" and rows[0]["values"]["due_date"] == "2024-05-03"
+    assert ("total_amount", "min") in [(w.field, w.rule) for w in rows[0]["warnings"]]
+    assert rows[2]["values"]["vendor_name"] is None and rows[2]["confidence"]["vendor_name"] == 0.1
+    odd = spark.createDataFrame([(x,) for x in (" a\t", "\x0b a \x85", "a  ", "\x85 ", "", " ", None, "a\xa0 ", "\r\n a \n\n")], "c string")
+    assert all(r[0] == r[1] for r in odd.select(_strip(F.col("c")), _stripped(F.col("c"))).collect())
