@@ -110,3 +110,11 @@ def test_answers_in_any_order_and_odd_white_space(spark):
     assert rows[2]["values"]["vendor_name"] is None and rows[2]["confidence"]["vendor_name"] == 0.1
     odd = spark.createDataFrame([(x,) for x in (" a\t", "\x0b a \x85", "a  ", "\x85 ", "", " ", None, "a\xa0 ", "\r\n a \n\n")], "c string")
     assert all(r[0] == r[1] for r in odd.select(_strip(F.col("c")), _stripped(F.col("c"))).collect())
+
+
+def test_texts_are_read_by_plain_replacement_and_places(spark, sf):
+    """Line ends need no pattern, and a line's cells are taken by place, not out of a map made for every line."""
+    plan = entry.queries()["tables_all_types"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "\\r\\n?" not in plan and "\r\n?" not in plan and "map(Line," not in plan
+    ends = spark.createDataFrame([("a\r\n\rb\r\r\nc\n\r",)], "t string")
+    assert ends.select(extract._unix(F.col("t")), F.regexp_replace("t", r"\r\n?", "\n")).head() == ("a\n\nb\n\nc\n\n",) * 2
